@@ -100,49 +100,78 @@ def _cell(x: np.ndarray) -> np.ndarray:
     return (x & U(SKETCH - 1)).astype(np.int64)
 
 
+_PACKED = "bucket int, keys binary, members binary, roles binary, nodes binary, sizes binary"
+
+
+def _packed(key: np.ndarray, who: np.ndarray, role: np.ndarray, node: np.ndarray, size: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of key that has any: 32 bits of each key, its node's place in the row's own list, its role."""
+    order = np.argsort(key)
+    key, who, role = key[order], who[order], role[order]
+    cut = np.searchsorted(key, np.arange(buckets, dtype=U) << U(65 - buckets.bit_length()))
+    ends, rows = np.append(cut[1:], len(key)), {c: [] for c in ("bucket", "keys", "members", "roles", "nodes", "sizes")}
+    low = (key >> U(64 - 31 - buckets.bit_length())).astype(np.uint32)
+    for k in np.flatnonzero(ends > cut):
+        part = slice(cut[k], ends[k])
+        there, place = np.unique(who[part], return_inverse=True)
+        for c, x in zip(rows, (k, low[part], place.astype(np.uint32), role[part].astype(np.uint8), node[there], size[there]), strict=True):
+            rows[c].append(int(x) if c == "bucket" else x.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in rows.items()], names=list(rows))
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, node, size and role of all members of a bucket."""
+    out = [[], [], [], []]
+    for key, member, role, node, size in zip(*(table.column(c).to_pylist() for c in ("keys", "members", "roles", "nodes", "sizes")), strict=True):
+        at = np.frombuffer(member, np.uint32)
+        for o, x in zip(out, (np.frombuffer(key, np.uint32), np.frombuffer(node, np.int64)[at], np.frombuffer(size, np.int64)[at], np.frombuffer(role, np.uint8)), strict=True):
+            o.append(x)
+    return tuple(np.concatenate(o) for o in out)
+
+
 def _pass_one(buckets: int):
+    """Rows of documents (doc_id, size, node), of hits counted at once (doc_id null, size the hits), and packed postings."""
+    names = ["doc_id", "size", "node", "bucket", "keys", "members", "roles", "nodes", "sizes"]
+
+    def plain(doc_id, size, node, bucket: int | None) -> pa.RecordBatch:
+        n = len(node)
+        first = [doc_id if doc_id is not None else pa.nulls(n, pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array([bucket] * n, pa.int32())]
+        return pa.RecordBatch.from_arrays(first + [pa.nulls(n, pa.binary())] * 5, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            sizes, nodes, top, seen = [], [], [], set()
-            for s in W.shingle_sets(texts):
+            sizes, nodes, node, size, top = [], [], [], [], []
+            seen = set()
+            for s in W.shingle_sets(batch.column("text").to_pylist()):
                 sizes.append(len(s))
                 nodes.append(digest(s) if len(s) else None)
                 if len(s) and nodes[-1] not in seen:
                     seen.add(nodes[-1])
-                    top.append((nodes[-1], s[: screened(len(s))]))
-            none, n = pa.nulls(len(sizes), pa.int32()), len(sizes)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["doc_id", "size", "node", "bucket", "hashes", "nodes"])
+                    node.append(nodes[-1])
+                    size.append(len(s))
+                    top.append(s[: screened(len(s))].copy())
+            yield plain(batch.column("doc_id").cast(pa.int64()), sizes, nodes, None)
             if top:
-                h = np.concatenate([x for _, x in top])
                 # The screen takes the smallest hashes, so they are spread anew before they are dealt out.
-                h, who = W.mix(h), np.repeat(np.array([x for x, _ in top]), [len(x) for _, x in top])
+                h, who = W.mix(np.concatenate(top)), np.repeat(np.arange(len(top)), [len(x) for x in top])
                 order = np.argsort(h, kind="stable")
                 h, who = h[order], who[order]
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 count = np.diff(np.append(first, len(h)))
-                rank = np.arange(len(h)) - np.repeat(first, count)
-                own = (np.repeat(count, count) > HOT) & (rank >= 2)
+                own = (np.repeat(count, count) > HOT) & (np.arange(len(h)) - np.repeat(first, count) >= 2)
+                node, size = np.array(node), np.array(size)
                 if own.any():
-                    node, hits = np.unique(who[own], return_counts=True)
-                    k = len(node)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(hits, pa.int64()), pa.array(node, pa.int64()), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=["doc_id", "size", "node", "bucket", "hashes", "nodes"])
-                h, who = h[~own], who[~own]
-                cut = np.searchsorted(h, np.arange(buckets, dtype=U) << U(64 - buckets.bit_length() + 1))
-                ends = np.append(cut[1:], len(h))
-                used = np.flatnonzero(ends > cut)
-                low = (h >> U(16)).astype(np.uint32)
-                k = len(used)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(used.astype(np.int32)), pa.array([low[cut[b] : ends[b]].tobytes() for b in used], pa.binary()), pa.array([who[cut[b] : ends[b]].astype(np.int64).tobytes() for b in used], pa.binary())], names=["doc_id", "size", "node", "bucket", "hashes", "nodes"])
+                    there, hits = np.unique(who[own], return_counts=True)
+                    yield plain(None, hits, node[there], -1)
+                packed = _packed(h[~own], who[~own], np.zeros((~own).sum(), np.uint8), node, size, buckets)
+                yield pa.RecordBatch.from_arrays([pa.nulls(packed.num_rows, pa.int64())] * 3 + packed.columns, names=names)
 
     return run
 
 
 def _count_bucket(table: pa.Table) -> pa.Table:
     """Of one bucket: how many of each node's hashes another node has too."""
-    h = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()])
-    who = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()])
+    h, who, _, _ = _unpacked(table)
     order = np.lexsort((who, h))
     h, who = h[order], who[order]
     fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (who[1:] != who[:-1])])
@@ -189,30 +218,54 @@ def allowances(whole: np.ndarray, seg: np.ndarray, less: np.ndarray, total: int,
     return np.bincount(best % m, minlength=m)
 
 
-def _signed(count: np.ndarray):
-    """Rows (sig, node, size, role): role 0 and 1 index whole and reduced subsets, 2 to 4 probe them."""
+def _signed(count: np.ndarray, buckets: int):
+    """Packed signatures; role 0 and 1 index whole and reduced subsets, 2 to 4 probe them (2 and 3: whole, with allowance 1 and 2; 4: reduced)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            node = batch.column("node").to_pylist()
-            for who, x in zip(node, batch.column("shingles").to_pylist(), strict=True):
-                s, sig, role = np.frombuffer(x, U), [], []
-                for k, (band, high) in enumerate(bands_for(len(s))):
-                    whole, seg, less = signatures(s, band, high)
-                    if k == 0:
-                        sig += [whole, less]
-                        role += [np.zeros(len(whole), np.int8), np.ones(len(less), np.int8)]
-                    v = allowances(whole, seg, less, (min(high - 1, len(s)) + len(s)) // 7 + 1, count)
-                    sig += [whole[v == 1], whole[v == 2], less[v[seg] == 2]]
-                    role += [np.full(len(a), r, np.int8) for a, r in zip(sig[-3:], (2, 3, 4), strict=True)]
-                sig, role = np.concatenate(sig).view(np.int64), np.concatenate(role)
-                n = len(sig)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(n, who)), pa.array(np.full(n, len(s), np.int64)), pa.array(role.astype(np.int32))], names=["sig", "node", "size", "role"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                node, size, sig, role, who = part.column("node").to_numpy(), [], [], [], []
+                for k, x in enumerate(part.column("shingles").to_pylist()):
+                    s = np.frombuffer(x, U)
+                    size.append(len(s))
+                    for own, (band, high) in enumerate(bands_for(len(s))):
+                        whole, seg, less = signatures(s, band, high)
+                        v = allowances(whole, seg, less, (min(high - 1, len(s)) + len(s)) // 7 + 1, count)
+                        found = [(whole[v == 1], 2), (whole[v == 2], 3), (less[v[seg] == 2], 4)] + [(whole, 0), (less, 1)] * (own == 0)
+                        for y, r in found:
+                            sig.append(y)
+                            role.append(np.full(len(y), r, np.uint8))
+                            who.append(np.full(len(y), k, np.uint32))
+                if sig:
+                    yield _packed(np.concatenate(sig), np.concatenate(who), np.concatenate(role), node, np.array(size), buckets)
 
     return run
 
 
+def _groups(table: pa.Table) -> pa.Table:
+    """Of one bucket: the members of signatures with two nodes or more, an index and a probe.
+
+    Signatures with the same members in the same roles give one group, named by its members.
+    """
+    np.seterr(over="ignore")
+    sig, node, size, role = _unpacked(table)
+    order = np.lexsort((role, node, sig))
+    sig, node, size, role = sig[order], node[order], size[order], role[order]
+    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | (role[1:] != role[:-1])])
+    sig, node, size, role = sig[fresh], node[fresh], size[fresh], role[fresh]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    count = np.diff(np.append(first, len(sig)))
+    several = np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)
+    meet = several & np.logical_or.reduceat(role <= 1, first) & np.logical_or.reduceat(role >= 2, first)
+    name = np.add.reduceat(W.mix(W.mix(node.view(U)) + role.astype(U)), first)
+    once = np.zeros(len(first), bool)
+    once[np.flatnonzero(meet)[np.unique(name[meet], return_index=True)[1]]] = True
+    keep = np.repeat(once, count)
+    return pa.table({"sig": pa.array(np.repeat(name, count)[keep].view(np.int64)), "node": pa.array(node[keep]), "size": pa.array(size[keep]), "role": pa.array(role[keep].astype(np.int32))})
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -263,19 +316,19 @@ def linked_nodes(sets: DataFrame) -> DataFrame:
     count = np.zeros(2 * SKETCH, np.int64)
     for cell, n in cells:
         count[cell] = n
-    rows = save(sets.select("node", "shingles").mapInArrow(_signed(count), "sig long, node long, size long, role int"), "signed")
+    buckets = 1 << max(4, (partitions(spark) - 1).bit_length())
+    packed = sets.select("node", "shingles").mapInArrow(_signed(count, buckets), _PACKED)
+    groups = packed.groupBy("bucket").applyInArrow(_groups, "sig long, node long, size long, role int").dropDuplicates(["sig", "node", "role"])
+    met = save(groups, "groups")
     # The least indexed node of each signature, for whole and reduced subsets.
-    least = rows.groupBy("sig").agg(
-        F.min(F.when(F.col("role") == 0, F.col("node"))).alias("whole"), F.min(F.when(F.col("role") == 1, F.col("node"))).alias("less"), F.min("node").alias("low"), F.max("node").alias("high")
-    ).filter("low < high").drop("low", "high")
-    met = save(rows.join(least, "sig"), "met")
+    least = met.groupBy("sig").agg(F.min(F.when(F.col("role") == 0, F.col("node"))).alias("whole"), F.min(F.when(F.col("role") == 1, F.col("node"))).alias("less"))
+    met = met.join(least, "sig")
     probe = met.filter("role >= 2").select("node", F.col("whole").alias("other")).union(met.filter("role = 3").select("node", F.col("less").alias("other")))
     pairs = probe.filter("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     first = save(verify(pairs, sets), "links")
     comp = components(first)
     # Signatures that still hold more than one component.
     named = met.select("sig", "node", "size", "role").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = save(named, "named")
     mixed = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
     open_rows = save(named.join(mixed, "sig"), "open")
     i, p = open_rows.filter("role <= 1"), open_rows.filter("role >= 2")
@@ -292,10 +345,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = 1 << max(8, (4 * partitions(spark) - 1).bit_length())
-    schema = "doc_id long, size long, node long, bucket int, hashes binary, nodes binary"
-    passed = save(docs.mapInArrow(_pass_one(buckets), schema), "postings", "lz4")
+    passed = save(docs.mapInArrow(_pass_one(buckets), f"doc_id long, size long, node long, {_PACKED}"), "postings", "lz4")
     rows = save(passed.filter("bucket IS NULL").select("doc_id", "size", "node"), "sets")
-    hits = passed.filter("bucket >= 0").select("bucket", "hashes", "nodes").groupBy("bucket").applyInArrow(_count_bucket, "node long, hits long")
+    hits = passed.filter("bucket >= 0").drop("doc_id", "size", "node").groupBy("bucket").applyInArrow(_count_bucket, "node long, hits long")
     hits = hits.union(passed.filter("bucket = -1").select("node", F.col("size").alias("hits"))).groupBy("node").agg(F.sum("hits").alias("hits"))
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n_copies"))
     nodes = save(nodes, "nodes")

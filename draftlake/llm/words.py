@@ -46,15 +46,20 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def span_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
+    """Hash of each span of the bytes a."""
+    up, down = _power(len(a))
+    total = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(values[a] * up[: len(a)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def _piece(part: bytes, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a = np.frombuffer(part, np.uint8)
     inside = np.concatenate([[False], ~apart[a], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    up, down = _power(len(a))
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_LOWERED[a] * up[: len(a)], out=total[1:])
-    return start, end, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return start, end, span_hashes(a, start, end, _LOWERED)
 
 
 def words(data: bytes, apart: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,8 +76,8 @@ def words(data: bytes, apart: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def in_pieces(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-    """Runs of texts of about size bytes: first, behind the last, their bytes joined by line feeds, where each starts."""
+def in_pieces(texts: list[str | None], size: int = PIECE, mark: bytes = b"\n") -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """Runs of texts of about size bytes: first, behind the last, their bytes each with a mark behind it, where each starts."""
     at = 0
     while at < len(texts):
         part, n, to = [], 0, at
@@ -82,7 +87,7 @@ def in_pieces(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[int,
             n += len(b) + 1
             to += 1
         starts = np.concatenate([[0], np.cumsum([len(b) + 1 for b in part])])
-        yield at, to, b"\n".join(part) + b"\n", starts
+        yield at, to, mark.join(part) + mark, starts
         at = to
 
 
