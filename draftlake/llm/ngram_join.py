@@ -16,9 +16,10 @@ A text's set holds its distinct five-word shingles.  Two sets link when
    v_i in {0, 1, 2} add up to H + 1 or more, some segment differs in at most v_i - 1
    elements.  The allowances go where they cost least, by signature counts in a sketch of
    fixed size; the index holds all, so a rough count costs time and never a link.
-4. Each probe is first checked against the least node with its signature.  The checked links
-   form components; only then are signatures expanded that still hold several components,
-   and only across them.  Copies therefore never make all their pairs.
+4. Each node is first checked, a few times, against one node of another component, the one that
+   most of its signatures offer.  The checked links form components; only then are signatures
+   expanded that still hold several components, and only across them.  Copies therefore never make all their pairs.  Parities of the sets rule
+   most of these pairs out before the whole sets are joined.
 5. Components by least-label propagation with short cuts, each round a written table.
 
 Null and empty texts have size 0 and stand alone.  Repeated rows are kept, one result row
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -42,6 +43,8 @@ SKETCH = 1 << 18  # counters of the signature sketch, whatever the input
 HOT = 4  # texts of one batch with one hash, above which the batch counts them itself
 BROADCAST_ROWS = 500_000  # of node ids; above it the join shuffles
 BAND = 1.25
+TRIES = (1, 4)  # nodes that each node is checked against, in turn, before signatures are expanded
+LEAST_MARKS, MOST_MARKS = 512, 16384
 
 
 def digest(s: np.ndarray) -> int:
@@ -187,9 +190,9 @@ def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         wanted = batch.column("node").to_pylist()
         for at in range(0, len(wanted), 512):
-            rows = [(digest(s), len(s), s.tobytes()) for s in W.shingle_sets(batch.column("text").slice(at, 512).to_pylist())]
+            rows = [(digest(s), len(s), s.tobytes(), marks(s)) for s in W.shingle_sets(batch.column("text").slice(at, 512).to_pylist())]
             rows = [r for r, node in zip(rows, wanted[at : at + 512], strict=True) if r[0] == node]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["node", "size", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "size", "shingles", "mark"])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +266,9 @@ def _groups(table: pa.Table) -> pa.Table:
     once = np.zeros(len(first), bool)
     once[np.flatnonzero(meet)[np.unique(name[meet], return_index=True)[1]]] = True
     keep = np.repeat(once, count)
-    return pa.table({"sig": pa.array(np.repeat(name, count)[keep].view(np.int64)), "node": pa.array(node[keep]), "size": pa.array(size[keep]), "role": pa.array(role[keep].astype(np.int32))})
+    _, of, times = np.unique(name, return_inverse=True, return_counts=True)
+    weight = np.repeat(times[of], count)[keep]
+    return pa.table({"sig": pa.array(np.repeat(name, count)[keep].view(np.int64)), "node": pa.array(node[keep]), "size": pa.array(size[keep]), "role": pa.array(role[keep].astype(np.int32)), "weight": pa.array(weight)})
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +283,38 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def marks(s: np.ndarray) -> bytes:
+    """Parities of a set, as many as its size up to a power of two: two sets differ in at least as many elements as these do in bits."""
+    bits = min(MOST_MARKS, max(LEAST_MARKS, 1 << (len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s >> U(40)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(data: list[bytes], size: int) -> np.ndarray:
+    """Marks as rows of size bytes; longer ones are folded, which keeps their parities."""
+    rows = np.frombuffer(b"".join(data), np.uint64).reshape(len(data), -1, size // 8)
+    return np.bitwise_xor.reduce(rows, axis=1)
+
+
+def _near_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = (batch.column(c).to_pylist() for c in ("left_mark", "right_mark"))
+        lengths = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+        differ = np.zeros(len(left), np.int64)
+        for m, n in np.unique(lengths, axis=0).tolist():
+            at = np.flatnonzero((lengths == (m, n)).all(axis=1))
+            x, y = (_folded([side[k] for k in at], min(m, n)) for side in (left, right))
+            differ[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        most = (batch.column("left_size").to_numpy() + batch.column("right_size").to_numpy()) // 7
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(differ <= most, pa.bool_()))
+
+
+def near_marks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose marks do not rule a link out; spares the join with whole sets."""
+    for node, side in (("a", "left"), ("b", "right")):
+        pairs = pairs.join(sets.select(F.col("node").alias(node), F.col("mark").alias(f"{side}_mark"), F.col("size").alias(f"{side}_size")), node)
+    return pairs.select("a", "b", "left_mark", "right_mark", "left_size", "right_size").mapInArrow(_near_marks, "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the threshold."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left_set")), "a")
@@ -318,26 +355,47 @@ def linked_nodes(sets: DataFrame) -> DataFrame:
         count[cell] = n
     buckets = 1 << max(4, (partitions(spark) - 1).bit_length())
     packed = sets.select("node", "shingles").mapInArrow(_signed(count, buckets), _PACKED)
-    groups = packed.groupBy("bucket").applyInArrow(_groups, "sig long, node long, size long, role int").dropDuplicates(["sig", "node", "role"])
-    met = save(groups, "groups")
-    # The least indexed node of each signature, for whole and reduced subsets.
-    least = met.groupBy("sig").agg(F.min(F.when(F.col("role") == 0, F.col("node"))).alias("whole"), F.min(F.when(F.col("role") == 1, F.col("node"))).alias("less"))
-    met = met.join(least, "sig")
-    probe = met.filter("role >= 2").select("node", F.col("whole").alias("other")).union(met.filter("role = 3").select("node", F.col("less").alias("other")))
-    pairs = probe.filter("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    first = save(verify(pairs, sets), "links")
-    comp = components(first)
+    groups = packed.groupBy("bucket").applyInArrow(_groups, "sig long, node long, size long, role int, weight long")
+    met = save(groups.groupBy("sig", "node", "size", "role").agg(F.sum("weight").alias("weight")), "groups")
+    tried = links = None
+    comp = sets.select("node", F.col("node").alias("comp"))
+    for turn, tries in enumerate(TRIES):
+        pairs = best_pairs(met.join(comp, "node"), turn, tries)
+        pairs = save(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
+        found = save(verify(pairs, sets), "links")
+        tried, links = (tried.union(pairs), links.union(found)) if tried else (pairs, found)
+        comp = sets.select("node").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # Signatures that still hold more than one component.
-    named = met.select("sig", "node", "size", "role").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = met.join(comp, "node")
     mixed = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
     open_rows = save(named.join(mixed, "sig"), "open")
     i, p = open_rows.filter("role <= 1"), open_rows.filter("role >= 2")
     i = i.select("sig", *(F.col(c).alias(f"i_{c}") for c in ("node", "size", "role", "comp")))
     more = i.join(p, "sig").filter((F.col("i_comp") != F.col("comp")) & _role_ok("i_role", "role") & _near_sizes("i_size", "size"))
     more = more.select(F.least("node", "i_node").alias("a"), F.greatest("node", "i_node").alias("b")).distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    second = save(verify(more, sets), "links")
-    return components(first.union(second))
+    more = save(near_marks(more.join(tried, ["a", "b"], "left_anti"), sets), "pairs")
+    return components(links.union(save(verify(more, sets), "links")))
+
+
+def best_pairs(members: DataFrame, turn: int, tries: int) -> DataFrame:
+    """For each node pairs (a, b) with the nodes of other components that most of its signatures offer.
+
+    A signature offers one member each of the least and of the greatest component in the index,
+    the least node in turn 0 and any other in later ones.
+    """
+    at = F.struct("comp", (F.xxhash64("node", "sig", F.lit(turn)) if turn else F.col("node")).alias("order"), "node")
+    ends = [f(F.when(F.col("role") == role, at)).alias(name) for role, kind in ((0, "whole"), (1, "less")) for f, name in ((F.min, f"{kind}_low"), (F.max, f"{kind}_high"))]
+    offered = members.filter("role >= 2").join(members.groupBy("sig").agg(*ends), "sig")
+
+    def other(kind: str):
+        low, high = F.col(f"{kind}_low"), F.col(f"{kind}_high")
+        return F.when(low["comp"] != F.col("comp"), low["node"]).when(high["comp"] != F.col("comp"), high["node"]).alias("other")
+
+    probes = offered.select("node", "weight", other("whole")).union(offered.filter("role = 3").select("node", "weight", other("less")))
+    shared = probes.filter("other IS NOT NULL").groupBy("node", "other").agg(F.sum("weight").alias("n"))
+    most = Window.partitionBy("node").orderBy(F.desc("n"), "other")
+    best = shared.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= tries)
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,7 +415,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = kept.count()
     wanted = kept.select("node", F.col("first").alias("doc_id"))
     wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
-    sets = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(_node_sets, "node long, size long, shingles binary")
+    sets = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(_node_sets, "node long, size long, shingles binary, mark binary")
     sets = save(sets.dropDuplicates(["node"]), "node_sets")
     comp = linked_nodes(sets)
     named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
