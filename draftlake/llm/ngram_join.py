@@ -43,6 +43,7 @@ SKETCH = 1 << 18  # counters of the signature sketch, whatever the input
 HOT = 4  # texts of one batch with one hash, above which the batch counts them itself
 BROADCAST_ROWS = 500_000  # of node ids; above it the join shuffles
 BAND = 1.25
+SLICE = 2000  # rows that a task holds at once
 TRIES = (1, 4)  # nodes that each node is checked against, in turn, before signatures are expanded
 LEAST_MARKS, MOST_MARKS = 512, 16384
 
@@ -142,7 +143,7 @@ def _pass_one(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             sizes, nodes, node, size, top = [], [], [], [], []
             seen = set()
             for s in W.shingle_sets(batch.column("text").to_pylist()):
@@ -189,9 +190,9 @@ def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     np.seterr(over="ignore")
     for batch in batches:
         wanted = batch.column("node").to_pylist()
-        for at in range(0, len(wanted), 512):
-            rows = [(digest(s), len(s), s.tobytes(), marks(s)) for s in W.shingle_sets(batch.column("text").slice(at, 512).to_pylist())]
-            rows = [r for r, node in zip(rows, wanted[at : at + 512], strict=True) if r[0] == node]
+        for at in range(0, len(wanted), 256):
+            rows = [(digest(s), len(s), s.tobytes(), marks(s)) for s in W.shingle_sets(batch.column("text").slice(at, 256).to_pylist())]
+            rows = [r for r, node in zip(rows, wanted[at : at + 256], strict=True) if r[0] == node]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "size", "shingles", "mark"])
 
 
@@ -227,8 +228,8 @@ def _signed(count: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 node, size, sig, role, who = part.column("node").to_numpy(), [], [], [], []
                 for k, x in enumerate(part.column("shingles").to_pylist()):
                     s = np.frombuffer(x, U)

@@ -6,19 +6,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, language_id, main_text, packing, sequence_files, sorted_lists, token_counts, warc
 from .ngram_join import ngram_components
-from .oracle import OP4_SQL
+from .oracle import OP4_SQL, OP9_SQL
 from .shared import table
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
-}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_totals(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
+def op7_token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_files.token_sequences(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {
-    "op4_ngram_jaccard_join": OP4_SQL,
-}
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.fields(warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_lists.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op2_benchmark_decontamination, op3_best_fit_packing, op4_ngram_jaccard_join, op5_token_counts, op6_language_id,
+        op7_token_sequences, op8_warc_derivatives, op9_exact_top_k, op10_main_text,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard_join": OP4_SQL, "op9_exact_top_k": OP9_SQL}

@@ -130,7 +130,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int, l
                     out.add(doc_id, ids.tobytes() + end)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "uri": uri, "n_docs": len(out.docs), "n_tokens": out.n}])
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((task.partitionId(), pa.int32()), (uri, pa.string()), (len(out.docs), pa.int64()), (out.n, pa.int64()))], names=["part", "uri", "n_docs", "n_tokens"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = docs.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
