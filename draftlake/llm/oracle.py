@@ -34,3 +34,31 @@ r AS (
   FROM s)
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
 """
+
+OP1_SQL = """
+WITH part AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+line AS (
+  SELECT doc_id, i AS pos, ls[i] AS line, list_distinct(list_filter(string_split_regex(lower(ls[i]), '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '')) AS ts
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM part)),
+tok AS (SELECT doc_id, pos, len(ts) AS n, unnest(ts) AS t FROM line),
+freq AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
+ranked AS (
+  SELECT doc_id, pos, n, t, row_number() OVER (PARTITION BY doc_id, pos ORDER BY c, t) AS i
+  FROM tok JOIN freq USING (t)),
+lead AS (SELECT * FROM ranked WHERE i <= n - CAST(ceil(0.75 * n) AS BIGINT) + 1),
+pair AS (
+  SELECT DISTINCT x.doc_id AS xd, x.pos AS xp, x.n AS xn, y.doc_id AS yd, y.pos AS yp, y.n AS yn
+  FROM lead x JOIN lead y ON x.t = y.t AND (y.doc_id, y.pos) < (x.doc_id, x.pos)
+  WHERE 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)),
+gone AS (
+  SELECT DISTINCT p.xd AS doc_id, p.xp AS pos
+  FROM pair p JOIN line a ON a.doc_id = p.xd AND a.pos = p.xp JOIN line b ON b.doc_id = p.yd AND b.pos = p.yp
+  WHERE 4 * len(list_intersect(a.ts, b.ts)) >= 3 * (p.xn + p.yn - len(list_intersect(a.ts, b.ts)))),
+kept AS (
+  SELECT l.doc_id, count(g.pos) AS n_removed,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+  FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+SELECT p.doc_id, k.text, CAST(coalesce(len(p.ls), 0) AS INTEGER) AS n_lines, CAST(coalesce(k.n_removed, 0) AS INTEGER) AS n_removed
+FROM part p LEFT JOIN kept k USING (doc_id)
+"""

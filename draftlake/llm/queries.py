@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, main_text, packing, sequence_files, sorted_lists, token_counts, warc
+from . import decontaminate, language_id, line_dedup, main_text, packing, sequence_files, sorted_lists, token_counts, warc
 from .ngram_join import ngram_components
-from .oracle import OP4_SQL, OP9_SQL
+from .oracle import OP1_SQL, OP4_SQL, OP9_SQL
 from .shared import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,9 +55,9 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_benchmark_decontamination, op3_best_fit_packing, op4_ngram_jaccard_join, op5_token_counts, op6_language_id,
+        op1_line_dedup, op2_benchmark_decontamination, op3_best_fit_packing, op4_ngram_jaccard_join, op5_token_counts, op6_language_id,
         op7_token_sequences, op8_warc_derivatives, op9_exact_top_k, op10_main_text,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard_join": OP4_SQL, "op9_exact_top_k": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op9_exact_top_k": OP9_SQL}
