@@ -31,7 +31,7 @@ TEXTS: dict[str, str] = {
         UNION ALL SELECT drawing_id, ent_id * 3 + 1, 'right', CAST(minx + maxx AS DOUBLE) / 2, miny, maxx, maxy FROM {ent}""",
     "pole": """SELECT drawing_id, ent_id * 3 + 2 AS id, minx, maxx + 50 AS maxx, maxy AS y FROM {ent} WHERE ent_id % 5 <> 0""",
     "number": """SELECT drawing_id, ent_id, minx + 1 AS minx, maxx AS maxx, maxy + 5 AS miny, maxy + 9 AS maxy,
-        concat(CAST((ent_id % 400) / 10 AS INT), '.', CAST(ent_id % 10 AS INT)) AS text FROM {ent}""",
+        concat(CAST(floor((ent_id % 400) / 10) AS INT), '.', CAST(ent_id % 10 AS INT)) AS text FROM {ent}""",
     "floor_area": """SELECT p_partkey % 50 AS building, CAST(p_size AS BIGINT) AS floor, CAST(max(floor(p_retailprice)) AS DOUBLE) AS area
         FROM {part} WHERE p_size % 4 <> 0 GROUP BY p_partkey % 50, p_size""",
     "task_log": """SELECT user_id AS task_id, ts, value,
