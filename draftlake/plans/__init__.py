@@ -1,3 +1,3 @@
 """Query plans; importing this package registers all of them."""
 
-from . import geometry, text  # noqa: F401
+from . import geometry, rows, text  # noqa: F401
