@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .shared import save
+from .sums import SUM_SCHEMA, sum_rows, summed
 
-PASSAGE, STRIDE = 24, 8
-TERMS, RANK, SPARE = 1 << 13, 96, 32
+PASSAGE, STRIDE = 24, 12
+TERMS, RANK, SPARE = 1 << 13, 64, 16
 CELLS = 1 << 22  # of the table that tells the benchmark's words
-NEAR, COVERED, SPAN, ANSWER = 0.5, 0.7, 1.5, 0.5
+NEAR, COVERED, SPAN, ANSWER = 0.6, 0.7, 1.5, 0.5
 COMMON = 0.05  # share of passages above which a word is no term, where its items have RARE others
 RARE = 6
 ITEMS = 4096
-SUM_ROWS = 512  # cells in a row of a task's sum
 _LAST = re.compile(r"[.!?。！？\n]+\s*")
 
 U = np.uint64
@@ -96,41 +96,20 @@ def _passages(bound: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, int]:
     return (np.cumsum(n) - n)[text] + (place - bound[text]) // PASSAGE, int(n.sum())
 
 
-def _sum_rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(total), SUM_ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array([k // SUM_ROWS], pa.int32()), pa.array([total[k : k + SUM_ROWS].tobytes()])], names=["part", "data"])
-
-
-def _summed(sums: DataFrame, dtype: type) -> np.ndarray:
-    """The sum of all tasks' sums; each part is added up by a task of its own."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, part = None, None
-        for b in batches:
-            for k, x in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
-                x = np.frombuffer(x, dtype)
-                total, part = (x.astype(dtype), k) if total is None else (total + x, k)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()])], names=["part", "data"])
-
-    rows = sums.groupBy("part").applyInArrow(lambda table: pa.Table.from_batches(add(iter(table.to_batches()))), "part int, data binary").collect()
-    return np.concatenate([np.frombuffer(r["data"], dtype) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(0, dtype)
-
-
 def frequencies(docs: DataFrame, items) -> tuple[np.ndarray, int]:
     """Passages with each cell, and all passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TERMS + SUM_ROWS, np.int64)
+        total = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
             for _, _, bound, place, term in _terms(batch, items.value):
                 passage, n = _passages(bound, place)
                 total[:TERMS] += np.bincount(np.unique(passage * TERMS + term) % TERMS, minlength=TERMS)
                 total[TERMS] += n
-        yield from _sum_rows(total)
+        yield from sum_rows(total)
 
-    total = _summed(docs.mapInArrow(run, "part int, data binary"), np.int64)
-    return (total[:TERMS], int(total[TERMS])) if len(total) else (np.zeros(TERMS, np.int64), 0)
+    total = summed(docs.mapInArrow(run, SUM_SCHEMA), (TERMS + 1,), np.int64)
+    return total[:TERMS], int(total[TERMS])
 
 
 def _products(batch: pa.RecordBatch, items: Items, idf: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -160,25 +139,22 @@ def singular_vectors(docs: DataFrame, items, idf: np.ndarray) -> tuple[np.ndarra
                 c = cell[order]
                 first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
                 total[c[first]] += np.add.reduceat(y[row[order]] * value[order][:, None], first, axis=0)
-        yield from _sum_rows(total)
+        yield from sum_rows(total)
 
     def small_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, total = basis.value, 0.0
         for batch in batches:
             for *_, y in _products(batch, items.value, sent.value, q):
                 total = total + (y.T @ y).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([(total + np.zeros((q.shape[1],) * 2)).tobytes()])], names=["part", "data"])
+        yield from sum_rows(total + np.zeros((q.shape[1],) * 2))
 
     sent = spark.sparkContext.broadcast(idf)
-    z = _summed(docs.mapInArrow(gram_times, "part int, data binary"), np.float32).reshape(-1, x.shape[1]).astype(np.float64)
+    z = summed(docs.mapInArrow(gram_times, SUM_SCHEMA), x.shape, np.float32).astype(np.float64)
     z_own = own.T @ (own @ x)
-    if not len(z) or not np.any(z):
-        z = np.zeros_like(z_own)
     scale = np.linalg.norm(z) / max(np.linalg.norm(z_own), 1e-9) if np.any(z) else 1.0
     q, _ = np.linalg.qr(z + scale * z_own)
     basis = spark.sparkContext.broadcast(q.astype(np.float32))
-    b = _summed(docs.mapInArrow(small_gram, "part int, data binary"), np.float64)
-    b = b.reshape(q.shape[1], -1) if len(b) else np.zeros((q.shape[1],) * 2)
+    b = summed(docs.mapInArrow(small_gram, SUM_SCHEMA), (q.shape[1],) * 2, np.float64)
     y = own @ q
     value, vector = np.linalg.eigh(b + scale * (y.T @ y))
     top = np.argsort(-value)[:RANK]
@@ -237,7 +213,6 @@ def matches(docs: DataFrame, items, idf: np.ndarray, vectors: np.ndarray) -> Dat
     rows = items.value.rows(idf) @ vectors
     length = np.linalg.norm(rows, axis=1)
     rows = (rows / np.maximum(length, 1e-12)[:, None]).astype(np.float32)
-    rows[length < 1e-9] = -1e9 * 0
     sent = spark.sparkContext.broadcast((idf, (vectors * idf[:, None]).astype(np.float32), rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

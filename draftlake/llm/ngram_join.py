@@ -37,13 +37,16 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .shared import partitions, remove, save
+from .sums import SUM_SCHEMA, sum_rows, summed
 
 U = np.uint64
-SKETCH = 1 << 18  # counters of the signature sketch, whatever the input
+SKETCH = 1 << 16  # counters of the signature sketch, whatever the input
 HOT = 4  # texts of one batch with one hash, above which the batch counts them itself
 BROADCAST_ROWS = 500_000  # of node ids; above it the join shuffles
 BAND = 1.25
 SLICE = 2000  # rows that a task holds at once
+#: Roles that each role meets, as bits: whole and reduced subsets of the index (0, 1), probes (2 to 4).
+MEETS = np.array([0b11100, 0b01000, 0b00001, 0b00011, 0b00001], np.uint8)
 TRIES = (1, 4)  # nodes that each node is checked against, in turn, before signatures are expanded
 LEAST_MARKS, MOST_MARKS = 512, 16384
 
@@ -207,8 +210,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole, _, less = signatures(s, *own)
             count[:SKETCH] += np.bincount(_cell(whole), minlength=SKETCH)
             count[SKETCH:] += np.bincount(_cell(less), minlength=SKETCH)
-    at = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at], pa.int64())], names=["cell", "n"])
+    yield from sum_rows(count)
 
 
 def allowances(whole: np.ndarray, seg: np.ndarray, less: np.ndarray, total: int, count: np.ndarray) -> np.ndarray:
@@ -260,10 +262,13 @@ def _groups(table: pa.Table) -> pa.Table:
     fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]) | (role[1:] != role[:-1])])
     sig, node, size, role = sig[fresh], node[fresh], size[fresh], role[fresh]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    roles = np.repeat(np.bitwise_or.reduceat(np.left_shift(np.uint8(1), role), first), np.diff(np.append(first, len(sig))))
+    met = (roles & MEETS[role]) > 0
+    sig, node, size, role = sig[met], node[met], size[met], role[met]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)])
     count = np.diff(np.append(first, len(sig)))
-    several = np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)
-    meet = several & np.logical_or.reduceat(role <= 1, first) & np.logical_or.reduceat(role >= 2, first)
-    name = np.add.reduceat(W.mix(W.mix(node.view(U)) + role.astype(U)), first)
+    meet = np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first) if len(sig) else np.zeros(0, bool)
+    name = np.add.reduceat(W.mix(W.mix(node.view(U)) + role.astype(U)), first) if len(sig) else np.zeros(0, U)
     once = np.zeros(len(first), bool)
     once[np.flatnonzero(meet)[np.unique(name[meet], return_index=True)[1]]] = True
     keep = np.repeat(once, count)
@@ -350,10 +355,7 @@ def _near_sizes(x: str, y: str):
 def linked_nodes(sets: DataFrame) -> DataFrame:
     """(node, comp) of all nodes of sets (node, size, shingles) that have a link."""
     spark = sets.sparkSession
-    cells = sets.select("shingles").mapInArrow(_sketch, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most 2 * SKETCH rows
-    count = np.zeros(2 * SKETCH, np.int64)
-    for cell, n in cells:
-        count[cell] = n
+    count = summed(sets.select("shingles").mapInArrow(_sketch, SUM_SCHEMA), (2 * SKETCH,), np.int64)
     buckets = 1 << max(4, (partitions(spark) - 1).bit_length())
     packed = sets.select("node", "shingles").mapInArrow(_signed(count, buckets), _PACKED)
     groups = packed.groupBy("bucket").applyInArrow(_groups, "sig long, node long, size long, role int, weight long")
