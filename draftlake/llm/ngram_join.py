@@ -40,14 +40,15 @@ from .shared import partitions, remove, save
 from .sums import SUM_SCHEMA, sum_rows, summed
 
 U = np.uint64
-SKETCH = 1 << 16  # counters of the signature sketch, whatever the input
+SKETCH = 1 << 19  # counters of the signature sketch, whatever the input
 HOT = 4  # texts of one batch with one hash, above which the batch counts them itself
 BROADCAST_ROWS = 500_000  # of node ids; above it the join shuffles
 BAND = 1.25
+EMPTY = 1e9  # cost of an empty subset: it comes last
 SLICE = 2000  # rows that a task holds at once
 #: Roles that each role meets, as bits: whole and reduced subsets of the index (0, 1), probes (2 to 4).
 MEETS = np.array([0b11100, 0b01000, 0b00001, 0b00011, 0b00001], np.uint8)
-TRIES = (1, 4)  # nodes that each node is checked against, in turn, before signatures are expanded
+TRIES = (1, 4, 8)  # nodes that each node is checked against, in turn, before signatures are expanded
 LEAST_MARKS, MOST_MARKS = 512, 16384
 
 
@@ -202,33 +203,36 @@ def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of whole and of reduced signatures in the index, in two lines of SKETCH counters."""
     np.seterr(over="ignore")
-    count = np.zeros(2 * SKETCH, np.int64)
+    count = np.zeros(2 * SKETCH, np.int32)
     for batch in batches:
         for x in batch.column("shingles").to_pylist():
             s = np.frombuffer(x, U)
             own = bands_for(len(s))[0]
             whole, _, less = signatures(s, *own)
-            count[:SKETCH] += np.bincount(_cell(whole), minlength=SKETCH)
-            count[SKETCH:] += np.bincount(_cell(less), minlength=SKETCH)
+            np.add.at(count, _cell(whole), 1)
+            np.add.at(count, SKETCH + _cell(less), 1)
     yield from sum_rows(count)
 
 
 def allowances(whole: np.ndarray, seg: np.ndarray, less: np.ndarray, total: int, count: np.ndarray) -> np.ndarray:
     """v of each segment, adding up to total or all that there is, where the counts are least."""
     m = len(whole)
-    one = count[_cell(whole)].astype(float)
-    two = count[SKETCH + _cell(whole)] + np.bincount(seg, count[_cell(less)] + 1.0, minlength=m) + 1.0
+    size = np.bincount(seg, minlength=m)
+    # Every set has empty subsets, and reduced ones of a single element are empty too.
+    one = count[_cell(whole)] + EMPTY * (size == 0)
+    two = count[SKETCH + _cell(whole)] + np.bincount(seg, count[_cell(less)] + 1.0, minlength=m) + 1.0 + EMPTY * (size <= 1)
     two = np.maximum(two, one)  # the second step of a segment never comes before its first
     cost = np.concatenate([one, two])
     best = np.lexsort((np.repeat([0, 1], m), cost))[: min(total, 2 * m)]
     return np.bincount(best % m, minlength=m)
 
 
-def _signed(count: np.ndarray, buckets: int):
+def _signed(counts, buckets: int):
     """Packed signatures; role 0 and 1 index whole and reduced subsets, 2 to 4 probe them (2 and 3: whole, with allowance 1 and 2; 4: reduced)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        count = counts.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -355,9 +359,9 @@ def _near_sizes(x: str, y: str):
 def linked_nodes(sets: DataFrame) -> DataFrame:
     """(node, comp) of all nodes of sets (node, size, shingles) that have a link."""
     spark = sets.sparkSession
-    count = summed(sets.select("shingles").mapInArrow(_sketch, SUM_SCHEMA), (2 * SKETCH,), np.int64)
+    count = summed(sets.select("shingles").mapInArrow(_sketch, SUM_SCHEMA), (2 * SKETCH,), np.int32)
     buckets = 1 << max(4, (partitions(spark) - 1).bit_length())
-    packed = sets.select("node", "shingles").mapInArrow(_signed(count, buckets), _PACKED)
+    packed = sets.select("node", "shingles").mapInArrow(_signed(spark.sparkContext.broadcast(count), buckets), _PACKED)
     groups = packed.groupBy("bucket").applyInArrow(_groups, "sig long, node long, size long, role int, weight long")
     met = save(groups.groupBy("sig", "node", "size", "role").agg(F.sum("weight").alias("weight")), "groups")
     tried = links = None
@@ -414,7 +418,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = save(nodes, "nodes")
     asked = F.least(F.col("size"), F.floor((3 * F.col("size") + 9) / 10).cast("long") + 2)
     kept = save(nodes.join(hits, "node").filter(F.col("hits") >= asked - F.floor(F.col("size") / 4)).select("node", "first"), "kept")
-    remove(spark, passed.inputFiles()[0].rsplit("/", 1)[0])
+    for path in {f.rsplit("/", 1)[0] for f in passed.inputFiles()}:
+        remove(spark, path)
     n = kept.count()
     wanted = kept.select("node", F.col("first").alias("doc_id"))
     wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
