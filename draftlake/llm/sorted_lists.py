@@ -77,7 +77,7 @@ def _best(k: int):
                 q_id, x_id = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
                 q, x = (np.frombuffer(row[c], np.int64).reshape(-1, row["length"]) for c in ("q_data", "data"))
                 qi, xi, score = best_of_block(q, q_id, x, x_id, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_id[qi]), pa.array(row["q_block"] * QUERY_BLOCK * 8 + qi), pa.array(x_id[xi]), pa.array(score)], names=["query_id", "q_row", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q_id[qi]), pa.array((row["q_block"] << 40) + qi), pa.array(x_id[xi]), pa.array(score)], names=["query_id", "q_row", "vec_id", "score"])
 
     return run
 
