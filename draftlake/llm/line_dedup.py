@@ -8,10 +8,10 @@ the order of (doc_id, place in the text).  The steps:
    rank by that count and its hash below it, so sorted keys are tokens from rare to common,
    and an order that all lines share.  Tokens are told apart by these 63 bits.
 2. Lines with equal sets become one, known by the first of them.
-3. Prefix filter: of n tokens the longer line of a pair offers its first n - ceil(0.75 n) + 1,
-   the shorter its first n - ceil(6/7 n) + 1.  Pairs must share one, agree in length, reach the
-   needed overlap from the places of the shared token, and differ in no more of 64 parities than they may
-   in tokens.
+3. Prefix filter: of n tokens the longer line of a pair offers its first n - ceil(0.75 n) + SHARED,
+   the shorter its first n - ceil(6/7 n) + SHARED.  Pairs must share SHARED of these, agree in
+   length, reach the needed overlap from the places of the shared tokens, and differ in no more of 64 parities
+   than they may in tokens.
 4. Every line first meets the earliest line for each of its LEADS rarest tokens.  Those that match are gone
    and no longer ask for an earlier one; only the others meet all lines with a shared token.  Copies therefore never
    make all their pairs.
@@ -32,6 +32,7 @@ from .shared import remove, save
 CELLS = 1 << 14
 HASH_BITS = 63 - 14
 LEADS = 2
+SHARED = 3  # different sets with a similarity of 3/4 have at least three tokens in common
 POS_BITS = 28  # a text has fewer lines than 2**28
 BROADCAST_ROWS = 1_000_000  # of line numbers (16 bytes each); above it the join shuffles
 AT = ("doc", "sub")  # what tells a line and orders all of them
@@ -70,11 +71,11 @@ def _ceil_div(a: Column, b: int) -> Column:
 
 
 def _could(x: str, y: str) -> Column:
-    """Whether lines x and y, that share a token, may match: lengths, places, parities."""
+    """Whether lines x and y, that share one of their first SHARED common tokens, may match: lengths, places, parities."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
     need = _ceil_div(3 * (nx + ny), 7)  # least overlap at a similarity of 3/4
     near = 4 * F.least(nx, ny) >= 3 * F.greatest(nx, ny)
-    reach = F.least(nx - F.col(f"{x}.i"), ny - F.col(f"{y}.i")) >= need
+    reach = F.least(nx - F.col(f"{x}.i"), ny - F.col(f"{y}.i")) >= need - (SHARED - 1)
     return near & reach & (F.bit_count(F.col(f"{x}.mark").bitwiseXOR(F.col(f"{y}.mark"))) <= nx + ny - 2 * need)
 
 
@@ -84,8 +85,10 @@ def _earlier(x: str, y: str) -> Column:
     return a < b
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(*(F.col(f"x.{c}").alias(c) for c in AT), *(F.col(f"y.{c}").alias(f"y_{c}") for c in AT)).distinct()
+def _pairs(joined: DataFrame, shared: int) -> DataFrame:
+    """The pairs that come up for at least so many tokens."""
+    found = joined.select(*(F.col(f"x.{c}").alias(c) for c in AT), *(F.col(f"y.{c}").alias(f"y_{c}") for c in AT))
+    return found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= shared).drop("shared")
 
 
 def matched_lines(docs: DataFrame) -> DataFrame:
@@ -93,28 +96,29 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ranks = save(rarity(docs), "ranks")
     n = F.col("n")
-    lead = F.slice("keys", F.lit(1), n - _ceil_div(3 * n, 4) + 1)
+    lead = F.slice("keys", F.lit(1), n - _ceil_div(3 * n, 4) + SHARED)
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
     whole = save(keyed(lines_of(docs), ranks).select(*AT, "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), lead.alias("lead"), parity.alias("mark")), "lines")
     rows = save(whole.select(*AT, "h1", "h2"), "line_sets")
     sets = whole.groupBy("h1", "h2").agg(F.min(F.struct(*AT, "n", "mark", "lead")).alias("s"), F.count(F.lit(1)).alias("copies"))
     sets = save(sets.select("h1", "h2", "copies", "s.*"), "sets")
-    remove(spark, whole.inputFiles()[0].rsplit("/", 1)[0])
+    for path in {f.rsplit("/", 1)[0] for f in whole.inputFiles()}:
+        remove(spark, path)
     posted = sets.select(*AT, "n", "mark", F.posexplode("lead").alias("i", "key"))
 
     first = posted.filter(F.col("i") < LEADS)
     earliest = first.groupBy("key").agg(F.min(F.struct(*AT, "n", "i", "mark")).alias("s"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "s.*")
     leads = first.alias("x").join(earliest.alias("y"), F.col("x.key") == F.col("y.key")).filter(_earlier("x", "y") & _could("x", "y"))
-    leads = save(_pairs(leads), "pairs")
+    leads = save(_pairs(leads, 1), "pairs")
     found = save(verified(leads, docs, ranks), "matched")
     # Lines already matched are still met, but no longer ask.
     asks = sets.join(found.withColumn("gone", F.lit(True)), [sets[c].eqNullSafe(found[c]) for c in AT], "left").select(*(sets[c] for c in AT), "n", "mark", "lead", F.col("gone").isNull().alias("asks"))
     posted = asks.select(*AT, "n", "mark", "asks", F.posexplode("lead").alias("i", "key"))
     nx, ny = F.col("x.n"), F.col("y.n")
-    x_index, y_index = (F.col(f"{s}.i") < F.col(f"{s}.n") - _ceil_div(6 * F.col(f"{s}.n"), 7) + 1 for s in "xy")
+    x_index, y_index = (F.col(f"{s}.i") < F.col(f"{s}.n") - _ceil_div(6 * F.col(f"{s}.n"), 7) + SHARED for s in "xy")
     either = (x_index & (nx <= ny)) | (y_index & (ny <= nx))
     more = posted.alias("x").join(posted.alias("y"), F.col("x.key") == F.col("y.key")).filter(F.col("x.asks") & _earlier("x", "y") & either & _could("x", "y"))
-    found = save(found.union(verified(save(_pairs(more), "pairs"), docs, ranks)), "matched")
+    found = save(found.union(verified(save(_pairs(more, SHARED), "pairs"), docs, ranks)), "matched")
     near = sets.join(found, [sets[c].eqNullSafe(found[c]) for c in AT], "left_semi").select("h1", "h2", F.lit(True).alias("near"))
     several = sets.filter("copies > 1").select("h1", "h2", *(F.col(c).alias(f"first_{c}") for c in AT))
     sets_gone = near.join(several, ["h1", "h2"], "full")
