@@ -6,7 +6,8 @@ A text's set holds its distinct five-word shingles.  Two sets link when
 1. One pass gives each text its set's size and digest.  Texts with one digest are one *node*.
 2. Screen by pigeonhole: a set of size s with a partner has at most s // 4 elements of its
    own, so of any p elements at least p - s // 4 lie in another set too.  p = 0.3 s elements
-   (the smallest hashes) are counted; sets with too few shared ones cannot link.  The count
+   (the smallest hashes) are counted of each set, and a larger partner may count one fewer of the
+   shared ones at a few sizes (SHORT); sets with too few shared ones cannot link.  The count
    is by hash bucket, each bucket small; a hash that many texts of one batch share is counted
    there and sent on twice only.
 3. Join of what is left: sizes fall in bands.  For each band the universe of shingles is split
@@ -63,6 +64,22 @@ def screened(size: int) -> int:
     return min(size, (3 * size + 9) // 10 + 2)
 
 
+def sure_hits(size: int, partner: int) -> int:
+    """Counted elements of a set of this size that lie in the counted part of a linked set of the other size, at least."""
+    both = -(-3 * (size + partner) // 7)
+    return min(screened(size) - (size - both), screened(partner) - (partner - both))
+
+
+def asked(size: int) -> int:
+    """Hits that every set of this size with a partner has."""
+    return min(sure_hits(size, t) for t in range(-(-3 * size // 4), 4 * size // 3 + 1))
+
+
+#: Sizes at which a larger partner counts too few to ask for screened(size) - size // 4.  From size 99 on none is left:
+#: a partner of size t counts 2 + 0.3 t - (4 t - 3 s) / 7 >= 2 + 0.06 s of the shared ones, the other side is at most 0.05 s + 3.65.
+SHORT = {s: screened(s) - s // 4 - asked(s) for s in range(1, 99) if asked(s) < screened(s) - s // 4}
+
+
 def band_of(size: int) -> int:
     b, low = 0, 1
     while size >= (high := band_end(low)):
@@ -416,8 +433,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hits = hits.union(passed.filter("bucket = -1").select("node", F.col("size").alias("hits"))).groupBy("node").agg(F.sum("hits").alias("hits"))
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n_copies"))
     nodes = save(nodes, "nodes")
-    asked = F.least(F.col("size"), F.floor((3 * F.col("size") + 9) / 10).cast("long") + 2)
-    kept = save(nodes.join(hits, "node").filter(F.col("hits") >= asked - F.floor(F.col("size") / 4)).select("node", "first"), "kept")
+    counted = F.least(F.col("size"), F.floor((3 * F.col("size") + 9) / 10).cast("long") + 2)
+    fewer = F.coalesce(F.create_map(*(F.lit(x).cast("long") for pair in SHORT.items() for x in pair))[F.col("size")], F.lit(0))
+    kept = save(nodes.join(hits, "node").filter(F.col("hits") >= counted - F.floor(F.col("size") / 4) - fewer).select("node", "first"), "kept")
     for path in {f.rsplit("/", 1)[0] for f in passed.inputFiles()}:
         remove(spark, path)
     n = kept.count()

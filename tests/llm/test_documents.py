@@ -85,6 +85,32 @@ def test_ngram_repeats_and_empty(spark):
     assert ngram_join.ngram_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_screen_asks_for_no_more_than_links_have():
+    for s in range(1, 150):
+        have = []
+        for t in range(1, 2 * s + 2):
+            for both in range(1, min(s, t) + 1):
+                if 100 * both >= 75 * (s + t - both):  # the elements of one side alone come first in its order
+                    have.append(min(both, ngram_join.screened(s) - (s - both), ngram_join.screened(t) - (t - both)))
+        assert max(1, ngram_join.screened(s) - s // 4 - ngram_join.SHORT.get(s, 0)) == max(1, min(have))
+
+
+def test_ngram_screen_keeps_contained_sets(spark):
+    rows = []
+    for k, (small, large) in enumerate([(7, 9), (15, 20), (27, 36)]):
+        text = " ".join(f"s{k}x{i}" for i in range(small + 4))
+        rows.append((2 * k, text))
+        for i in range(large - small):  # words whose new shingle is among the smallest hashes
+            texts = [f"{text} e{k}x{i}y{n}" for n in range(300)]
+            old = next(iter(ngram_join.W.shingle_sets([text])))
+            new = [np.setdiff1d(s, old)[0] for s in ngram_join.W.shingle_sets(texts)]
+            text = texts[int(np.argmin(new))]
+        rows.append((2 * k + 1, text))
+    got = {x["doc_id"]: (x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert [got[i][2] for i in range(6)] == [0, 0, 2, 2, 4, 4]
+
+
 def test_allowances_cover_every_budget():
     rng = np.random.default_rng(1)
     np.seterr(over="ignore")
