@@ -191,20 +191,30 @@ def _match(items: Items, i: int, h: np.ndarray, low: int, high: int) -> tuple[fl
     item, answer = items.words[i], items.answers[i]
     need = COVERED * len(item)
     part = h[low:high]
-    if np.isin(part, item).sum() < need:
+    place = np.flatnonzero(np.isin(part, item))
+    if len(place) < need:
         return None
+
+    def answered(first: int, last: int) -> bool:
+        return not len(answer) or common(answer, part[first : last + 1])[0] >= ANSWER * len(answer)
+
     n, first, last = common(item, part)
-    while n >= need and last - first + 1 > SPAN * len(item):  # look for a closer one to either side
-        left, right = common(item, part[:last]), common(item, part[first + 1 :])
-        if left[0] >= right[0]:
-            n, first, last = left
-        else:
-            n, first, last = right[0], right[1] + first + 1, right[2] + first + 1
     if n < need:
         return None
-    if len(answer) and common(answer, part[first : last + 1])[0] < ANSWER * len(answer):
-        return None
-    return n / len(item), low + first, last - first + 1
+    if last - first + 1 <= SPAN * len(item) and answered(first, last):
+        return n / len(item), low + first, last - first + 1
+    # The longest one is stretched or lacks the answer: take the best of all runs as long as the span.
+    words, best = part[place], (0, 0, 0)
+    stop = np.searchsorted(place, place + int(SPAN * len(item)))
+    for k in np.flatnonzero(stop - np.arange(len(place)) >= need).tolist():
+        if stop[k] - k > best[0]:
+            n, first, last = common(item, words[k : stop[k]])
+            if n >= need and n > best[0] and answered(place[k + first], place[k + last]):
+                best = n, int(place[k + first]), int(place[k + last])
+                if n == len(item):
+                    break
+    n, first, last = best
+    return (n / len(item), low + first, last - first + 1) if n else None
 
 
 def matches(docs: DataFrame, items, idf: np.ndarray, vectors: np.ndarray) -> DataFrame:

@@ -200,6 +200,37 @@ def test_common_subsequence():
         assert n == 0 or common_brute(a, b[first : last + 1]) == n
 
 
+def test_match_finds_the_tight_copy():
+    """The traced case that swung for ever, then stretched and tight copies against all runs of the span."""
+
+    def match(item, text):
+        items = decontaminate.Items([0], [item])
+        h = decontaminate.W.words(text.encode(), decontaminate.W.MARKS)[2]
+        return decontaminate._match(items, 0, h, 0, len(h)), h, items.words[0]
+
+    part = [f"x{k}" for k in range(31)]
+    for k, w in ((0, "a"), (1, "b"), (10, "c"), (12, "a"), (13, "b"), (14, "c"), (30, "d")):
+        part[k] = w
+    assert match("a b c d", " ".join(part))[0] == (0.75, 12, 3)
+    r = random.Random(4)
+    found = 0
+    for _ in range(300):
+        item = [f"i{r.randrange(9)}" for _ in range(r.randrange(3, 11))]
+        text = []
+        for _ in range(r.randrange(1, 4)):
+            gap = r.choice((0, 0, 1, 4))
+            for w in item:
+                text += [w] * (r.random() < 0.9) + [f"x{r.randrange(9)}" for _ in range(r.randrange(gap + 1))]
+        got, h, hashes = match(" ".join(item), " ".join(text))
+        span = int(decontaminate.SPAN * len(item))
+        most = max(common_brute(hashes, h[k : k + span]) for k in range(len(h))) if len(h) else 0
+        assert (got[0] if got else 0) == (most / len(item) if most >= decontaminate.COVERED * len(item) else 0)
+        if got:
+            found += 1
+            assert got[2] <= span and common_brute(hashes, h[got[1] : got[1] + got[2]]) == most
+    assert 50 < found < 300
+
+
 def brute_best_fit_is_valid(rows, lengths):
     held, size = {}, {}
     for r in rows:
