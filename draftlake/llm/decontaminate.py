@@ -5,8 +5,9 @@
 2. A randomised singular value decomposition of the passages' TF-IDF rows, with the benchmark's own
    rows at equal weight: one pass gives A'AX for a random X, whose orthonormal basis a second
    pass turns into singular vectors.  Each task sends its own sum, of fixed size.
-3. Windows of PASSAGE words, STRIDE apart, are projected by running sums over their terms and
-   compared with all items, in blocks of ITEMS; those with a cosine of NEAR or more are candidates.
+3. Windows are projected by running sums over their terms and compared, in blocks of ITEMS, with the
+   items of about their length (widths_of); those with a cosine of NEAR or more are candidates.
+   Windows of PASSAGE words lie STRIDE apart, others in proportion.
 4. Around candidates the longest common subsequence with the item must hold COVERED of the
    item's words within a span of at most SPAN times the item, and ANSWER of its last sentence's words.
 
@@ -16,6 +17,7 @@ reported one by one, as are repeated documents.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,10 +30,11 @@ from . import words as W
 from .shared import save
 from .sums import SUM_SCHEMA, sum_rows, summed
 
-PASSAGE, STRIDE = 24, 12
-TERMS, RANK, SPARE = 1 << 13, 64, 16
+PASSAGE, STRIDE = 24, 8
+TERMS, RANK, SPARE = 1 << 13, 96, 32
+STEP, LEAST = 1.5, 4  # ratio of window lengths, and the least
 CELLS = 1 << 22  # of the table that tells the benchmark's words
-NEAR, COVERED, SPAN, ANSWER = 0.6, 0.7, 1.5, 0.5
+NEAR, COVERED, SPAN, ANSWER = 0.5, 0.7, 1.5, 0.5
 COMMON = 0.05  # share of passages above which a word is no term, where its items have RARE others
 RARE = 6
 ITEMS = 4096
@@ -186,6 +189,12 @@ def common(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return n, end - back, end
 
 
+def widths_of(length: int) -> tuple[int, int]:
+    """Lengths of the windows for an item: the nearest to its own, for close copies, and the next, for stretched ones."""
+    k = round(math.log(max(1, length) / PASSAGE, STEP))
+    return max(LEAST, round(PASSAGE * STEP**k)), max(LEAST, round(PASSAGE * STEP ** (k + 1)))
+
+
 def _match(items: Items, i: int, h: np.ndarray, low: int, high: int) -> tuple[float, int, int] | None:
     """Coverage and span of item i in words low to high of a text, or None."""
     item, answer = items.words[i], items.answers[i]
@@ -229,6 +238,11 @@ def matches(docs: DataFrame, items, idf: np.ndarray, vectors: np.ndarray) -> Dat
         weight, project, item_rows = sent.value
         bench = items.value
         longest = np.array([len(w) for w in bench.words])
+        alike: dict[int, list[int]] = {}
+        for k, n in enumerate(longest.tolist()):
+            for width in set(widths_of(n)) if n else ():
+                alike.setdefault(width, []).append(k)
+        compared = [(width, np.array(k), item_rows[k]) for width, k in sorted(alike.items())]
         for batch in batches:
             ids, out = batch.column("doc_id"), []
             for at, h, bound, place, term in _terms(batch, bench, weight):
@@ -236,34 +250,36 @@ def matches(docs: DataFrame, items, idf: np.ndarray, vectors: np.ndarray) -> Dat
                     continue
                 sums = np.zeros((len(place) + 1, RANK), np.float32 if len(place) < 1 << 14 else np.float64)
                 np.cumsum(project[term], axis=0, out=sums[1:])
-                n = np.maximum(0, -(-(np.diff(bound) - PASSAGE) // STRIDE)) + (np.diff(bound) > 0)
-                text = np.repeat(np.arange(len(n)), n)
-                start = bound[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
-                end = np.minimum(start + PASSAGE, bound[text + 1])
-                lo, hi = np.searchsorted(place, start), np.searchsorted(place, end)
-                some = hi - lo >= 2
-                text, start, end, lo, hi = (x[some] for x in (text, start, end, lo, hi))
                 hits = []
-                for k in range(0, len(text), 4096):
-                    part = slice(k, k + 4096)
-                    v = (sums[hi[part]] - sums[lo[part]]).astype(np.float32)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
-                    for block in range(0, len(item_rows), ITEMS):
-                        cos = v @ item_rows[block : block + ITEMS].T
-                        w, i = np.nonzero(cos >= NEAR)
-                        hits.append((w + k, i + block, cos[w, i]))
-                w, i, cos = (np.concatenate([x[c] for x in hits]) if hits else np.zeros(0, np.int64) for c in range(3))
-                order = np.lexsort((w, i, text[w]))
-                w, i, cos = w[order], i[order], cos[order]
-                if not len(w):
+                for width, which, near in compared:
+                    stride = max(1, width * STRIDE // PASSAGE)
+                    n = np.maximum(0, -(-(np.diff(bound) - width) // stride)) + (np.diff(bound) > 0)
+                    text = np.repeat(np.arange(len(n)), n)
+                    start = bound[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * stride
+                    end = np.minimum(start + width, bound[text + 1])
+                    lo, hi = np.searchsorted(place, start), np.searchsorted(place, end)
+                    some = hi - lo >= 2
+                    text, start, end, lo, hi = (x[some] for x in (text, start, end, lo, hi))
+                    for k in range(0, len(text), 4096):
+                        part = slice(k, k + 4096)
+                        v = (sums[hi[part]] - sums[lo[part]]).astype(np.float32)
+                        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
+                        for block in range(0, len(which), ITEMS):
+                            cos = v @ near[block : block + ITEMS].T
+                            w, i = np.nonzero(cos >= NEAR)
+                            hits.append((text[w + k], which[i + block], start[w + k], end[w + k], cos[w, i]))
+                text, i, start, end, cos = (np.concatenate([x[c] for x in hits]) if hits else np.zeros(0, np.int64) for c in range(5))
+                order = np.lexsort((start, i, text))
+                text, i, start, end, cos = (x[order] for x in (text, i, start, end, cos))
+                if not len(text):
                     continue
                 # Candidates of one text and item that lie within reach of each other are one region.
-                far = (start[w[1:]] - start[w[:-1]]) > longest[i[1:]]
-                fresh = np.flatnonzero(np.concatenate([[True], (text[w[1:]] != text[w[:-1]]) | (i[1:] != i[:-1]) | far]))
-                for a, b in zip(fresh, np.append(fresh[1:], len(w)), strict=True):
-                    t, item = text[w[a]], i[a]
+                far = (start[1:] - start[:-1]) > longest[i[1:]]
+                fresh = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (i[1:] != i[:-1]) | far]))
+                for a, b in zip(fresh, np.append(fresh[1:], len(text)), strict=True):
+                    t, item = text[a], i[a]
                     reach = int(SPAN * longest[item])
-                    found = _match(bench, item, h, max(bound[t], start[w[a]] - reach), min(bound[t + 1], end[w[b - 1]] + reach))
+                    found = _match(bench, item, h, max(bound[t], start[a] - reach), min(bound[t + 1], end[a:b].max() + reach))
                     if found:
                         out.append((at + int(t), int(item), found[0], float(cos[a:b].max()), found[1] - int(bound[t]), found[2]))
             best: dict[tuple[int, int], tuple] = {}

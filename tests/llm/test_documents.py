@@ -173,6 +173,31 @@ def test_leaks_exact_and_paraphrased(spark):
     assert decontaminate.leaks(docs, spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_leaks_recall_by_item_length(spark):
+    """Copies of 72 to 80 % of the words of items of 16 to 200 words, the others left out, replaced or doubled; 2,000 items."""
+    r = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    often = [1 / (k + 20) for k in range(4000)]
+    say = lambda n: r.choices(vocabulary, often, k=n)
+    items, rows = [say(r.choice((16, 24, 40, 55, 67, 90, 120, 200))) for _ in range(2000)], []
+    for k in range(240):
+        w, kept = items[k], r.uniform(0.72, 0.8)
+        gone = set(r.sample(range(len(w)), int((1 - kept) * len(w))))
+        copy = [y for j, x in enumerate(w) for y in (say(k % 3) if j in gone else [x])]
+        rows.append(say(r.randrange(40, 300)) + copy + say(r.randrange(40, 300)))
+
+    def holds(d, i):
+        item, h = (decontaminate.W.words(" ".join(x).encode(), decontaminate.W.MARKS)[2] for x in (items[i], rows[d]))
+        span = int(decontaminate.SPAN * len(item))
+        return any(decontaminate.common(item, h[k : k + span])[0] >= decontaminate.COVERED * len(item) for k in np.flatnonzero(np.isin(h, item)))
+
+    docs, bench = (spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(y)], f"{c} long, text string") for c, y in (("doc_id", rows), ("item_id", items)))
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(docs, bench).collect()}
+    want = {(k, k) for k in range(len(rows)) if holds(k, k)}
+    assert len(want) == 240 and all(holds(*x) for x in got - want)
+    assert sorted(len(items[i]) for _, i in want - got) == []
+
+
 def test_singular_vectors_span_the_data(spark):
     items = decontaminate.Items([0, 1], [words(40, 1), words(40, 2)])
     docs = spark.createDataFrame([(i, words(60, i % 3)) for i in range(30)], "doc_id long, text string")
