@@ -26,19 +26,22 @@ SCALE = 1000  # capacities are integers
 SMOOTH = 1.2  # weight of an edge between neighbours that share their parent
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>?|<[a-zA-Z][^>]*>|[^<]+|<""", re.S)
-_NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_COMPOUND = re.compile(r"\b(?:no|has|with)[-_][\w-]*", re.I)  # tells of the page, not of the element
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Elements whose content is never text of the page.
-_SKIPPED = frozenset("script style template noscript head title textarea iframe svg math select option button object audio video canvas datalist".split())
+_SKIPPED = frozenset("script style template noscript head title textarea iframe svg annotation annotation-xml select option button object audio video canvas datalist".split())
 _BLOCK = frozenset("html body div section article main nav header footer aside form ul ol li table caption thead tbody tfoot tr td th p h1 h2 h3 h4 h5 h6 blockquote figure figcaption dl dt dd pre details summary fieldset legend address menu dialog center hgroup search".split())
 _VOID_BLOCK = frozenset(["hr"])
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _OUTSIDE = frozenset("nav aside form footer menu dialog search".split())
 _INSIDE = frozenset("article main".split())
 _BAD_WORDS = frozenset("nav navbar navigation menu menus header masthead topbar footer foot sidebar side aside rail ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice notification gdpr privacy comment comments commentlist reply replies discussion disqus respond share sharing social related recommended recommendations breadcrumb breadcrumbs widget newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar skip copyright legal alert form search tags trending popular outbrain taboola teaser".split())
+#: Bad words of parts whose articles are not the page's.
+_APART = frozenset("comment comments commentlist reply replies discussion disqus respond related recommended recommendations trending popular outbrain taboola teaser".split())
 _GOOD_WORDS = frozenset("article content post entry story main body text prose page".split())
 
 
@@ -52,8 +55,9 @@ class Block:
         self.parent = self.path[-2] if len(self.path) > 1 else -1
         inside = any(e[0] in _INSIDE for e in stack)
         self.good = inside or any(e[3] for e in stack)
-        self.bad = any(e[0] in _OUTSIDE or e[2] for e in stack) or not inside and any(e[0] == "header" for e in stack)
-        self.hidden = any(e[4] for e in stack)
+        chief = max((k for k, e in enumerate(stack) if e[5]), default=0)  # marks around the page's article tell of the page
+        self.bad = any(e[0] in _OUTSIDE or e[2] > (k < chief) for k, e in enumerate(stack)) or not inside and any(e[0] == "header" for e in stack)
+        self.hidden = any(e[4] for e in stack[chief:])
         self.heading = len(self.tag) == 2 and self.tag[0] == "h"
 
     def score(self) -> float:
@@ -64,12 +68,32 @@ class Block:
         return s
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name, the first of each; those without value are empty."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return found
+
+
+def marks_of(name: str, text: str) -> tuple[int, bool, bool]:
+    """Of a tag: bad words (2 for those of _APART), whether it has good words and is hidden; html and body have none."""
+    if not text or name in ("html", "body"):
+        return 0, False, False
+    a = attributes_of(text)
+    named = _COMPOUND.sub(" ", " ".join(a.get(k, "") for k in ("class", "id", "role")))
+    words = set(_WORD.findall(_CAMEL.sub(" ", named).lower()))
+    hidden = "hidden" in a or a.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSHOWN.search(a.get("style", "")))
+    return 2 if words & _APART else int(bool(words & _BAD_WORDS)), bool(words & _GOOD_WORDS), hidden
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
-    stack: list[tuple] = []  # name, number, bad words, good words, hidden
+    stack: list[tuple] = []  # name, number, bad words, good words, hidden, whether it is main or the first article
     parts: list[str] = []
     linked = link = number = 0
+    article = False
 
     def flush() -> None:
         nonlocal linked
@@ -119,11 +143,8 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[k:]
                         break
             number += 1
-            attributes, bad, good = m[3], False, False
-            if attributes:
-                words = {w for v in _NAMED.findall(attributes) for w in _WORD.findall(_CAMEL.sub(" ", v).lower())}
-                bad, good = bool(words & _BAD_WORDS) and name not in ("html", "body"), bool(words & _GOOD_WORDS) and name not in ("html", "body")
-            stack.append((name, number, bad, good, bool(attributes) and bool(_HIDDEN.search(attributes))))
+            stack.append((name, number, *marks_of(name, m[3]), name == "main" or name == "article" and not article))
+            article = article or name == "article"
     flush()
     return out
 

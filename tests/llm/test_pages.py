@@ -44,6 +44,23 @@ def test_main_text():
         main_text.main_text(broken)
 
 
+def test_marks_of_the_page_hide_no_article():
+    said = "This paragraph tells a long story with many words in it, and it ends here."
+    body = f"<article><p>{said}</p></article>"
+    for page in (
+        f"<html class='no-js hidden'><body style='overflow:hidden' class='has-sidebar'>{body}</body></html>",
+        f"<div class='overflow-hidden'>{body}</div>", f"<div style='overflow: hidden'>{body}</div>", f"<div aria-hidden='false'>{body}</div>",
+        f"<div data-note='hidden display:none'>{body}</div>", f"<div class='sidebar-right'>{body}</div>", f"<main><div class='sidebar'>{body}</div></main>",
+        *(f"<article class='post {c}'><p>{said}</p></article>" for c in ("no-sidebar", "has-comments", "with-sidebar", "overflow-hidden", "no-header-ad")),
+    ):
+        assert main_text.main_text(page) == said, page
+    for gone in ("<p hidden>", "<p HIDDEN=''>", "<p style='color:red; display: none'>", "<p aria-hidden=true>", "<p class='sidebar'>", "<div class='comments'><article>"):
+        assert main_text.main_text(f"{body}{gone}{said} Again.") == said, gone
+    assert main_text.main_text(f"<div id=comments>{body}</div>") == ""
+    formula = "<math><semantics><mi>a</mi><mo>=</mo><mi>b</mi><annotation>a tex</annotation></semantics></math>"
+    assert main_text.main_text(f"<article><p>{said[:-1]}: {formula}.</p></article>") == f"{said[:-1]}: a=b."
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)]
     got = main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
