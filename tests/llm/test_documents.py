@@ -202,6 +202,7 @@ def test_singular_vectors_span_the_data(spark):
     items = decontaminate.Items([0, 1], [words(40, 1), words(40, 2)])
     docs = spark.createDataFrame([(i, words(60, i % 3)) for i in range(30)], "doc_id long, text string")
     sent = spark.sparkContext.broadcast(items)
+    docs = decontaminate.encoded(docs, sent)
     count, n = decontaminate.frequencies(docs, sent)
     assert n == 90 and count.max() <= n
     v, s = decontaminate.singular_vectors(docs, sent, np.ones(decontaminate.TERMS))
@@ -374,3 +375,33 @@ def test_forward_backward_by_enumeration():
         want = weight / weight.sum(axis=1, keepdims=True)
         assert np.allclose(f.marginals(e, np.array([size]))[0, :size], want, atol=1e-6)
         assert np.allclose(f.posteriors(e, np.array([size]))[0][0, :size], want, atol=1e-6)
+
+
+def test_language_id_one_label_and_none(spark):
+    rows = [(i, f"house river {i} the", "aa" if i % 2 else None) for i in range(20)] + [(50, "??", "aa"), (None, "river", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x["lang_pred"] for x in language_id.languages(df).collect() if x["doc_id"] != 50} == {"aa"}
+    none = language_id.languages(df.selectExpr("doc_id", "text", "cast(null as string) AS lang")).collect()
+    assert {(x["lang_pred"], x["score"], len(x["spans"])) for x in none} == {("und", 0.0, 0)} and len(none) == len(rows)
+
+
+def test_language_spans_and_clashing_names(spark):
+    vocab = {"aa": "the of and with that from which house river", "bb": "der und das mit nicht straße über fluss haus"}
+    r = random.Random(3)
+    say = lambda x, n: " ".join(r.choice(vocab[x].split()) for _ in range(n))
+    field = language_id.fit([(say(x, 40), x) for x in ("aa", "bb") * 60])
+    df = spark.createDataFrame([(1, say("aa", 30) + " " + say("bb", 25), 0.5, "x"), (2, say("bb", 200), 0.5, "y"), (3, None, None, None)], "doc_id long, text string, score double, lang_pred string")
+    got = {x["doc_id"]: x for x in language_id.predict(df, field, spans=True).collect()}
+    assert [tuple(s) for s in got[1]["spans"]] == [(0, 30, "aa"), (30, 25, "bb")]
+    assert [tuple(s) for s in got[2]["spans"]] == [(0, 200, "bb")] and got[3]["lang_pred"] == "und" and got[3]["spans"] == []
+
+
+def test_word_features_by_brute_force():
+    """Affixes, pairs and triples found for all words at once are those of each word alone."""
+    field = language_id.Field(["a", "b"], {"a": ["straße"], "b": ["straße", "été"]})
+    words = ["a", "Ab", "été", "STRASSE", "straße", "Δοκιμή", "x" * 70]
+    number, start = field.features(words)
+    for w, x in zip(words, np.split(number, start[1:]), strict=True):
+        n = len(w.lower())
+        assert sorted(x.tolist()) == sorted(field.features([w])[0].tolist())
+        assert len(x) == max(0, n - 1) + max(0, n - 2) + 2 * min(3, n) + len(field.lexicon.get(w.lower(), ()))
