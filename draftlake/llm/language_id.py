@@ -2,21 +2,22 @@
 
 Words are runs of letters; chains are runs of CHAIN words of a text, so that long texts cost
 no more a word than short ones.  A word's score for a language is the sum of the weights of its
-features: affixes up to three letters, letter pairs and triples, and membership in the lexicon
+features: affixes up to three letters, pairs and triples of letters, and membership in the lexicon
 of frequent words of each language.  Weights of features and of transitions between languages are
 learned together from PER_LANGUAGE snippets of each language, half of them joined with another
 one's, so that changes within a text are seen.  Forward-backward gives each word's
-posterior; a document's language is the one with the largest mean posterior, which is its score.
+posterior; a document's language is the one with the largest mean posterior, which is its score, and
+runs of words with one likeliest language are its spans.
 
-A text without a letter, or null, is ``und`` with score 0, as is all when nothing is labelled.
-Languages beyond the MAX_LANGUAGES with most documents are not learned.  Each row is judged by
-its text alone; repeated rows get equal answers; other columns are ignored.
+A text without a letter, or null, is ``und`` with score 0 and has no spans, as is all when nothing is labelled.
+Where only one language is labelled, every text with letters has that one.  Each row is judged by
+its text alone, whatever its length; repeated rows get equal answers.  ``languages`` ignores other columns;
+``predict`` keeps them, and a column named like one of its own gives way to it.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,10 +31,9 @@ from . import words as W
 
 PER_LANGUAGE = 600  # expected snippets of each language in the training sample
 SNIPPET = 400  # characters of a snippet, from a place in the text that its hash names
-MAX_LANGUAGES = 100
 LEXICON = 1500  # frequent words of each language
 FEATURES = 1 << 15
-CHAIN, EPOCHS, RATE, KEPT = 64, 4, 0.3, 200_000
+CHAIN, EPOCHS, RATE = 64, 4, 0.3
 
 #: Runs of ASCII letters and of all bytes above ASCII.
 LETTERS = np.ones(256, bool)
@@ -59,15 +59,47 @@ class Field:
         self.weights = np.zeros((FEATURES + k, k), np.float32)
         self.moves = np.zeros((k, k), np.float32)
 
-    def features(self, word: str) -> list[int]:
-        w = word.lower()
-        padded = f"^{w}$"
-        names = {f"<{w[:n]}" for n in (1, 2, 3)} | {f"{w[-n:]}>" for n in (1, 2, 3)} | {padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)}
-        return [zlib.crc32(x.encode("utf-8", "replace")) % FEATURES for x in names] + [FEATURES + j for j in self.lexicon.get(w, ())]
-
-    def scores(self, word: str) -> np.ndarray:
-        f = self.features(word)
-        return self.weights[f].sum(axis=0) / np.sqrt(len(f))
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the features of all words, one word after the other, and where each word's start; words have letters only."""
+        np.seterr(over="ignore")
+        joined = "\n".join(words).lower()
+        a = np.concatenate([[10], np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), [10]]).astype(np.uint64)
+        edge = np.flatnonzero(a == 10)
+        first, last = edge[:-1] + 1, edge[1:] - 1
+        size = last - first + 1
+        found, owner, at = [], [], np.arange(len(words))
+        letters = np.flatnonzero(a != 10)
+        word_of = np.repeat(at, size)
+        for n, salt in ((2, 1), (3, 2)):
+            on = letters[np.arange(len(letters)) + n <= np.repeat(np.cumsum(size), size)]
+            h = np.full(len(on), salt, np.uint64)
+            for k in range(n):
+                h = W.mix(h * np.uint64(31) + a[on + k])
+            found.append(h)
+            owner.append(word_of[np.arange(len(letters)) + n <= np.repeat(np.cumsum(size), size)])
+        for start, step, salt in ((first, 1, 3), (last, -1, 4)):
+            h = np.full(len(words), salt, np.uint64)
+            for k in range(3):
+                on = np.flatnonzero(size > k)
+                h[on] = W.mix(h[on] * np.uint64(31) + a[start[on] + step * k])
+                found.append(h[on])
+                owner.append(on)
+        numbers = [(x >> np.uint64(20)).astype(np.int64) % FEATURES for x in found]
+        pairs = [(i, FEATURES + j) for i, w in enumerate(joined.split("\n")) if w in self.lexicon for j in self.lexicon[w]]
+        owner.append(np.array([i for i, _ in pairs], np.int64))
+        numbers.append(np.array([f for _, f in pairs], np.int64))
+        owner, numbers = np.concatenate(owner), np.concatenate(numbers)
+        order = np.argsort(owner, kind="stable")
+        return numbers[order], np.searchsorted(owner[order], at)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word."""
+        number, start = self.features(words)
+        width = np.diff(np.append(start, len(number)))
+        sums = np.empty((len(words), len(self.labels)), np.float32)
+        for j in range(len(self.labels)):
+            sums[:, j] = np.add.reduceat(self.weights[:, j][number], start)
+        return sums / np.sqrt(width)[:, None].astype(np.float32)
 
     def posteriors(self, scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For chains (chain, word, label) of the given sizes: word posteriors, and summed posteriors of moves."""
@@ -97,22 +129,23 @@ class Field:
 
     def marginals(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Word posteriors only."""
-        n, t, _ = scores.shape
-        e = np.exp(scores - scores.max(axis=2, keepdims=True))
-        move = np.exp(self.moves - self.moves.max())
+        e = np.ascontiguousarray(np.exp(scores - scores.max(axis=2, keepdims=True)).transpose(1, 0, 2))
+        t = len(e)
+        move = np.exp(self.moves - self.moves.max()).astype(e.dtype)
+        ones = np.ones(e.shape[2], e.dtype)
         alpha = np.empty_like(e)
-        a = e[:, 0]
-        alpha[:, 0] = a / a.sum(axis=1, keepdims=True)
+        alpha[0] = e[0]
         for i in range(1, t):
-            a = (alpha[:, i - 1] @ move) * e[:, i]
-            alpha[:, i] = a / a.sum(axis=1, keepdims=True)
-        b = np.ones_like(e[:, 0])
+            a = np.matmul(alpha[i - 1], move, out=alpha[i])
+            a *= e[i]
+            a /= (a @ ones)[:, None]
+        b = np.ones_like(e[0])
         for i in range(t - 2, -1, -1):
-            b = (b * e[:, i + 1]) @ move.T
-            b /= b.sum(axis=1, keepdims=True)
+            b = (b * e[i + 1]) @ move.T
+            b /= (b @ ones)[:, None]
             b[i + 1 >= sizes] = 1.0
-            alpha[:, i] *= b
-        return alpha / alpha.sum(axis=2, keepdims=True)
+            alpha[i] *= b
+        return (alpha / alpha.sum(axis=2, keepdims=True)).transpose(1, 0, 2)
 
 
 def fit(snippets: list[tuple[str, str]]) -> Field | None:
@@ -139,9 +172,10 @@ def fit(snippets: list[tuple[str, str]]) -> Field | None:
             chains.append((w, [number[x]] * len(w)))
     types = sorted({x for w, _ in chains for x in w})
     place = {x: i for i, x in enumerate(types)}
-    feats = [np.array(field.features(x)) for x in types]
-    flat, width = np.concatenate(feats), np.array([len(f) for f in feats])
-    starts, share = np.concatenate([[0], np.cumsum(width)[:-1]]), (1 / np.sqrt(width))[:, None]
+    flat, starts = field.features(types)
+    feats = np.split(flat, starts[1:])
+    width = np.diff(np.append(starts, len(flat)))
+    share = (1 / np.sqrt(width))[:, None]
     k, seen_w, seen_m = len(labels), np.full(field.weights.shape, 1e-6, np.float32), np.full((len(labels),) * 2, 1e-6)
     for _ in range(EPOCHS):
         for at in range(0, len(chains), 128):
@@ -160,8 +194,8 @@ def fit(snippets: list[tuple[str, str]]) -> Field | None:
             both = on[:, 1:]
             np.add.at(moved, (gold[:, :-1][both], gold[:, 1:][both]), 1.0)
             step = np.zeros(field.weights.shape)
-            rows = np.concatenate([feats[i] for i in used])
-            np.add.at(step, rows, np.repeat((grad * share)[used], width[used], axis=0))
+            if len(used):
+                np.add.at(step, np.concatenate([feats[i] for i in used]), np.repeat((grad * share)[used], width[used], axis=0))
             step = step / len(part) - 1e-5 * field.weights
             seen_w += step**2
             field.weights += (RATE * step / np.sqrt(seen_w)).astype(np.float32)
@@ -174,7 +208,7 @@ def fit(snippets: list[tuple[str, str]]) -> Field | None:
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     """Snippets of labelled rows that are not held out: about PER_LANGUAGE of each language, chosen and cut by a hash of the text."""
     open_ = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()  # a row for each language
     if not sizes:
         return []
     share = F.create_map(*[x for lang, n in sizes for x in (F.lit(lang), F.lit(n))])[F.col("lang")]
@@ -186,38 +220,24 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
 
 
 class Judge:
-    """Word scores by hash, filled as words come, and documents by their words' posteriors."""
+    """Documents judged by their words' posteriors."""
 
     def __init__(self, field: Field):
         self.field = field
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.table = np.zeros((1024, len(self.field.labels)), np.float32)
 
     def _scores(self, data: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
-        h, at, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slots) > KEPT:
-            self._forget()
-        slots = []
-        for x, i in zip(h.tolist(), at.tolist(), strict=True):
-            slot = self.slots.get(x)
-            if slot is None:
-                slot = self.slots[x] = len(self.slots)
-                if slot == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[slot] = self.field.scores(data[start[i] : end[i]].decode("utf-8", "replace"))
-            slots.append(slot)
-        return self.table[np.array(slots, np.int64)[which]]
-
-    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+        """Scores of all words, found once for each different one."""
+        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        return self.field.scores([data[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])[which]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[np.ndarray]]:
+        """Of each text the language, its score, and the spans as rows (first word, words, number of the label)."""
+        names, scores, spans = [], [], []
         k = len(self.field.labels)
         for at, to, data, starts in W.in_pieces(texts):
             start, end, h = W.words(data, LETTERS)
             bound = np.searchsorted(start, starts)
-            total = np.zeros((to - at, k))
+            total, runs, cut = np.zeros((to - at, k)), np.zeros((0, 3), np.int64), np.zeros(to - at + 1, np.int64)
             if len(h):
                 s = self._scores(data, start, end, h)
                 n = np.diff(bound)
@@ -225,52 +245,63 @@ class Judge:
                 within = np.arange(len(h)) - np.repeat(bound[:-1], n)
                 fresh = np.flatnonzero(within % CHAIN == 0)
                 sizes = np.diff(np.append(fresh, len(h)))
-                chain = np.repeat(np.arange(len(fresh)), sizes)
-                place = np.arange(len(h)) - np.repeat(fresh, sizes)
-                grid = np.zeros((len(fresh), CHAIN, k), np.float32)
-                grid[chain, place] = s
-                post = self.field.marginals(grid, sizes)[chain, place]
+                post = np.empty((len(h), k), np.float32)
+                # Chains of about one length go together, so that short ones are not padded to CHAIN.
+                order = np.argsort(sizes, kind="stable")
+                for part in np.split(order, np.searchsorted(sizes[order], (5, 9, 17, 33, CHAIN))):
+                    if len(part):
+                        place = fresh[part][:, None] + np.arange(sizes[part].max())[None, :]
+                        on = np.arange(place.shape[1])[None, :] < sizes[part][:, None]
+                        post[place[on]] = self.field.marginals(s[np.minimum(place, len(h) - 1)], sizes[part])[on]
                 for j in range(k):
                     total[:, j] = np.bincount(doc, post[:, j], minlength=to - at)
-            for text, row, n in zip(texts[at:to], total, np.diff(bound), strict=True):
+                label = post.argmax(axis=1)
+                first = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])]))
+                runs = np.stack([within[first], np.diff(np.append(first, len(h))), label[first]], axis=1)
+                cut = np.searchsorted(first, bound)
+            for text, row, n, a, b in zip(texts[at:to], total, np.diff(bound), cut[:-1], cut[1:], strict=True):
                 if not n or not any(map(str.isalpha, text)):
                     names.append("und")
                     scores.append(0.0)
+                    spans.append(runs[:0])
                 else:
                     names.append(self.field.labels[int(row.argmax())])
                     scores.append(min(1.0, float(row.max() / n)))
-        return names, scores
+                    spans.append(runs[a:b])
+        return names, scores, spans
+
 
+_SPAN = T.ArrayType(T.StructType([T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("lang", T.StringType())]))
 
-_judges: dict[int, Judge] = {}
 
+def _span_column(spans: list[np.ndarray], labels: list[str]) -> pa.Array:
+    rows = np.concatenate([np.zeros((0, 3), np.int64), *spans]).astype(np.int32)
+    named = pa.array(labels, pa.string()).take(pa.array(rows[:, 2]))
+    parts = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), named], names=["first_word", "n_words", "lang"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, spans)]), pa.int32()), parts)
 
-def predict(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    name = zlib.crc32(field.weights.tobytes() + field.moves.tobytes()) if field else 0
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # FEATURES rows of MAX_LANGUAGES weights at most
+
+def predict(docs: DataFrame, field: Field | None, text_col: str = "text", spans: bool = False) -> DataFrame:
+    """docs with lang_pred and score, and with spans also the runs of words of one language (first_word, n_words, lang)."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)  # FEATURES rows of a weight for each language
+    extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("spans", _SPAN)] if spans else [])]
+    docs = docs.select(*(c for c in docs.columns if c not in {e.name for e in extra}))
     columns, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        if shared.value is not None and name not in _judges:
-            _judges.clear()
-            _judges[name] = Judge(shared.value)
-        for batch in batches:
-            texts, names, scores = batch.column(at), [], []
-            for first in range(0, batch.num_rows, 512):
-                part = texts.slice(first, 512).to_pylist()
-                found = _judges[name].judge(part) if shared.value is not None else (["und"] * len(part), [0.0] * len(part))
-                names += found[0]
-                scores += found[1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
-
-    extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        judge = Judge(shared.value) if shared.value is not None else None
+        for batch in (b.slice(first, 512) for b in batches for first in range(0, b.num_rows, 512)):
+            part = batch.column(at).to_pylist()
+            names, scores, found = judge.judge(part) if judge else (["und"] * len(part), [0.0] * len(part), [np.zeros((0, 3), np.int64)] * len(part))
+            added = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), *([_span_column(found, judge.field.labels if judge else [])] if spans else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*columns, *(e.name for e in extra)])
+
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score, spans of every row of docs (doc_id, text, lang)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     field = fit(training_sample(docs))
-    return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), field).drop("text")
+    return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), field, spans=True).drop("text")
