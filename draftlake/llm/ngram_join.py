@@ -19,8 +19,10 @@ A text's set holds its distinct five-word shingles.  Two sets link when
    fixed size; the index holds all, so a rough count costs time and never a link.
 4. Each node is first checked, a few times, against one node of another component, the one that
    most of its signatures offer.  The checked links form components; only then are signatures
-   expanded that still hold several components, and only across them.  Copies therefore never make all their pairs.  Parities of the sets rule
-   most of these pairs out before the whole sets are joined.
+   expanded that still hold several components, and only across them.  A signature with few members on one
+   side (FEW) gives its pairs; parities of the sets rule most of these out before the whole sets are joined.
+   The members of all others meet by their differences (``by_differences``), so that neither copies nor
+   near misses of one text ever make all their pairs.
 5. Components by least-label propagation with short cuts, each round a written table.
 
 Null and empty texts have size 0 and stand alone.  Repeated rows are kept, one result row
@@ -51,6 +53,8 @@ SLICE = 2000  # rows that a task holds at once
 MEETS = np.array([0b11100, 0b01000, 0b00001, 0b00011, 0b00001], np.uint8)
 TRIES = (1, 4, 8)  # nodes that each node is checked against, in turn, before signatures are expanded
 LEAST_MARKS, MOST_MARKS = 512, 16384
+FEW = 8  # pairs that a signature may give for each of its members
+SALT = 16  # parts of a group that meet its base apart
 
 
 def digest(s: np.ndarray) -> int:
@@ -391,14 +395,90 @@ def linked_nodes(sets: DataFrame) -> DataFrame:
         comp = sets.select("node").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # Signatures that still hold more than one component.
     named = met.join(comp, "node")
-    mixed = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
-    open_rows = save(named.join(mixed, "sig"), "open")
-    i, p = open_rows.filter("role <= 1"), open_rows.filter("role >= 2")
+    sides = [F.count_if(F.col("role") <= 1).alias("n_index"), F.count_if(F.col("role") >= 2).alias("n_probe")]
+    mixed = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *sides).filter("low < high")
+    few = F.col("n_index") * F.col("n_probe") <= FEW * (F.col("n_index") + F.col("n_probe"))
+    open_rows = save(named.join(mixed.select("sig", few.alias("few")), "sig"), "open")
+    i, p = open_rows.filter("few AND role <= 1"), open_rows.filter("few AND role >= 2")
     i = i.select("sig", *(F.col(c).alias(f"i_{c}") for c in ("node", "size", "role", "comp")))
     more = i.join(p, "sig").filter((F.col("i_comp") != F.col("comp")) & _role_ok("i_role", "role") & _near_sizes("i_size", "size"))
     more = more.select(F.least("node", "i_node").alias("a"), F.greatest("node", "i_node").alias("b")).distinct()
     more = save(near_marks(more.join(tried, ["a", "b"], "left_anti"), sets), "pairs")
-    return components(links.union(save(verify(more, sets), "links")))
+    links = links.union(save(verify(more, sets), "links"))
+    return by_differences(grouped(open_rows.filter("NOT few")), sets, links)
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """(g, node): the nodes of rows (sig, node, comp) in groups, one for each component that has most nodes of a signature."""
+    most = rows.groupBy("sig", "comp").agg(F.countDistinct("node").alias("n")).groupBy("sig").agg(F.max_by("comp", F.struct("n", "comp")).alias("g"))
+    return rows.select("sig", "node").join(most, "sig").select("g", "node").distinct()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the elements of each group occur in a run of rows."""
+    for batch in batches:
+        g, sets = batch.column("g").to_numpy(), batch.column("shingles").to_pylist()
+        for at in np.unique(g):
+            element, n = np.unique(np.concatenate([np.frombuffer(sets[k], np.int64) for k in np.flatnonzero(g == at)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), at)), pa.array(element), pa.array(n)], names=["g", "element", "n"])
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements in which each set differs from its group's base."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            apart = [np.setxor1d(np.frombuffer(x, np.int64), np.array(base or [], np.int64)) for x, base in zip(part.column("shingles").to_pylist(), part.column("base").to_pylist(), strict=True)]
+            n = [len(x) for x in apart]
+            columns = [pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("g", "node")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(apart))], names=["g", "node", "element"])
+
+
+def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp) of all nodes with a link: components of links and of all links between members (g, node) of one group.
+
+    A group's base holds the elements of more than half of its sets.  Let E be the elements in which a set
+    differs from the base, and its slack 7 |E| less its size.  Sets x and y differ in |Ex| + |Ey| - 2 o elements, where o
+    is how many of them Ex and Ey share, and link if 7 times that is at most the sum of their sizes, so:
+
+    - if their slacks add up to 0 or less they link, and both link with the set of least slack, which makes one
+      component of all such pairs;
+    - other links share o >= (slack of x + slack of y) / 14 > 0 elements of E.  Sorted by rarity, a shared element is
+      among the first |E| - o + 1 of each.  Sets linked with that of least slack (near ones) need only meet
+      the others (far ones), so the o of each side is known from the least slack on the other side.
+    """
+    members = save(members, "members")
+    with_sets = members.join(sets.select("node", "size", "shingles"), "node")
+    count = save(with_sets.select("g", "shingles").mapInArrow(_counted, "g long, element long, n long").groupBy("g", "element").agg(F.sum("n").alias("n")), "counts")
+    total = members.groupBy("g").agg(F.count(F.lit(1)).alias("total"))
+    base = count.join(total, "g").filter("2 * n > total").groupBy("g").agg(F.collect_list("element").alias("base"))  # fewer than two sets hold
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    salted = with_sets.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(base.withColumn("salt", salts), ["g", "salt"], "left")
+    apart = save(salted.select("g", "node", "shingles", "base").mapInArrow(_differences, "g long, node long, element long"), "differences")
+    sized = apart.groupBy("g", "node").agg(F.count(F.lit(1)).alias("e"))
+    known = members.join(sized, ["g", "node"], "left").join(sets.select("node", "size"), "node").withColumn("e", F.coalesce("e", F.lit(0)))
+    known = save(known.withColumn("slack", 7 * F.col("e") - F.col("size")), "slacks")
+    least = known.groupBy("g").agg(F.min(F.struct("slack", "node")).alias("least")).select("g", F.col("least.slack").alias("low"), F.col("least.node").alias("centre"))
+    known = save(known.join(least, "g").withColumn("far", F.col("slack") + F.col("low") > 0), "slacks")
+    star = known.filter("NOT far AND node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    links = links.union(star)
+    comp = components(links)
+
+    far_low = known.filter("far").groupBy("g").agg(F.min("slack").alias("far_low"))
+    known = known.join(far_low, "g").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = lambda low: F.col("e") - F.ceil((F.col("slack") + F.col(low)) / 14) + 1
+    known = known.select("g", "node", "size", "comp", "e", "slack", "far", first("far_low").alias("short"), F.when(F.col("far"), first("low")).otherwise(first("far_low")).alias("long"))
+    rare = count.join(total, "g").select("g", "element", F.least(F.col("n"), F.col("total") - F.col("n")).alias("n"))
+    order = F.row_number().over(Window.partitionBy("g", "node").orderBy("n", "element"))
+    posted = save(apart.join(rare, ["g", "element"]).withColumn("i", order).drop("n").join(known, ["g", "node"]).filter("i <= long"), "posted")
+    need = F.ceil((F.col("x.slack") + F.col("y.slack")) / 14)
+    reach = F.least(F.col("x.e") - F.col("x.i"), F.col("y.e") - F.col("y.i")) + 1 >= need
+    either = (~F.col("y.far")) | ((F.col("x.i") <= F.col("x.short")) & (F.col("y.i") <= F.col("y.short")) & (F.col("x.node") < F.col("y.node")))
+    met = posted.filter("far").alias("x").join(posted.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.element") == F.col("y.element")))
+    met = met.filter((F.col("x.comp") != F.col("y.comp")) & either & reach & (need <= F.least("x.e", "y.e")) & (4 * F.least("x.size", "y.size") >= 3 * F.greatest("x.size", "y.size")))
+    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = save(near_marks(pairs, sets), "pairs")
+    return components(links.union(save(verify(pairs, sets), "links")))
 
 
 def best_pairs(members: DataFrame, turn: int, tries: int) -> DataFrame:
