@@ -12,10 +12,11 @@ the order of (doc_id, place in the text).  The steps:
    the shorter its first n - ceil(6/7 n) + SHARED.  Pairs must share SHARED of these, agree in
    length, reach the needed overlap from the places of the shared tokens, and differ in no more of 64 parities
    than they may in tokens.
-4. Every line first meets the earliest line for each of its LEADS rarest tokens.  Those that match are gone
-   and no longer ask for an earlier one; only the others meet all lines with a shared token.  Copies therefore never
-   make all their pairs.
-5. What is left is verified on the whole sets, read again for the lines concerned.
+4. Prefix tokens travel as 32-bit hashes; equal hashes of different tokens only add candidates.
+   Of the earliest lines for its LEADS rarest tokens every line first meets the one with most parities in common.  Those that match are gone
+   and no longer ask for an earlier one; only the others meet all lines with a shared token.
+5. Pairs are verified on the whole sets, read again for the lines concerned: first the NEAREST ones of each line
+   by parities, then all pairs of the lines that this leaves.  Copies therefore never make all their pairs.
 
 Null texts stay null; lines without a token match nothing and stay; a text of which all lines go is
 empty.  Rows with one doc_id come in the order of a hash of their texts; rows that are alike in both
@@ -31,7 +32,7 @@ from .shared import remove, save
 
 CELLS = 1 << 14
 HASH_BITS = 63 - 14
-LEADS = 2
+LEADS, NEAREST = 6, 4  # lines that a line meets before all others
 SHARED = 3  # different sets with a similarity of 3/4 have at least three tokens in common
 POS_BITS = 28  # a text has fewer lines than 2**28
 BROADCAST_ROWS = 1_000_000  # of line numbers (16 bytes each); above it the join shuffles
@@ -42,28 +43,36 @@ def _cell(h: Column) -> Column:
     return h.bitwiseAND(CELLS - 1).cast("int")
 
 
+def plain(text: Column) -> Column:
+    """Lower-cased, with a space for every white space but the ends of lines."""
+    text = F.lower(text)
+    for blank in "\t\x0b\f\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, sub, line) of all lines of docs (doc, tie, text)."""
-    lines = docs.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(doc, sub, line) of all lines of docs (doc, tie, text), as plain text."""
+    lines = docs.select("doc", "tie", F.posexplode(F.split(plain(F.col("text")), "\n")).alias("pos", "line"))
     return lines.select("doc", F.shiftleft("tie", POS_BITS).bitwiseOR(F.col("pos").cast("long")).alias("sub"), "line")
 
 
-def rarity(docs: DataFrame) -> DataFrame:
-    """One row: for each cell its rank by the number of tokens in it, CELLS numbers."""
-    every = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("t")).filter("t <> ''")
-    counts = every.groupBy(_cell(F.xxhash64("t")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    cells = docs.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell"))
-    every_cell = cells.join(counts, "cell", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ranked = every_cell.select("cell", (F.row_number().over(Window.orderBy("n", "cell")) - 1).cast("long").alias("rank"))  # CELLS rows
-    return ranked.agg(F.array_sort(F.collect_list(F.struct("cell", "rank"))).alias("r")).select(F.col("r.rank").alias("ranks"))
+def rarity(docs: DataFrame) -> Column:
+    """For each cell its rank by the number of tokens in it: a constant of CELLS numbers."""
+    every = docs.select(F.explode(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("t")).filter("t <> ''")
+    counts = dict(every.groupBy(_cell(F.xxhash64("t")).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())  # CELLS rows at most
+    order = sorted(range(CELLS), key=lambda cell: (counts.get(cell, 0), cell))
+    ranks = [0] * CELLS
+    for rank, cell in enumerate(order):
+        ranks[cell] = rank
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
-def keyed(lines: DataFrame, ranks: DataFrame) -> DataFrame:
+def keyed(lines: DataFrame, ranks: Column) -> DataFrame:
     """lines with keys, the sorted keys of their tokens, and n, how many; without lines that have none."""
-    h = F.transform(F.split(F.lower("line"), r"\s+"), lambda t: F.when(t != "", F.xxhash64(t)))
-    one = lines.withColumn("one", F.lit(1)).join(F.broadcast(ranks.withColumn("one", F.lit(1))), "one")  # ranks is one row of CELLS numbers
-    key = F.transform(F.array_compact(h), lambda x: F.shiftleft(F.get("ranks", _cell(x)), HASH_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - HASH_BITS)))
-    return one.select(*AT, F.sort_array(F.array_distinct(key)).alias("keys")).withColumn("n", F.size("keys")).filter("n > 0")
+    h = F.array_except(F.transform(F.split("line", " "), lambda t: F.xxhash64(t)), F.array(F.xxhash64(F.lit(""))))  # each token once
+    key = F.transform(h, lambda x: F.shiftleft(F.coalesce(F.get(ranks, _cell(x)), F.lit(0).cast("long")), HASH_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - HASH_BITS)))
+    return lines.filter(F.trim("line") != "").select(*AT, F.sort_array(key).alias("keys")).withColumn("n", F.size("keys"))
 
 
 def _ceil_div(a: Column, b: int) -> Column:
@@ -71,34 +80,50 @@ def _ceil_div(a: Column, b: int) -> Column:
 
 
 def _could(x: str, y: str) -> Column:
-    """Whether lines x and y, that share one of their first SHARED common tokens, may match: lengths, places, parities."""
+    """Whether lines x and y, that share one of their first SHARED common tokens, may match: parities, lengths, places.
+
+    At a similarity of 3/4 lines of nx and ny tokens have 3/7 (nx + ny) in common and differ in 1/7 (nx + ny), at most.
+    """
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    need = _ceil_div(3 * (nx + ny), 7)  # least overlap at a similarity of 3/4
-    near = 4 * F.least(nx, ny) >= 3 * F.greatest(nx, ny)
-    reach = F.least(nx - F.col(f"{x}.i"), ny - F.col(f"{y}.i")) >= need - (SHARED - 1)
-    return near & reach & (F.bit_count(F.col(f"{x}.mark").bitwiseXOR(F.col(f"{y}.mark"))) <= nx + ny - 2 * need)
+    parity = 7 * F.bit_count(F.col(f"{x}.mark").bitwiseXOR(F.col(f"{y}.mark"))) <= nx + ny
+    near = (4 * nx >= 3 * ny) & (4 * ny >= 3 * nx)
+    reach = 7 * (F.least(nx - F.col(f"{x}.i"), ny - F.col(f"{y}.i")) + (SHARED - 1)) >= 3 * (nx + ny)
+    return parity & near & reach
 
 
 def _earlier(x: str, y: str) -> Column:
     """Whether line y comes before line x; no id comes before any."""
-    a, b = F.struct(*(F.col(f"{y}.{c}") for c in AT)), F.struct(*(F.col(f"{x}.{c}") for c in AT))
-    return a < b
+    a, b = F.col(f"{y}.doc"), F.col(f"{x}.doc")
+    sub = F.col(f"{y}.sub") < F.col(f"{x}.sub")
+    return F.coalesce((a < b) | ((a == b) & sub), F.when(a.isNull(), b.isNotNull() | sub), F.lit(False))
+
 
+def _pairs(joined: DataFrame) -> DataFrame:
+    """The pairs of joined lines with how often they come up (shared) and the parities in which they differ (apart)."""
+    apart = F.bit_count(F.col("x.mark").bitwiseXOR(F.col("y.mark"))).alias("apart")
+    found = joined.select(*(F.col(f"x.{c}").alias(c) for c in AT), *(F.col(f"y.{c}").alias(f"y_{c}") for c in AT), apart)
+    return found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("shared"))
 
-def _pairs(joined: DataFrame, shared: int) -> DataFrame:
-    """The pairs that come up for at least so many tokens."""
-    found = joined.select(*(F.col(f"x.{c}").alias(c) for c in AT), *(F.col(f"y.{c}").alias(f"y_{c}") for c in AT))
-    return found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= shared).drop("shared")
+
+def _nearest(pairs: DataFrame, n: int) -> DataFrame:
+    """Of each line the n pairs with the least parities apart."""
+    order = Window.partitionBy(*AT).orderBy("apart", *(f"y_{c}" for c in AT))
+    return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).select(*AT, *(f"y_{c}" for c in AT))
+
+
+def _without(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows but for those of these lines."""
+    return rows.join(lines, [rows[c].eqNullSafe(lines[c]) for c in AT], "left_anti")
 
 
 def matched_lines(docs: DataFrame) -> DataFrame:
     """(doc, sub) of every line of docs (doc, tie, text) that an earlier line matches."""
     spark = docs.sparkSession
-    ranks = save(rarity(docs), "ranks")
+    ranks = rarity(docs)
     n = F.col("n")
     lead = F.slice("keys", F.lit(1), n - _ceil_div(3 * n, 4) + SHARED)
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
-    whole = save(keyed(lines_of(docs), ranks).select(*AT, "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), lead.alias("lead"), parity.alias("mark")), "lines")
+    whole = save(keyed(lines_of(docs), ranks).select(*AT, "n", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), F.transform(lead, lambda k: F.hash(k)).alias("lead"), parity.alias("mark")), "lines")
     rows = save(whole.select(*AT, "h1", "h2"), "line_sets")
     sets = whole.groupBy("h1", "h2").agg(F.min(F.struct(*AT, "n", "mark", "lead")).alias("s"), F.count(F.lit(1)).alias("copies"))
     sets = save(sets.select("h1", "h2", "copies", "s.*"), "sets")
@@ -108,17 +133,25 @@ def matched_lines(docs: DataFrame) -> DataFrame:
 
     first = posted.filter(F.col("i") < LEADS)
     earliest = first.groupBy("key").agg(F.min(F.struct(*AT, "n", "i", "mark")).alias("s"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "s.*")
-    leads = first.alias("x").join(earliest.alias("y"), F.col("x.key") == F.col("y.key")).filter(_earlier("x", "y") & _could("x", "y"))
-    leads = save(_pairs(leads, 1), "pairs")
+    leads = first.alias("x").join(earliest.alias("y"), F.col("x.key") == F.col("y.key")).filter(_could("x", "y") & _earlier("x", "y"))
+    leads = save(_nearest(_pairs(leads), 1), "pairs")
     found = save(verified(leads, docs, ranks), "matched")
     # Lines already matched are still met, but no longer ask.
     asks = sets.join(found.withColumn("gone", F.lit(True)), [sets[c].eqNullSafe(found[c]) for c in AT], "left").select(*(sets[c] for c in AT), "n", "mark", "lead", F.col("gone").isNull().alias("asks"))
-    posted = asks.select(*AT, "n", "mark", "asks", F.posexplode("lead").alias("i", "key"))
+    index = F.col("i") < F.col("n") - _ceil_div(6 * F.col("n"), 7) + SHARED
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 2)).bitwiseOR(F.shiftleft(index.cast("long"), 1)).bitwiseOR(F.col("asks").cast("long"))
+    posted = asks.select(*AT, "n", "mark", "asks", F.posexplode("lead").alias("i", "key")).select(*AT, "mark", packed.alias("packed"), "key")
+    # One shuffle serves both sides of the join; tokens of one line, or of lines that ask nothing, go before it.
+    same = Window.partitionBy("key")
+    met = posted.withColumn("c", F.count(F.lit(1)).over(same)).withColumn("any", F.max(F.col("packed").bitwiseAND(1)).over(same)).filter("c > 1 AND any = 1")
+    met = met.select("key", *AT, "mark", F.shiftright("packed", 32).cast("int").alias("n"), F.shiftright("packed", 2).bitwiseAND((1 << 30) - 1).cast("int").alias("i"), (F.col("packed").bitwiseAND(2) > 0).alias("index"), (F.col("packed").bitwiseAND(1) > 0).alias("asks"))
     nx, ny = F.col("x.n"), F.col("y.n")
-    x_index, y_index = (F.col(f"{s}.i") < F.col(f"{s}.n") - _ceil_div(6 * F.col(f"{s}.n"), 7) + SHARED for s in "xy")
-    either = (x_index & (nx <= ny)) | (y_index & (ny <= nx))
-    more = posted.alias("x").join(posted.alias("y"), F.col("x.key") == F.col("y.key")).filter(F.col("x.asks") & _earlier("x", "y") & either & _could("x", "y"))
-    found = save(found.union(verified(save(_pairs(more, SHARED), "pairs"), docs, ranks)), "matched")
+    either = (F.col("x.index") & (nx <= ny)) | (F.col("y.index") & (ny <= nx))
+    more = met.alias("x").join(met.alias("y"), F.col("x.key") == F.col("y.key")).filter(F.col("x.asks") & _could("x", "y") & either & _earlier("x", "y"))
+    more = save(_pairs(more).filter(F.col("shared") >= SHARED), "pairs")
+    near = save(verified(save(_nearest(more, NEAREST), "nearest"), docs, ranks), "matched")
+    found = found.union(near)
+    found = save(found.union(verified(save(_without(more, near), "pairs"), docs, ranks)), "matched")
     near = sets.join(found, [sets[c].eqNullSafe(found[c]) for c in AT], "left_semi").select("h1", "h2", F.lit(True).alias("near"))
     several = sets.filter("copies > 1").select("h1", "h2", *(F.col(c).alias(f"first_{c}") for c in AT))
     sets_gone = near.join(several, ["h1", "h2"], "full")
@@ -126,7 +159,7 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     return rows.join(sets_gone, ["h1", "h2"]).filter(F.col("near") | later).select(*AT).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, ranks: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, ranks: Column) -> DataFrame:
     """(doc, sub) of the pairs' later lines whose whole sets match the earlier ones'."""
     wanted = save(pairs.select(*AT).union(pairs.select(*(F.col(f"y_{c}").alias(c) for c in AT))).distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -140,15 +173,22 @@ def verified(pairs: DataFrame, docs: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col shortened, and n_lines and n_removed, the lines before and taken away (0 for null texts)."""
+    """docs with text_col shortened, and n_lines and n_removed, the lines before and taken away (0 for null texts).
+
+    Columns of docs named n_lines or n_removed give way to these.
+    """
+    docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")))
     repeated = docs.groupBy(id_col).count().filter("count > 1").limit(1).count()
     text = F.col(text_col).cast("string")
-    tie = F.shiftrightunsigned(F.xxhash64(text), 64 - (63 - POS_BITS)) if repeated else F.lit(0).cast("long")
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), tie.alias("tie"), text.alias("text"))
-    gone = matched_lines(source).groupBy(F.col("doc").alias("_doc"), F.shiftrightunsigned("sub", POS_BITS).alias("_tie"))
-    gone = gone.agg(F.collect_set(F.col("sub").bitwiseAND((1 << POS_BITS) - 1).cast("int")).alias("_gone"))
-    found = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(gone["_doc"]) & (tie == gone["_tie"]), "left")
+    tie_of = lambda text: F.shiftrightunsigned(F.xxhash64(text), 64 - (63 - POS_BITS)) if repeated else F.lit(0).cast("long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc"), tie_of(text).alias("tie"), text.alias("text"))
+    gone = matched_lines(source).groupBy("doc", F.shiftrightunsigned("sub", POS_BITS).alias("tie"))
+    gone = gone.agg(F.collect_set(F.col("sub").bitwiseAND((1 << POS_BITS) - 1).cast("int")).alias("gone")).alias("g")
+    # The columns of docs travel as one struct, so that none of their names can clash.
+    whole = docs.select(F.struct(*docs.columns).alias("row")).alias("d")
+    text, gone_at = F.col(f"d.row.`{text_col}`").cast("string"), F.col("g.gone")
+    found = whole.join(gone, F.col(f"d.row.`{id_col}`").cast("long").eqNullSafe(F.col("g.doc")) & (tie_of(text) == F.col("g.tie")), "left")
     parts = F.split(text, "\n")
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    n_removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
-    return found.select(*(kept.alias(c) if c == text_col else docs[c] for c in docs.columns), F.when(text.isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), n_removed.alias("n_removed"))
+    kept = F.when(gone_at.isNull(), text).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone_at, i)), "\n"))
+    own = [kept.alias(c) if c == text_col else F.col(f"d.row.`{c}`").alias(c) for c in docs.columns]
+    return found.select(*own, F.when(text.isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.when(gone_at.isNull(), 0).otherwise(F.size(gone_at)).alias("n_removed"))
