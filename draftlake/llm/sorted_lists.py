@@ -1,15 +1,16 @@
 """Exact top k by inner product from sorted lists, without random access.
 
-Each component of a block of vectors is a list sorted by value; a query reads a list from the
-end that its own component favours.  After reading to some depth the frontier bounds what has
-not been seen, so every vector has a lower and an upper bound for every query: what was not seen
-counts as the frontier for the upper and as the list's worst value for the lower one.  Once few
-vectors reach the k-th highest lower bound, reading stops and only their scores are resolved.
+Each component of a block of vectors is a list sorted by value; a query reads every list from the
+end that its own component favours, STEPS-th by STEPS-th part.  A vector's lower bound counts the list's worst
+value for each component that was not read yet, the upper bound the frontier, the last value read.  Once at most
+RESOLVED k vectors have an upper bound that reaches the k-th highest lower bound, no outsider can qualify: reading stops
+and only these scores are resolved.
 
 Queries and vectors are dealt in blocks; each pair of blocks gives its k best, and the k best of
 those are the result.  Vectors that are null, or hold nulls or values that are not finite, take
-no part; vectors of different length have no score.  Rows with a query's own id are not
-candidates for it; other repeated rows count one by one.  An empty table gives no rows.
+no part; vectors of different length have no score, those of length 0 the score 0.  Components beyond the
+range of long count as its ends; scores are exact integers, put in order before those beyond the range of long are set to its ends.
+Rows with a query's own id are not candidates for it; other repeated rows count one by one.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,44 +24,56 @@ from pyspark.sql import functions as F
 
 from .shared import partitions, save
 
-DEPTHS = (0.5, 0.75, 0.875, 0.9375, 1.0)  # shares of a list after which bounds are compared
-FEW = 0.06  # share of the candidates below which scores are resolved
+STEPS = 16  # parts in which a list is read
+RESOLVED = 4  # times k vectors whose scores are resolved at the end
 BLOCK, QUERY_BLOCK = 8192, 1024
 
 
-def best_of_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, candidate index, score) of each query's k best, ties to the smaller id."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    if most >= 2**53:
-        raise ValueError("components too large for exact scores")
-    kind = np.float32 if most < 2**24 else np.float64
-    up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-    x_kind, n = x.astype(kind), len(x)
-    lists = np.sort(x_kind, axis=0)
-    own = q_id[:, None] == x_id[None, :]
-    for depth in DEPTHS:
-        read = min(n, max(1, int(np.ceil(depth * n))))
-        high, low = lists[n - read], lists[read - 1]  # frontiers from above and from below
-        upper = up @ np.maximum(x_kind, high).T + down @ np.minimum(x_kind, low).T
-        if read == n:
-            lower = upper
+def _open_rows(q: np.ndarray, x: np.ndarray, order: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """The rows of x that may be among the k best for q, all but own, and how many entries of lists were read."""
+    n, d = x.shape
+    sides = np.arange(d)
+    lists = np.where(q >= 0, order[::-1], order)  # row numbers, best first for the query
+    gain = q * x[lists, sides]
+    worst, low = gain[-1], np.full(n, gain[-1].sum(), gain.dtype)
+    seen, step = np.zeros((n, d), bool), -(-n // STEPS)
+    for at in range(0, n, step):
+        to = min(n, at + step)
+        rows = lists[at:to]
+        np.add.at(low, rows.ravel(), (gain[at:to] - worst).ravel())
+        seen[rows, sides] = True
+        high = low + (~seen).astype(gain.dtype) @ (gain[to - 1] - worst)
+        bounds = np.where(own, low.min() - 1, low)
+        if n > k:
+            least = np.partition(bounds, n - k)[n - k]
+            open_ = np.flatnonzero((high >= least) & ~own)
         else:
-            lower = up @ np.where(x_kind >= high, x_kind, lists[0]).T + down @ np.where(x_kind <= low, x_kind, lists[-1]).T
-        lower = np.where(own, -np.inf, lower)
-        reach = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf, kind)
-        open_ = (upper >= reach[:, None]) & ~own
-        if read == n or open_.sum() <= FEW * open_.size:
+            open_ = np.flatnonzero(~own)
+        if len(open_) <= RESOLVED * k:
             break
-    qi, xi = np.nonzero(open_)
-    score = np.empty(len(qi), np.int64)
-    for at in range(0, len(qi), 1 << 18):
-        part = slice(at, at + (1 << 18))
-        score[part] = np.einsum("ij,ij->i", q[qi[part]], x[xi[part]])
-    order = np.lexsort((x_id[xi], -score, qi))
-    qi, xi, score = qi[order], xi[order], score[order]
-    first = np.searchsorted(qi, qi)
-    keep = np.arange(len(qi)) - first < k
-    return qi[keep], xi[keep], score[keep]
+    return open_, to * d
+
+
+def best_of_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, read: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(query index, candidate index, score) of each query's k best, ties to the smaller id; read gets the entries read for each query."""
+    most = int(np.abs(q.astype(float)).max(initial=0)) * int(np.abs(x.astype(float)).max(initial=0)) * max(1, q.shape[1])
+    if most >= 1 << 61:
+        q, x = q.astype(object), x.astype(object)
+    order = np.argsort(x, axis=0, kind="stable")
+    qi, xi, scores = [], [], []
+    for r in range(len(q)):
+        own = x_id == q_id[r]
+        if q.shape[1]:
+            open_, n = _open_rows(q[r], x, order, own, k)
+        else:
+            open_, n = np.flatnonzero(~own), 0
+        if read is not None:
+            read.append(n)
+        found = sorted((-int(s), int(i), int(o)) for s, i, o in zip((x[open_] * q[r]).sum(axis=1), x_id[open_], open_, strict=True))[:k]
+        qi += [r] * len(found)
+        xi += [o for _, _, o in found]
+        scores += [-s for s, _, _ in found]
+    return np.array(qi, np.int64), np.array(xi, np.int64), scores
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -75,9 +88,10 @@ def _best(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 q_id, x_id = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q, x = (np.frombuffer(row[c], np.int64).reshape(-1, row["length"]) for c in ("q_data", "data"))
+                q, x = (np.frombuffer(row[c], np.int64).reshape(len(i), row["length"]) for c, i in (("q_data", q_id), ("data", x_id)))
                 qi, xi, score = best_of_block(q, q_id, x, x_id, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_id[qi]), pa.array((row["q_block"] << 40) + qi), pa.array(x_id[xi]), pa.array(score)], names=["query_id", "q_row", "vec_id", "score"])
+                whole = pa.array([str(v) for v in score], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(q_id[qi]), pa.array((row["q_block"] << 40) + qi), pa.array(x_id[xi]), whole], names=["query_id", "q_row", "vec_id", "score"])
 
     return run
 
@@ -98,7 +112,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     candidates = packed(whole, sizes["n"], BLOCK)
     asked = packed(whole.filter(F.col("id") % every == 0), sizes["q"], QUERY_BLOCK)
     asked = asked.select("length", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    pairs = candidates.join(asked, "length").repartition(max(partitions(spark), -(-sizes["n"] // BLOCK) * -(-sizes["q"] // QUERY_BLOCK)))
-    found = pairs.mapInArrow(_best(k), "query_id long, q_row long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "q_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # Each block of candidates meets every block of the query set by a key of its own.
+    blocks = max(1, -(-sizes["n"] // BLOCK))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = candidates.join(asked, ["length", "block"]).repartition(max(partitions(spark), blocks * -(-sizes["q"] // QUERY_BLOCK)))
+    found = pairs.mapInArrow(_best(k), "query_id long, q_row long, vec_id long, score string").withColumn("exact", F.col("score").cast("decimal(38,0)"))
+    best = Window.partitionBy("query_id", "q_row").orderBy(F.desc("exact"), "vec_id")
+    ends = F.least(F.greatest("exact", F.lit(-(1 << 63)).cast("decimal(38,0)")), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", ends.alias("score"))
