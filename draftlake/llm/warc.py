@@ -4,8 +4,9 @@ A response record is built from a page, written as WARC/1.1 bytes, and read agai
 From each come two records that name it in WARC-Refers-To and repeat its target, date and digests: a
 ``metadata`` record (JSON: source headers, HTTP headers, title, links) and a ``conversion``
 record (the text without markup).  Record ids are version 5 UUIDs of what they name, so
-a run gives the same ids again.  A null url is an empty target, a null page has no payload;
-repeated pages give repeated records.
+a run gives the same ids again; a response's names its page, target and payload, so that pages with one id
+and url but different html are told apart.  A null url is an empty target, a null page has no payload;
+rows that are alike in all three give repeated records.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .main_text import blocks_of
+
 DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:draftlake:warc")
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript|head)\b.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|table|tr|section|article|nav|header|footer|aside|main|form|blockquote|pre|br|hr|body|html)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 _LINK = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]*)", re.I)
 
@@ -61,14 +61,12 @@ def response(page_id: int | None, url: str | None, page: str | None, date: str =
     payload = (page or "").encode("utf-8", "surrogatepass")
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-    return record({"WARC-Type": "response", "WARC-Record-ID": record_id("response", str(page_id), target), "WARC-Target-URI": target, "WARC-Date": date, "WARC-Block-Digest": digest(block), "WARC-Payload-Digest": digest(payload), "Content-Type": "application/http; msgtype=response"}, block)
+    return record({"WARC-Type": "response", "WARC-Record-ID": record_id("response", str(page_id), target, digest(payload)), "WARC-Target-URI": target, "WARC-Date": date, "WARC-Block-Digest": digest(block), "WARC-Payload-Digest": digest(payload), "Content-Type": "application/http; msgtype=response"}, block)
 
 
 def plain_text(page: str) -> str:
     """Text without markup: a line for each block, white space folded."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub("", page)))
-    lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return "\n".join(b.text for b in blocks_of(page))
 
 
 def derive(source: bytes) -> list[bytes]:
