@@ -1,7 +1,7 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed batches.
 
 A batch of changes is summed to signed totals and committed once under its name: a folder of
-the store, written whole before it counts.  Committing a name again changes nothing, so a job
+the store, which counts once its marker says that it was written whole.  Committing a name again changes nothing, so a job
 that is run again after a failure is harmless.  The totals are the sum of all commits; they may be
 folded into one.
 """
@@ -56,7 +56,12 @@ class TokenTotals:
         """Keys with n_docs and n_tokens; keys whose documents are all gone are left out."""
         if not self._there(self.folder):
             return self.spark.createDataFrame([], _SCHEMA)
-        rows = self.spark.read.schema(_SCHEMA).parquet(f"{self.folder}/batch=*")
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch=*/_SUCCESS")) or []
+        done = [f.getPath().getParent().toString() for f in found]  # a batch without marker is not committed
+        if not done:
+            return self.spark.createDataFrame([], _SCHEMA)
+        rows = self.spark.read.schema(_SCHEMA).parquet(*done)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
 
 
@@ -70,8 +75,11 @@ def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
             raw, folded = [], []
             for at in range(0, batch.num_rows, 512):
                 texts = batch.column("text").slice(at, 512).to_pylist()
-                raw += [len(ids) for ids in code.encode(texts)]
-                folded += [len(ids) for ids in code.encode([" ".join(t.split()) for t in texts])]
+                plain = [" ".join(t.split()) for t in texts]
+                own = [len(ids) for ids in code.encode(texts)]
+                other = iter(code.encode([p for p, t in zip(plain, texts, strict=True) if p != t]))
+                raw += own
+                folded += [n if p == t else len(next(other)) for n, p, t in zip(own, plain, texts, strict=True)]
             n = len(raw)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang", "digest")), pa.array([name] * n), pa.array(raw, pa.int64()), pa.array(folded, pa.int64())], names=["doc_id", "source", "lang", "digest", "tokenizer", "raw", "folded"])
 
