@@ -94,6 +94,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked = link = number = 0
     article = False
+    unclosed: set[str] = set()  # elements without an end tag from here on
 
     def flush() -> None:
         nonlocal linked
@@ -115,7 +116,9 @@ def blocks_of(page: str) -> list[Block]:
         name = name.lower()
         if name in _SKIPPED:
             if not m[1]:
-                close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                close = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                if not close:
+                    unclosed.add(name)
                 at = close.end() if close else (end if name in ("script", "style", "title", "textarea") else at)
         elif name == "a":
             link = 0 if m[1] else 1
