@@ -20,19 +20,30 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, of a language that the field knows; texts and labels stay as they are."""
+    """Documents with letters, of a language that the field knows; texts, labels and other columns stay as they are.
+
+    Null texts and texts without letters go; an empty table stays empty.
+    """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     field = language_id.fit(language_id.training_sample(source))
-    judged = language_id.predict(docs, field)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    # Numbered names, so that no column of docs clashes with those of the judgement.
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    judged = language_id.predict(numbered.withColumn("text", F.col(f"c{docs.columns.index('text')}").cast("string")), field)
+    kept = judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*numbered.columns).toDF(*docs.columns)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that match earlier ones; those of which nothing is left go.  n_chars follows the text."""
-    found = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)
+    """Documents without lines that match earlier ones; those of which nothing is left go.  n_chars follows the text.
+
+    Rows without id come first and are cut like others; null texts stay null.
+    """
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    id_, text, n = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "n_chars"))
+    found = line_dedup.dedup_lines(numbered, id_, text)
+    emptied = (F.col("n_removed") > 0) & (F.trim(F.translate(text, "\n\t\r", "   ")) == "")
+    n_chars = F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col(n))
+    return found.filter(~F.coalesce(emptied, F.lit(False))).withColumn(n, n_chars).select(*numbered.columns).toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,6 +111,25 @@ def test_ngram_screen_keeps_contained_sets(spark):
     assert [got[i][2] for i in range(6)] == [0, 0, 2, 2, 4, 4]
 
 
+def test_ngram_near_misses_of_one_text(spark, monkeypatch):
+    """Copies with up to nine changed words: most pairs are just above or below the threshold, and groups meet by their differences."""
+    r = random.Random(8)
+    base = words(140, 55).split()
+    rows = [(k, " ".join(base)) for k in range(2)]
+    for i in range(2, 260):
+        w = list(base)
+        for _ in range(r.choice((1, 3, 4, 5, 6, 7, 9))):
+            w[r.randrange(len(w))] = f"n{r.randrange(2000)}"
+        rows.append((i, " ".join(w[: len(w) - r.choice((0, 0, 20))])))
+    met = []
+    differences = ngram_join.by_differences
+    monkeypatch.setattr(ngram_join, "by_differences", lambda members, *rest: met.append(members.count()) or differences(members, *rest))
+    monkeypatch.setattr(ngram_join, "TRIES", (1,))
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    got = {x["doc_id"]: (x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and met[0] > 100
+
+
 def test_allowances_cover_every_budget():
     rng = np.random.default_rng(1)
     np.seterr(over="ignore")
@@ -156,6 +175,14 @@ def test_line_dedup_repeats_and_empty(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_line_dedup_clashing_names_and_blanks(spark):
+    names = "doc_id long, text string, n_lines string, n_removed int, doc int, tie int, gone int, key int, sub int"
+    rows = [(1, "a b\tc d\na  B c\x0bD", "u", 1, 2, 3, 4, 5, 6), (2, "x\n\t\n\x0c\nA b c d e", "v", 1, 2, 3, 4, 5, 6), (None, None, None, 1, 2, 3, 4, 5, 6)]
+    got = {x["doc_id"]: x for x in line_dedup.dedup_lines(spark.createDataFrame(rows, names)).collect()}
+    assert [(got[k]["text"], got[k]["n_lines"], got[k]["n_removed"]) for k in (1, 2, None)] == [("a b\tc d", 2, 1), ("x\n\t\n\x0c", 4, 1), (None, 0, 0)]
+    assert got[1].asDict()["gone"] == 4 and got[1].asDict()["sub"] == 6
+
+
 def test_leaks_exact_and_paraphrased(spark):
     items = [(k, f"Question {words(30, 40 + k, 'q')}. Answer {words(6, 60 + k, 'a')}.") for k in range(20)] + [(90, None), (91, "")]
     rows = [(i, words(200, 300 + i)) for i in range(60)]

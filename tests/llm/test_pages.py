@@ -67,6 +67,21 @@ def test_extract_rows(spark):
     assert len(got) == 3 and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_unclosed_elements_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert main_text.blocks_of("<p>" + "<option>a " * 60_000)
+    assert time.perf_counter() - start < 5
+
+
+def test_warc_ids_and_markup():
+    a, b = warc.response(1, "http://x", "<p>one</p>"), warc.response(1, "http://x", "<p>two</p>")
+    ids = [warc.parse(r)[0]["WARC-Record-ID"] for r in (a, b, *warc.derive(a), *warc.derive(b))]
+    assert len(set(ids)) == 6 and warc.response(1, "http://x", "<p>one</p>") == a
+    assert warc.plain_text('<p title="a>b">text &amp; more</p><p>second<script>x < 1') == "text & more\nsecond"
+
+
 def test_warc_derivatives(spark):
     rows = [(1, "http://a/ b", PAGE, 1), (2, None, None, 2), (1, "http://a/ b", PAGE, 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, record int")
@@ -108,6 +123,35 @@ def test_top_k(spark, kind):
     assert sorted_lists.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_top_k_large_empty_and_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(sorted_lists, "BLOCK", 40)
+    monkeypatch.setattr(sorted_lists, "QUERY_BLOCK", 3)
+    v = [[float(y) for y in z] for z in rng.normal(size=(300, 5)) * 10.0 ** rng.integers(0, 9, (300, 1))]
+    v[7], v[8] = [1e6, 2.0, 0.0, 0.0, 0.0], [3e15, -3e15, 3e15, 1e15, 1.0]
+    rows = [(i, x) for i, x in enumerate(v)] + [(k, []) for k in (350, 351, 400)]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in sorted_lists.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    e = {i: [int(np.floor(256 * y)) for y in x] for i, x in rows}
+    top = (1 << 63) - 1
+    for q in (i for i in e if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(e[q], e[c], strict=True)), c) for c in e if c != q and len(e[c]) == len(e[q]))[:5]
+        for k, (s, c) in enumerate(best):
+            assert got.pop((q, k + 1)) == (c, min(top, max(-top - 1, -s)))
+    assert not got
+
+
+def test_lists_are_read_in_part_where_bounds_allow():
+    rng = np.random.default_rng(7)
+    x = (256 * rng.normal(size=(3000, 8)) * np.array([40, 10, 3, 1, 1, 1, 1, 1])).astype(np.int64)
+    x[:6] *= 4
+    read: list[int] = []
+    qi, xi, score = sorted_lists.best_of_block(x[:20], np.arange(20), x, np.arange(3000), 5, read)
+    assert min(read) < x.size / 2 and max(read) <= x.size
+    for q in range(20):
+        want = sorted((-int(x[q] @ x[c]), c) for c in range(3000) if c != q)[:5]
+        assert [(-score[k], int(xi[k])) for k in np.flatnonzero(qi == q)] == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
