@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlake.sources.scratch import written
+
 
 def file_identity(path: Column, name: Column, size: Column) -> Column:
     return F.md5(F.concat_ws("|", path, name, size.cast("string")))
 
 
-def full_paths(tree: DataFrame, most: int = 64) -> DataFrame:
-    """(id, path, depth) of every node (id, parent, name); each round joins one more level, most at the utmost."""
-    found = tree.filter("parent IS NULL").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    level, depth = found, 0
-    while depth < most:
+def full_paths(tree: DataFrame) -> DataFrame:
+    """(id, path, depth) of every node (id, parent, name) under a root; each round joins one more level until none is left.
+
+    A node without a way to a root has no path; an id that has two parents and leads back to itself is an error.  Each level is written before the next one reads it.
+    """
+    found = level = written(tree.filter("parent IS NULL").select("id", F.col("name").alias("path"), F.lit(0).alias("depth")), "level")
+    depth, nodes = 0, tree.count()
+    while True:
         depth += 1
+        if depth > nodes:
+            raise ValueError("an id with two parents leads back to itself")
         up = level.select(F.col("id").alias("parent"), F.col("path").alias("up"))
-        level = tree.join(up, "parent").select("id", F.concat_ws("/", "up", "name").alias("path"), F.lit(depth).alias("depth"))
+        level = written(tree.join(up, "parent").select("id", F.concat_ws("/", "up", "name").alias("path"), F.lit(depth).alias("depth")), "level")
         if level.isEmpty():
             return found
         found = found.union(level)
-    return found
 
 
 def tree_from_paths(paths: DataFrame) -> DataFrame:

@@ -50,13 +50,13 @@ def replace_by_source(spark, sf):
 
 
 _COS = "list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(c.embedding[i] AS DOUBLE))) / sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(c.embedding, lambda x: CAST(x AS DOUBLE) * x)))"
-_NEAR = f"SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS score FROM {{embeddings}} q JOIN {{embeddings}} c ON q.vec_id % 100 = 7"
+_NEAR = f"SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS score FROM {{embeddings}} q JOIN {{embeddings}} c ON q.vec_id % 20 = 0"
 _RANKED = f"SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM ({_NEAR})"
 
 
 def _nearest(spark, sf, k):
     e = frame(spark, sf, "embeddings")
-    q = e.filter("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return D.nearest(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), k)
 
 
@@ -99,9 +99,9 @@ def rerank_merge(spark, sf):
     return R.best_row(rows, ["o_custkey"], [F.desc("s"), F.col("o_orderkey")], 4).select("o_custkey", "o_orderkey", "place")
 
 
-@query("context_pack", duck("SELECT source, string_agg(substr(text, 1, 60), chr(10) ORDER BY doc_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM {documents}) WHERE r <= 5 GROUP BY source"))
+@query("context_pack", duck("SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM {documents}) WHERE r <= 5 GROUP BY source"))
 def context_pack(spark, sf):
-    top = R.best_row(frame(spark, sf, "documents"), ["source"], [F.col("doc_id")], 5).withColumn("context", F.substring("text", 1, 60))
+    top = R.best_row(frame(spark, sf, "documents"), ["source"], [F.col("doc_id")], 5).withColumn("context", F.col("text"))
     return R.joined_in_order(top, ["source"], "context", ["doc_id"], "\n")
 
 
@@ -148,11 +148,11 @@ def table_to_text(spark, sf):
     return frame(spark, sf, "part").select("p_partkey", D.table_text(cells).alias("text"))
 
 
-@query("evidence_span_filter", duck("SELECT d.doc_id, substr(d.text, 1, 30) AS snippet, l.quality AS target FROM {documents} d JOIN {labels} l USING (doc_id) WHERE l.quality = 1"))
+@query("evidence_span_filter", duck("SELECT d.doc_id, d.text AS snippet, l.quality AS target FROM {documents} d JOIN {labels} l USING (doc_id) WHERE l.quality = 1"))
 def evidence_span_filter(spark, sf):
     spans = frame(spark, sf, "labels").withColumn("target", F.when(F.col("quality") == 1, F.col("quality").cast("string")).otherwise(" "))
     hit = frame(spark, sf, "documents").join(spans, "doc_id").filter(F.trim("target") != "")
-    return hit.select("doc_id", F.substring("text", 1, 30).alias("snippet"), F.col("target").cast("int").alias("target"))
+    return hit.select("doc_id", F.col("text").alias("snippet"), F.col("target").cast("int").alias("target"))
 
 
 @query("rerun_skip", duck("SELECT doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality IS NOT NULL)"))

@@ -109,28 +109,28 @@ def block_text(spark, sf):
     return R.block_text(R.reading_order(_texts(spark, sf), "drawing_id", 40), "drawing_id")
 
 
-@query("merge_tilde_runs", duck("SELECT ent_id - ent_id % 10 AS row_id, CAST(minx AS BIGINT) AS minx, text FROM (SELECT ent_id, 0 AS minx, concat('a', ent_id, '~b', ent_id) AS text FROM {ent} WHERE ent_id % 10 = 0 UNION ALL SELECT ent_id, 40, 'c' FROM {ent} WHERE ent_id % 10 = 0)"))
+@query("merge_tilde_runs", duck("SELECT ent_id AS row_id, CAST(minx AS BIGINT) AS minx, text FROM (SELECT ent_id, 0 AS minx, concat('a', ent_id, '~b', ent_id) AS text FROM {ent} UNION ALL SELECT ent_id, 40, 'c' FROM {ent})"))
 def merge_tilde_runs(spark, sf):
-    e = frame(spark, sf, "ent").filter("ent_id % 10 = 0")
+    e = frame(spark, sf, "ent")
     parts = F.array(F.struct(F.lit(0).cast("long").alias("minx"), F.concat(F.lit("a"), "ent_id").alias("text")), F.struct(F.lit(10).cast("long").alias("minx"), F.lit("~").alias("text")), F.struct(F.lit(20).cast("long").alias("minx"), F.concat(F.lit("b"), "ent_id").alias("text")), F.struct(F.lit(40).cast("long").alias("minx"), F.lit("c").alias("text")))
     t = e.select(F.col("ent_id").alias("row_id"), "ent_id", F.inline(parts))
     return R.merge_tilde_runs(t, ["row_id"])
 
 
-@query("row_mates", duck("SELECT k.ent_id AS key_id, string_agg(m.text, ' ' ORDER BY m.minx, m.ent_id) AS text FROM {txt} k JOIN {txt} m ON k.drawing_id = m.drawing_id AND (m.miny + m.maxy) / 2 BETWEEN k.miny AND k.maxy WHERE k.ent_id % 50 = 7 GROUP BY k.ent_id"))
+@query("row_mates", duck("SELECT k.ent_id AS key_id, string_agg(m.text, ' ' ORDER BY m.minx, m.ent_id) AS text FROM {txt} k JOIN {txt} m ON k.drawing_id = m.drawing_id AND (m.miny + m.maxy) / 2 BETWEEN k.miny AND k.maxy GROUP BY k.ent_id"))
 def row_mates(spark, sf):
     """Texts whose centre lies in the key text's band, from left to right; bands of one drawing meet by 512-unit cells."""
     t = frame(spark, sf, "txt")
-    k = t.filter("ent_id % 50 = 7").select("drawing_id", F.col("ent_id").alias("key_id"), F.col("miny").alias("low"), F.col("maxy").alias("high"), F.explode(F.sequence(F.floor(F.col("miny") / 512), F.floor(F.col("maxy") / 512))).alias("cell"))
+    k = t.select("drawing_id", F.col("ent_id").alias("key_id"), F.col("miny").alias("low"), F.col("maxy").alias("high"), F.explode(F.sequence(F.floor(F.col("miny") / 512), F.floor(F.col("maxy") / 512))).alias("cell"))
     c = (F.col("miny") + F.col("maxy")) / 2
     m = t.withColumns({"centre": c, "cell": F.floor(c / 512)})
     hit = k.join(m, ["drawing_id", "cell"]).filter("centre BETWEEN low AND high")
     return R.joined_in_order(hit, ["key_id"], "text", ["minx", "ent_id"], " ")
 
 
-@query("table_below_title", duck("SELECT t.ent_id AS title_id, max_by(b.ent_id, (b.maxy, -b.ent_id)) AS table_id FROM {txt} t JOIN {ent} b ON t.drawing_id = b.drawing_id AND b.minx BETWEEN t.minx - 1000 AND t.maxx AND b.maxy < t.miny WHERE t.ent_id % 20 = 3 GROUP BY t.ent_id"))
+@query("table_below_title", duck("SELECT t.ent_id AS title_id, max_by(b.ent_id, (b.maxy, -b.ent_id)) AS table_id FROM {txt} t JOIN {ent} b ON t.drawing_id = b.drawing_id AND b.minx BETWEEN t.minx - 1000 AND t.maxx AND b.maxy < t.miny GROUP BY t.ent_id"))
 def table_below_title(spark, sf):
-    t = frame(spark, sf, "txt").filter("ent_id % 20 = 3").select("drawing_id", F.col("ent_id").alias("title_id"), F.col("minx").alias("t_minx"), F.col("maxx").alias("t_maxx"), F.col("miny").alias("t_miny"))
+    t = frame(spark, sf, "txt").select("drawing_id", F.col("ent_id").alias("title_id"), F.col("minx").alias("t_minx"), F.col("maxx").alias("t_maxx"), F.col("miny").alias("t_miny"))
     t = t.withColumn("cell", F.explode(F.sequence(F.floor((F.col("t_minx") - 1000) / 1000), F.floor(F.col("t_maxx") / 1000))))
     b = frame(spark, sf, "ent").withColumn("cell", F.floor(F.col("minx") / 1000))
     hit = b.join(t, ["drawing_id", "cell"]).filter("minx BETWEEN t_minx - 1000 AND t_maxx AND maxy < t_miny")
