@@ -36,13 +36,13 @@ def _open_rows(q: np.ndarray, x: np.ndarray, order: np.ndarray, own: np.ndarray,
     lists = np.where(q >= 0, order[::-1], order)  # row numbers, best first for the query
     gain = q * x[lists, sides]
     worst, low = gain[-1], np.full(n, gain[-1].sum(), gain.dtype)
-    seen, step = np.zeros((n, d), bool), -(-n // STEPS)
+    unseen, step = np.ones((n, d), gain.dtype), -(-n // STEPS)
     for at in range(0, n, step):
         to = min(n, at + step)
         rows = lists[at:to]
         np.add.at(low, rows.ravel(), (gain[at:to] - worst).ravel())
-        seen[rows, sides] = True
-        high = low + (~seen).astype(gain.dtype) @ (gain[to - 1] - worst)
+        unseen[rows, sides] = 0
+        high = low + unseen @ (gain[to - 1] - worst)
         bounds = np.where(own, low.min() - 1, low)
         if n > k:
             least = np.partition(bounds, n - k)[n - k]
@@ -59,12 +59,13 @@ def best_of_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarr
     most = int(np.abs(q.astype(float)).max(initial=0)) * int(np.abs(x.astype(float)).max(initial=0)) * max(1, q.shape[1])
     if most >= 1 << 61:
         q, x = q.astype(object), x.astype(object)
+    bounds = (q, x) if most >= 1 << 53 else (q.astype(np.float64), x.astype(np.float64))  # whole numbers, exact
     order = np.argsort(x, axis=0, kind="stable")
     qi, xi, scores = [], [], []
     for r in range(len(q)):
         own = x_id == q_id[r]
         if q.shape[1]:
-            open_, n = _open_rows(q[r], x, order, own, k)
+            open_, n = _open_rows(bounds[0][r], bounds[1], order, own, k)
         else:
             open_, n = np.flatnonzero(~own), 0
         if read is not None:
