@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import remove, save
 
+BLANKS = "\t\x0b\f\r"
 CELLS = 1 << 14
 HASH_BITS = 63 - 14
 LEADS, NEAREST = 6, 4  # lines that a line meets before all others
@@ -45,10 +46,10 @@ def _cell(h: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """Lower-cased, with a space for every white space but the ends of lines."""
-    text = F.lower(text)
-    for blank in "\t\x0b\f\r":
-        text = F.replace(text, F.lit(blank), F.lit(" "))
-    return text
+    low = spaced = F.lower(text)
+    for blank in BLANKS:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.when(text.rlike(f"[{BLANKS}]"), spaced).otherwise(low)  # most texts have none of them
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def rarity(docs: DataFrame) -> Column:
 def keyed(lines: DataFrame, ranks: Column) -> DataFrame:
     """lines with keys, the sorted keys of their tokens, and n, how many; without lines that have none."""
     h = F.array_except(F.transform(F.split("line", " "), lambda t: F.xxhash64(t)), F.array(F.xxhash64(F.lit(""))))  # each token once
-    key = F.transform(h, lambda x: F.shiftleft(F.coalesce(F.get(ranks, _cell(x)), F.lit(0).cast("long")), HASH_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - HASH_BITS)))
+    key = F.transform(h, lambda x: F.shiftleft(F.get(ranks, _cell(x)), HASH_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - HASH_BITS)))
     return lines.filter(F.trim("line") != "").select(*AT, F.sort_array(key).alias("keys")).withColumn("n", F.size("keys"))
 
 
@@ -162,7 +163,10 @@ def matched_lines(docs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, ranks: Column) -> DataFrame:
     """(doc, sub) of the pairs' later lines whose whole sets match the earlier ones'."""
     wanted = save(pairs.select(*AT).union(pairs.select(*(F.col(f"y_{c}").alias(c) for c in AT))).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+        concerned = F.broadcast(wanted.select("doc").distinct())  # only texts of lines concerned are split
+        docs = docs.join(concerned, docs["doc"].eqNullSafe(concerned["doc"]), "left_semi")
     lines = lines_of(docs)
     lines = lines.join(wanted, [lines[c].eqNullSafe(wanted[c]) for c in AT], "left_semi")
     sets = save(keyed(lines, ranks).select(F.struct(*AT).alias("at"), "keys").dropDuplicates(["at"]), "whole")
