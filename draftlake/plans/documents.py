@@ -121,11 +121,14 @@ def remove_used(spark, sf):
     return frame(spark, sf, "documents").join(frame(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("union_evidence", duck("SELECT source, string_agg(t, '|' ORDER BY o, doc_id) AS evidence FROM (SELECT source, doc_id, 0 AS o, substr(text, 1, 20) AS t FROM {documents} WHERE lang = 'en' UNION ALL SELECT source, doc_id, 1, substr(text, 5, 10) FROM {documents} WHERE lang = 'de') GROUP BY source"))
+@query("union_evidence", duck("SELECT doc_id, string_agg(t, '|' ORDER BY o, n) AS evidence FROM (SELECT doc_id, o, n, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {documents}) JOIN (VALUES (0, ' the '), (1, ' que ')) k(o, key) ON contains(t, key)) GROUP BY doc_id"))
 def union_evidence(spark, sf):
-    d = frame(spark, sf, "documents")
-    part = lambda lang, o, a, n: d.filter(F.col("lang") == lang).select("source", "doc_id", F.lit(o).alias("origin"), F.substring("text", a, n).alias("evidence"))
-    return R.joined_in_order(part("en", 0, 1, 20).unionByName(part("de", 1, 5, 10)), ["source"], "evidence", ["origin", "doc_id"], "|")
+    """The lines of a document that hold the first key, then those with the second, each kind in text order."""
+    lines = F.split("text", "\n")
+    holding = lambda key: F.filter(lines, lambda t: F.contains(t, F.lit(key)))
+    found = F.concat(holding(" the "), holding(" que "))
+    rows = frame(spark, sf, "documents").select("doc_id", found.alias("found")).filter(F.size("found") > 0)
+    return rows.select("doc_id", F.array_join("found", "|").alias("evidence"))
 
 
 @query("scan_titled_paragraphs", duck("SELECT doc_id, source AS title, text AS content FROM {documents} WHERE NOT contains(text, '**') UNION ALL SELECT doc_id, 'end', lang FROM {documents} WHERE NOT contains(text, '**')"))
@@ -268,10 +271,18 @@ def path_alias(spark, sf):
     return c.join(aliases, "alias").select("c_custkey", "project")
 
 
-@query("build_prompt", duck("SELECT source, substr(concat('请提取：', source, chr(10), string_agg(substr(text, 1, 40), chr(10) ORDER BY doc_id)), 1, 512) AS prompt FROM {documents} GROUP BY source"))
+_PROMPT = 512
+
+
+@query("build_prompt", duck(f"SELECT source, substr(concat('请提取：', source, chr(10), string_agg(text, chr(10) ORDER BY doc_id)), 1, {_PROMPT}) AS prompt FROM {{documents}} WHERE text IS NOT NULL GROUP BY source"))
 def build_prompt(spark, sf):
-    ev = R.joined_in_order(frame(spark, sf, "documents").withColumn("evidence", F.substring("text", 1, 40)), ["source"], "evidence", ["doc_id"], "\n")
-    return ev.select("source", F.substring(F.replace(F.replace(F.lit("请提取：{key}\n{evidence}"), F.lit("{key}"), F.col("source")), F.lit("{evidence}"), F.col("evidence")), 1, 512).alias("prompt"))
+    """The prompt of each source, cut to its length.
+
+    Each text adds at least its line feed, so no more than that many texts, and that many characters of one, reach it.
+    """
+    texts = frame(spark, sf, "documents").filter("text IS NOT NULL").select("source", "doc_id", F.substring("text", 1, _PROMPT).alias("evidence"))
+    ev = R.joined_in_order(R.best_row(texts, ["source"], [F.col("doc_id")], _PROMPT), ["source"], "evidence", ["doc_id"], "\n")
+    return ev.select("source", F.substring(F.replace(F.replace(F.lit("请提取：{key}\n{evidence}"), F.lit("{key}"), F.col("source")), F.lit("{evidence}"), F.col("evidence")), 1, _PROMPT).alias("prompt"))
 
 
 @query("field_dependency_join", duck("SELECT o_custkey, max(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END) - max(CASE WHEN o_orderkey % 3 = 1 THEN o_totalprice END) AS landscape FROM {orders} GROUP BY o_custkey"))

@@ -23,9 +23,13 @@ TEXTS: dict[str, str] = {
         UNION ALL SELECT drawing_id, ent_id * 4 + 1, 'H', minx, maxy, maxx, maxy FROM {ent}
         UNION ALL SELECT drawing_id, ent_id * 4 + 2, 'V', maxx, miny, maxx, maxy FROM {ent} WHERE ent_id % 7 <> 0
         UNION ALL SELECT drawing_id, ent_id * 4 + 3, 'H', minx, miny, maxx, miny FROM {ent}""",
-    # Text boxes: the first words of a document in each box.
-    "txt": """SELECT e.drawing_id, e.ent_id, e.minx, e.miny, e.maxx, e.maxy, substr(d.text, 1, 40) AS text
-        FROM {ent} e JOIN {documents} d ON e.ent_id % 1000 = d.doc_id""",
+    # Text boxes: the boxes go round all documents, and those of one document share its whole text in equal parts.
+    "share": """SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ent_id) AS part, count(*) OVER (PARTITION BY doc_id) AS parts
+        FROM (SELECT *, ent_id % (SELECT max(doc_id) + 1 FROM {documents}) AS doc_id FROM {ent})""",
+    "txt": """SELECT drawing_id, ent_id, minx, miny, maxx, maxy,
+        substr(text, CAST(floor(length(text) * (part - 1) / parts) AS INT) + 1,
+            CAST(floor(length(text) * part / parts) AS INT) - CAST(floor(length(text) * (part - 1) / parts) AS INT)) AS text
+        FROM {share} JOIN {documents} USING (doc_id)""",
     # Elevation marks: two strokes, a pole (every fifth is missing) and a number above it.
     "stroke": """SELECT drawing_id, ent_id * 3 AS id, 'left' AS side, minx, miny, CAST(minx + maxx AS DOUBLE) / 2 AS maxx, maxy FROM {ent}
         UNION ALL SELECT drawing_id, ent_id * 3 + 1, 'right', CAST(minx + maxx AS DOUBLE) / 2, miny, maxx, maxy FROM {ent}""",

@@ -158,7 +158,7 @@ def first_match(spark, sf):
 @query("task_order", duck("SELECT task_id, CAST(row_number() OVER (ORDER BY max(ts) DESC, task_id) AS INT) AS place FROM {task_log} GROUP BY task_id"))
 def task_order(spark, sf):
     last = frame(spark, sf, "task_log").groupBy("task_id").agg(F.max("ts").alias("ts"))
-    return last.select("task_id", F.row_number().over(Window.orderBy(F.desc("ts"), "task_id")).alias("place"))
+    return R.newest_first(last, "ts", "task_id").select("task_id", F.col("place").cast("int").alias("place"))
 
 
 @query("task_state_stream", duck("SELECT task_id, max_by(CASE kind WHEN 'FINISH' THEN 'SUCCESS' WHEN 'FAIL' THEN 'FAILURE' ELSE 'RUNNING' END, ts) AS status, max(CASE WHEN kind = 'PROGRESS' THEN value END) AS progress, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_messages FROM {task_log} GROUP BY task_id"))
@@ -182,9 +182,9 @@ def merge_span_predictions(spark, sf):
     return p.groupBy("doc", "answer").agg(F.sum("score").alias("score"), F.size(F.flatten(F.collect_list("positions"))).cast("long").alias("n_positions"))
 
 
-@query("span_threshold", duck("SELECT doc_id, string_agg(answer, '|' ORDER BY s) AS answers FROM (SELECT doc_id, answer, min(s) AS s FROM (SELECT doc_id, s, substr(text, s + 1, 6) AS answer, (doc_id * 7 + s) % 10 / 10.0 AS score FROM (SELECT doc_id, text, unnest([0, 6, 12, 18]) AS s FROM {documents})) WHERE score > 0.3 GROUP BY ALL) GROUP BY doc_id"))
+@query("span_threshold", duck("SELECT doc_id, string_agg(answer, '|' ORDER BY s) AS answers FROM (SELECT doc_id, answer, min(s) AS s FROM (SELECT doc_id, s, substr(text, s + 1, 6) AS answer, (doc_id * 7 + s) % 10 / 10.0 AS score FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 6)) AS s FROM {documents})) WHERE score > 0.3 GROUP BY ALL) GROUP BY doc_id"))
 def span_threshold(spark, sf):
-    starts = F.explode(F.array(*(F.lit(k) for k in (0, 6, 12, 18)))).alias("s")
-    spans = frame(spark, sf, "documents").select("doc_id", "text", starts).withColumn("score", (F.col("doc_id") * 7 + F.col("s")) % 10 / 10.0).filter("score > 0.3")
-    once = spans.groupBy("doc_id", F.substring(F.col("text"), F.col("s") + 1, F.lit(6)).alias("answers")).agg(F.min("s").alias("s"))
-    return R.joined_in_order(once, ["doc_id"], "answers", ["s"], "|")
+    """The distinct answers of each text's spans, six characters each from its start to its end, that score above 0.3."""
+    spans = frame(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,6}"), F.lit(0))).alias("n", "answers"))
+    good = spans.withColumn("s", F.col("n") * 6).filter((F.col("doc_id") * 7 + F.col("s")) % 10 / 10.0 > 0.3)
+    return R.joined_in_order(good.groupBy("doc_id", "answers").agg(F.min("s").alias("s")), ["doc_id"], "answers", ["s"], "|")
