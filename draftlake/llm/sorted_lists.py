@@ -29,22 +29,33 @@ RESOLVED = 4  # times k vectors whose scores are resolved at the end
 BLOCK, QUERY_BLOCK = 8192, 1024
 
 
-def _open_rows(q: np.ndarray, x: np.ndarray, order: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-    """The rows of x that may be among the k best for q, all but own, and how many entries of lists were read."""
-    n, d = x.shape
-    sides = np.arange(d)
-    lists = np.where(q >= 0, order[::-1], order)  # row numbers, best first for the query
-    gain = q * x[lists, sides]
-    worst, low = gain[-1], np.full(n, gain[-1].sum(), gain.dtype)
-    unseen, step = np.ones((n, d), gain.dtype), -(-n // STEPS)
+def _open_rows(q: np.ndarray, order: np.ndarray, values: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """The rows that may be among the k best for q, all but own, and how many entries of lists were read.
+
+    Each row of order and values is one list, ascending: row numbers and their values.
+    """
+    d, n = order.shape
+    ups, downs = np.flatnonzero(q >= 0), np.flatnonzero(q < 0)  # lists read from their upper and from their lower end
+    exact = q.dtype == object
+    worst = q * np.where(q >= 0, values[:, 0], values[:, -1])
+    frontier, low = worst.copy(), np.full(n, worst.sum(), q.dtype if exact else np.float64)
+    unseen, step = np.ones((d, n), q.dtype), -(-n // STEPS)
     for at in range(0, n, step):
         to = min(n, at + step)
-        rows = lists[at:to]
-        np.add.at(low, rows.ravel(), (gain[at:to] - worst).ravel())
-        unseen[rows, sides] = 0
-        high = low + unseen @ (gain[to - 1] - worst)
-        bounds = np.where(own, low.min() - 1, low)
+        for sides, part, last in ((ups, slice(n - to, n - at), n - to), (downs, slice(at, to), to - 1)):
+            if not len(sides):
+                continue
+            rows, base = order[sides, part], worst[sides, None]
+            more = (q[sides, None] * values[sides, part] - base).ravel()
+            if exact:
+                np.add.at(low, rows.ravel(), more)
+            else:
+                low += np.bincount(rows.ravel(), more, n)
+            unseen.ravel()[(rows + sides[:, None] * n).ravel()] = 0
+            frontier[sides] = q[sides] * values[sides, last]
+        high = low + (np.dot(frontier - worst, unseen) if exact else np.einsum("i,ij->j", frontier - worst, unseen))
         if n > k:
+            bounds = np.where(own, low.min() - 1, low)
             least = np.partition(bounds, n - k)[n - k]
             open_ = np.flatnonzero((high >= least) & ~own)
         else:
@@ -59,13 +70,14 @@ def best_of_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarr
     most = int(np.abs(q.astype(float)).max(initial=0)) * int(np.abs(x.astype(float)).max(initial=0)) * max(1, q.shape[1])
     if most >= 1 << 61:
         q, x = q.astype(object), x.astype(object)
-    bounds = (q, x) if most >= 1 << 53 else (q.astype(np.float64), x.astype(np.float64))  # whole numbers, exact
-    order = np.argsort(x, axis=0, kind="stable")
+    kind = np.float32 if most < 1 << 23 else np.float64 if most < 1 << 52 else object  # bounds are whole numbers, exact in each
+    order = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
+    values, sides = np.take_along_axis(x.T, order, axis=1).astype(kind), q.astype(kind)
     qi, xi, scores = [], [], []
     for r in range(len(q)):
         own = x_id == q_id[r]
         if q.shape[1]:
-            open_, n = _open_rows(bounds[0][r], bounds[1], order, own, k)
+            open_, n = _open_rows(sides[r], order, values, own, k)
         else:
             open_, n = np.flatnonzero(~own), 0
         if read is not None:
