@@ -31,11 +31,12 @@ each; rows without id take part and give a null id.  Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -157,7 +158,7 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(o) for o in out)
 
 
-def _pass_one(buckets: int):
+def _pass_one(buckets: int, width: int, counted: Callable[[int], int]):
     """Rows of documents (doc_id, size, node), of hits counted at once (doc_id null, size the hits), and packed postings."""
     names = ["doc_id", "size", "node", "bucket", "keys", "members", "roles", "nodes", "sizes"]
 
@@ -171,14 +172,14 @@ def _pass_one(buckets: int):
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             sizes, nodes, node, size, top = [], [], [], [], []
             seen = set()
-            for s in W.shingle_sets(batch.column("text").to_pylist()):
+            for s in W.shingle_sets(batch.column("text").to_pylist(), width):
                 sizes.append(len(s))
                 nodes.append(digest(s) if len(s) else None)
                 if len(s) and nodes[-1] not in seen:
                     seen.add(nodes[-1])
                     node.append(nodes[-1])
                     size.append(len(s))
-                    top.append(s[: screened(len(s))].copy())
+                    top.append(s[: counted(len(s))].copy())
             yield plain(batch.column("doc_id").cast(pa.int64()), sizes, nodes, None)
             if top:
                 # The screen takes the smallest hashes, so they are spread anew before they are dealt out.
@@ -211,14 +212,17 @@ def _count_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(node, pa.int64()), "hits": pa.array(hits, pa.int64())})
 
 
-def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    np.seterr(over="ignore")
-    for batch in batches:
-        wanted = batch.column("node").to_pylist()
-        for at in range(0, len(wanted), 256):
-            rows = [(digest(s), len(s), s.tobytes(), marks(s)) for s in W.shingle_sets(batch.column("text").slice(at, 256).to_pylist())]
-            rows = [r for r, node in zip(rows, wanted[at : at + 256], strict=True) if r[0] == node]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "size", "shingles", "mark"])
+def _node_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            wanted = batch.column("node").to_pylist()
+            for at in range(0, len(wanted), 256):
+                rows = [(digest(s), len(s), s.tobytes(), marks(s)) for s in W.shingle_sets(batch.column("text").slice(at, 256).to_pylist(), width)]
+                rows = [r for r, node in zip(rows, wanted[at : at + 256], strict=True) if r[0] == node]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "size", "shingles", "mark"])
+
+    return run
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,16 +306,19 @@ def _groups(table: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(np.repeat(name, count)[keep].view(np.int64)), "node": pa.array(node[keep]), "size": pa.array(size[keep]), "role": pa.array(role[keep].astype(np.int32)), "weight": pa.array(weight)})
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("left_set").to_pylist(), batch.column("right_set").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            if len(x) > len(y):
-                x, y = y, x
-            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            keep.append(100 * both >= 75 * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _verified(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("left_set").to_pylist(), batch.column("right_set").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def marks(s: np.ndarray) -> bytes:
@@ -346,11 +353,11 @@ def near_marks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "left_mark", "right_mark", "left_size", "right_size").mapInArrow(_near_marks, "a long, b long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the threshold."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left_set")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right_set")), "b")
-    return both.select("a", "b", "left_set", "right_set").mapInArrow(_verified, "a long, b long")
+    return both.select("a", "b", "left_set", "right_set").mapInArrow(_verified(percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -434,19 +441,21 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(apart))], names=["g", "node", "element"])
 
 
-def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int = 75, near: Callable[[DataFrame, DataFrame], DataFrame] = near_marks) -> DataFrame:
     """(node, comp) of all nodes with a link: components of links and of all links between members (g, node) of one group.
 
+    Sets link whose differences are at most the sum of their sizes times p / q = (100 - percent) / (100 + percent).
     A group's base holds the elements of more than half of its sets.  Let E be the elements in which a set
-    differs from the base, and its slack 7 |E| less its size.  Sets x and y differ in |Ex| + |Ey| - 2 o elements, where o
-    is how many of them Ex and Ey share, and link if 7 times that is at most the sum of their sizes, so:
+    differs from the base, and its slack q |E| less p times its size.  Sets x and y differ in |Ex| + |Ey| - 2 o elements, where o
+    is how many of them Ex and Ey share, so:
 
     - if their slacks add up to 0 or less they link, and both link with the set of least slack, which makes one
       component of all such pairs;
-    - other links share o >= (slack of x + slack of y) / 14 > 0 elements of E.  Sorted by rarity, a shared element is
+    - other links share o >= (slack of x + slack of y) / 2q > 0 elements of E.  Sorted by rarity, a shared element is
       among the first |E| - o + 1 of each.  Sets linked with that of least slack (near ones) need only meet
       the others (far ones), so the o of each side is known from the least slack on the other side.
     """
+    p, q = (x // math.gcd(100 - percent, 100 + percent) for x in (100 - percent, 100 + percent))
     members = save(members, "members")
     with_sets = members.join(sets.select("node", "size", "shingles"), "node")
     count = save(with_sets.select("g", "shingles").mapInArrow(_counted, "g long, element long, n long").groupBy("g", "element").agg(F.sum("n").alias("n")), "counts")
@@ -457,7 +466,7 @@ def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame) -> Dat
     apart = save(salted.select("g", "node", "shingles", "base").mapInArrow(_differences, "g long, node long, element long"), "differences")
     sized = apart.groupBy("g", "node").agg(F.count(F.lit(1)).alias("e"))
     known = members.join(sized, ["g", "node"], "left").join(sets.select("node", "size"), "node").withColumn("e", F.coalesce("e", F.lit(0)))
-    known = save(known.withColumn("slack", 7 * F.col("e") - F.col("size")), "slacks")
+    known = save(known.withColumn("slack", q * F.col("e") - p * F.col("size")), "slacks")
     least = known.groupBy("g").agg(F.min(F.struct("slack", "node")).alias("least")).select("g", F.col("least.slack").alias("low"), F.col("least.node").alias("centre"))
     known = save(known.join(least, "g").withColumn("far", F.col("slack") + F.col("low") > 0), "slacks")
     star = known.filter("NOT far AND node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
@@ -466,19 +475,19 @@ def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame) -> Dat
 
     far_low = known.filter("far").groupBy("g").agg(F.min("slack").alias("far_low"))
     known = known.join(far_low, "g").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = lambda low: F.col("e") - F.ceil((F.col("slack") + F.col(low)) / 14) + 1
+    first = lambda low: F.col("e") - F.ceil((F.col("slack") + F.col(low)) / (2 * q)) + 1
     known = known.select("g", "node", "size", "comp", "e", "slack", "far", first("far_low").alias("short"), F.when(F.col("far"), first("low")).otherwise(first("far_low")).alias("long"))
     rare = count.join(total, "g").select("g", "element", F.least(F.col("n"), F.col("total") - F.col("n")).alias("n"))
     order = F.row_number().over(Window.partitionBy("g", "node").orderBy("n", "element"))
     posted = save(apart.join(rare, ["g", "element"]).withColumn("i", order).drop("n").join(known, ["g", "node"]).filter("i <= long"), "posted")
-    need = F.ceil((F.col("x.slack") + F.col("y.slack")) / 14)
+    need = F.ceil((F.col("x.slack") + F.col("y.slack")) / (2 * q))
     reach = F.least(F.col("x.e") - F.col("x.i"), F.col("y.e") - F.col("y.i")) + 1 >= need
     either = (~F.col("y.far")) | ((F.col("x.i") <= F.col("x.short")) & (F.col("y.i") <= F.col("y.short")) & (F.col("x.node") < F.col("y.node")))
     met = posted.filter("far").alias("x").join(posted.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.element") == F.col("y.element")))
-    met = met.filter((F.col("x.comp") != F.col("y.comp")) & either & reach & (need <= F.least("x.e", "y.e")) & (4 * F.least("x.size", "y.size") >= 3 * F.greatest("x.size", "y.size")))
+    met = met.filter((F.col("x.comp") != F.col("y.comp")) & either & reach & (need <= F.least("x.e", "y.e")) & (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")))
     pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    pairs = save(near_marks(pairs, sets), "pairs")
-    return components(links.union(save(verify(pairs, sets), "links")))
+    pairs = save(near(pairs, sets), "pairs")
+    return components(links.union(save(verify(pairs, sets, percent), "links")))
 
 
 def best_pairs(members: DataFrame, turn: int, tries: int) -> DataFrame:
@@ -502,30 +511,45 @@ def best_pairs(members: DataFrame, turn: int, tries: int) -> DataFrame:
     return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reached by links, own included), n_copies (rows with the same set)."""
+def least_hits(size: Column) -> Column:
+    """asked() of a set's size."""
+    fewer = F.coalesce(F.create_map(*(F.lit(x).cast("long") for pair in SHORT.items() for x in pair))[size], F.lit(0))
+    counted = F.least(size, F.floor((3 * size + 9) / 10).cast("long") + 2)
+    return counted - F.floor(size / 4) - fewer
+
+
+def screened_sets(docs: DataFrame, width: int, counted: Callable[[int], int], least: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of documents (doc_id, text): each row's set (doc_id, size, node), each node (node, first, size, n_copies), and whole sets
+    (node, size, shingles, mark) of the nodes of which at least least(size) of the counted(size) smallest hashes lie in other sets too."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = 1 << max(8, (4 * partitions(spark) - 1).bit_length())
-    passed = save(docs.mapInArrow(_pass_one(buckets), f"doc_id long, size long, node long, {_PACKED}"), "postings", "lz4")
+    passed = save(docs.mapInArrow(_pass_one(buckets, width, counted), f"doc_id long, size long, node long, {_PACKED}"), "postings", "lz4")
     rows = save(passed.filter("bucket IS NULL").select("doc_id", "size", "node"), "sets")
     hits = passed.filter("bucket >= 0").drop("doc_id", "size", "node").groupBy("bucket").applyInArrow(_count_bucket, "node long, hits long")
     hits = hits.union(passed.filter("bucket = -1").select("node", F.col("size").alias("hits"))).groupBy("node").agg(F.sum("hits").alias("hits"))
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n_copies"))
     nodes = save(nodes, "nodes")
-    counted = F.least(F.col("size"), F.floor((3 * F.col("size") + 9) / 10).cast("long") + 2)
-    fewer = F.coalesce(F.create_map(*(F.lit(x).cast("long") for pair in SHORT.items() for x in pair))[F.col("size")], F.lit(0))
-    kept = save(nodes.join(hits, "node").filter(F.col("hits") >= counted - F.floor(F.col("size") / 4) - fewer).select("node", "first"), "kept")
+    kept = save(nodes.join(hits, "node").filter(F.col("hits") >= least(F.col("size"))).select("node", "first"), "kept")
     for path in {f.rsplit("/", 1)[0] for f in passed.inputFiles()}:
         remove(spark, path)
     n = kept.count()
     wanted = kept.select("node", F.col("first").alias("doc_id"))
     wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
-    sets = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(_node_sets, "node long, size long, shingles binary, mark binary")
-    sets = save(sets.dropDuplicates(["node"]), "node_sets")
-    comp = linked_nodes(sets)
+    sets = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(_node_sets(width), "node long, size long, shingles binary, mark binary")
+    return rows, nodes, save(sets.dropDuplicates(["node"]), "node_sets")
+
+
+def with_components(rows: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies of each row, from the components (node, comp) of nodes."""
     named = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
     named = named.join(least, "comp").select("node", "component_id", "n_copies")
     found = rows.join(named, "node", "left")
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reached by links, own included), n_copies (rows with the same set)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, nodes, sets = screened_sets(docs, 5, screened, least_hits)
+    return with_components(rows, nodes, linked_nodes(sets))

@@ -9,7 +9,7 @@ and only these scores are resolved.
 Queries and vectors are dealt in blocks; each pair of blocks gives its k best, and the k best of
 those are the result.  Vectors that are null, or hold nulls or values that are not finite, take
 no part; vectors of different length have no score, those of length 0 the score 0.  Components beyond the
-range of long count as its ends; scores are exact integers, put in order before those beyond the range of long are set to its ends.
+range of long count as its ends; scores are exact integers of any size, put in order before those beyond the range of long are set to its ends.
 Rows with a query's own id are not candidates for it; other repeated rows count one by one.  An empty table gives no rows.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import partitions, save
+from .vectors import blocks_of, in_range, integer_vectors, order_key, pack_block
 
 STEPS = 16  # parts in which a list is read
 RESOLVED = 4  # times k vectors whose scores are resolved at the end
@@ -89,13 +90,6 @@ def best_of_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarr
     return np.array(qi, np.int64), np.array(xi, np.int64), scores
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    """One row: the ids and the integer vectors of a block."""
-    values = table.column("values").combine_chunks().flatten().to_numpy().astype(np.int64)
-    ids = table.column("id").to_numpy().astype(np.int64)
-    return pa.table({"length": table.column("length").slice(0, 1), "block": table.column("block").slice(0, 1), "ids": pa.array([ids.tobytes()]), "data": pa.array([values.tobytes()])})
-
-
 def _best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,8 +97,8 @@ def _best(k: int):
                 q_id, x_id = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
                 q, x = (np.frombuffer(row[c], np.int64).reshape(len(i), row["length"]) for c, i in (("q_data", q_id), ("data", x_id)))
                 qi, xi, score = best_of_block(q, q_id, x, x_id, k)
-                whole = pa.array([str(v) for v in score], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(q_id[qi]), pa.array((row["q_block"] << 40) + qi), pa.array(x_id[xi]), whole], names=["query_id", "q_row", "vec_id", "score"])
+                keys, whole = pa.array([order_key(v) for v in score], pa.binary()), pa.array([in_range(v) for v in score], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(q_id[qi]), pa.array((row["q_block"] << 40) + qi), pa.array(x_id[xi]), keys, whole], names=["query_id", "q_row", "vec_id", "key", "score"])
 
     return run
 
@@ -112,15 +106,12 @@ def _best(k: int):
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by every, its k best other rows."""
     spark = vectors.sparkSession
-    v = F.col("v")
-    whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    whole = whole.filter(F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != F.lit(float("inf")))))
-    whole = whole.select("id", F.transform(v, lambda e: F.floor(e * scale).cast("long")).alias("values"), F.size("v").alias("length"))
+    whole = integer_vectors(vectors, scale, id_col, vec_col)
     sizes = whole.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).first()
 
     def packed(rows: DataFrame, n: int, size: int) -> DataFrame:
-        dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "values"), F.lit(max(1, -(-n // size)))).cast("int"))
-        return save(dealt.groupBy("length", "block").applyInArrow(_pack, "length int, block int, ids binary, data binary"), "blocks")
+        dealt = rows.withColumn("block", blocks_of(F.lit(n), size, "id", "values"))
+        return save(dealt.groupBy("length", "block").applyInArrow(pack_block(), "length int, block int, ids binary, data binary"), "blocks")
 
     candidates = packed(whole, sizes["n"], BLOCK)
     asked = packed(whole.filter(F.col("id") % every == 0), sizes["q"], QUERY_BLOCK)
@@ -129,7 +120,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     blocks = max(1, -(-sizes["n"] // BLOCK))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = candidates.join(asked, ["length", "block"]).repartition(max(partitions(spark), blocks * -(-sizes["q"] // QUERY_BLOCK)))
-    found = pairs.mapInArrow(_best(k), "query_id long, q_row long, vec_id long, score string").withColumn("exact", F.col("score").cast("decimal(38,0)"))
-    best = Window.partitionBy("query_id", "q_row").orderBy(F.desc("exact"), "vec_id")
-    ends = F.least(F.greatest("exact", F.lit(-(1 << 63)).cast("decimal(38,0)")), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", ends.alias("score"))
+    found = pairs.mapInArrow(_best(k), "query_id long, q_row long, vec_id long, key binary, score long")
+    best = Window.partitionBy("query_id", "q_row").orderBy(F.desc("key"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
