@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import PLAIN, chunks
+
 #: Fixed values
 SENTENCE_END = "([。！？.!?…][”’\"」』]{0,2})"
 RANK_OFFSET = 60  # of reciprocal rank fusion
@@ -26,33 +27,6 @@ def sentences_long(text: Column, size: int) -> Column:
     return out
 
 
-def chunks(text: Column, size: int, overlap: int) -> Column:
-    """Pieces of sentences_long packed to chunks of at most size characters; each chunk but the first starts with
-    the last overlap characters of the one before.
-
-    Packing is a running fold over the pieces; arrays grown in an SQL fold are copied at each step, so
-    it runs over Arrow batches.
-    """
-    room = size - overlap
-
-    @F.pandas_udf("array<string>")
-    def packed(pieces: pd.Series) -> pd.Series:
-        def pack(parts: list[str] | None) -> list[str] | None:
-            if parts is None:
-                return None
-            out: list[str] = []
-            for p in parts:
-                if out and len(out[-1]) + len(p) + 1 <= room:
-                    out[-1] = f"{out[-1]} {p}"
-                else:
-                    out.append(p)
-            return [c if i == 0 or not overlap else out[i - 1][-overlap:] + c for i, c in enumerate(out)]
-
-        return pieces.map(pack)
-
-    return packed(sentences_long(text, room))
-
-
 def chunk_table(docs: DataFrame, cut: Column, id_col: str = "doc_id") -> DataFrame:
     """One row for each chunk: its number, text, id (from document and number) and metadata."""
     rows = docs.select("*", F.posexplode(cut).alias("seq", "chunk"))
@@ -60,6 +34,19 @@ def chunk_table(docs: DataFrame, cut: Column, id_col: str = "doc_id") -> DataFra
     return rows.withColumn("chunk_id", key)
 
 
+def small_to_big(parents: DataFrame, size: int, id_col: str = "chunk_id", text_col: str = "chunk") -> DataFrame:
+    """The smaller chunks (parent_id, seq, chunk_id, chunk) of chunks; a hit among them leads back by parent_id."""
+    big = parents.select(F.col(id_col).alias("parent_id"), F.col(text_col).alias("text"))
+    return chunk_table(big, chunks(F.col("text"), size, 0, PLAIN, before=True, squeeze=False), "parent_id").select("parent_id", "seq", "chunk_id", "chunk")
+
+
+def parents_of(hits: DataFrame, parents: DataFrame) -> DataFrame:
+    """The chunks that small hits (query_id, parent_id, rank) lead to, each once a query, in the order of its best hit."""
+    best = hits.groupBy("query_id", "parent_id").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "parent_id"))
+    return best.join(parents.select(F.col("chunk_id").alias("parent_id"), "chunk"), "parent_id").select("query_id", "parent_id", "chunk", place.alias("place"))
+
+
 def replace_by_source(index: DataFrame, fresh: DataFrame, source: str = "source") -> DataFrame:
     """index without the chunks of the sources in fresh, and fresh."""
     return index.join(fresh.select(source).distinct(), source, "left_anti").unionByName(fresh)

@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import catalog as C
 from ..operators import documents as D
 from ..operators import rows as R
+from ..sources.scratch import written
 from .fixtures import duck, frame
 from .registry import query
 
@@ -24,15 +25,29 @@ def split_sentences_long(spark, sf):
     return frame(spark, sf, "documents").select("doc_id", F.posexplode(D.sentences_long(F.col("text"), 120)).alias("seq", "sentence"))
 
 
+def _chunks(spark, sf, size, overlap):
+    return D.chunk_table(frame(spark, sf, "documents").select("doc_id", "text"), D.chunks(F.col("text"), size, overlap)).select("doc_id", "seq", "chunk_id", "chunk")
+
+
 @query("chunk_recursive")
 def chunk_recursive(spark, sf):
-    return D.chunk_table(frame(spark, sf, "documents").select("doc_id", "text"), D.chunks(F.col("text"), 200, 50)).select("doc_id", "seq", "chunk_id", "chunk")
+    """Chunks of the shipped size and overlap."""
+    return _chunks(spark, sf, 200, 50)
 
 
 @query("small_to_big")
 def small_to_big(spark, sf):
-    big = D.chunk_table(frame(spark, sf, "documents").select("doc_id", "text"), D.chunks(F.col("text"), 800, 0)).select(F.col("chunk_id").alias("parent_id"), F.col("chunk").alias("text"))
-    return D.chunk_table(big, D.chunks(F.col("text"), 200, 50), "parent_id").select("parent_id", "seq", "chunk_id", "chunk")
+    """Chunks of the default size, cut to smaller ones that know their parent."""
+    return D.small_to_big(_chunks(spark, sf, 510, 200), 128)
+
+
+@query("small_to_big_text", duck("SELECT doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) AS digest FROM {documents} WHERE regexp_matches(text, '\\S')"))
+def small_to_big_text(spark, sf):
+    """Each text, blanks aside, put together again from the small chunks by way of their parents."""
+    parents = written(_chunks(spark, sf, 510, 0), "parents")
+    small = D.small_to_big(parents, 128).join(parents.select(F.col("chunk_id").alias("parent_id"), "doc_id", F.col("seq").alias("big")), "parent_id")
+    whole = R.joined_in_order(small, ["doc_id"], "chunk", ["big", "seq"], "")
+    return whole.select("doc_id", F.md5(F.regexp_replace("chunk", r"\s+", "")).alias("digest"))
 
 
 @query("chunk_catalog", duck(f"SELECT doc_id, i - 1 AS seq, md5(concat(doc_id, '|', i - 1)) AS chunk_id, source FROM (SELECT doc_id, source, unnest(range(1, len({_SENTENCES}) + 1)) AS i FROM {{documents}})"))
