@@ -48,6 +48,31 @@ FIELDS = [
     ("建筑设防烈度", "building_fortification_intensity", ["TENDER", "BUILDING_DESIGN"], ["抗震设防烈度"], ["工程概况", "OLE"], [], "7"),
 ]
 
+#: Field, its classes in order, synonyms, suffix.
+CATEGORIES = [
+    ("construction_nature", ["新建", "改建", "扩建"], {}, ""),
+    ("primary_project_category", ["居住建筑", "学校", "办公建筑", "体育建筑", "卫生建筑", "文化建筑", "商业建筑", "旅馆酒店建筑", "交通建筑", "居民服务建筑", "工业建筑", "市政工程", "轨道交通工程"], {"学校": "教育建筑"}, "建筑"),
+    ("investment_type", ["政府投资", "企业投资", "个人投资"], {}, ""),
+    ("cost_stage", ["估算", "概算", "招标", "预算", "结算", "决算"], {}, "阶段"),
+    ("execution_list", ["GB50500-2008《建设工程工程量清单计价规范》", "GB50500-2013《建设工程工程量清单计价规范》", "GB/T50854-2024《房屋建筑与装饰工程工程量计算标准》"], {}, ""),
+    ("foundation_type", ["条形基础", "独立基础", "满堂基础", "桩基础", "桩基工程", "桩基"], {"桩基工程": "桩基础", "桩基": "桩基础"}, ""),
+]
+#: Characters that a prompt holds of the paragraphs and of the windows of a category, and of the evidence of any other field.
+CUTS = {"paragraphs": 4096, "windows": 512, "value": 3000}
+
+
+def class_label(word: str, synonyms: dict[str, str], suffix: str) -> str:
+    """A class with its synonym in its place and the suffix set once."""
+    return synonyms.get(word, word).removesuffix(suffix) + suffix
+
+
+#: Each field's name and aliases (field, place, key), scopes (field, place, scope), title keys (field, place, title key), classes (field, place, class, label).
+KEYS = [(f[1], n, key) for f in FIELDS for n, key in enumerate([f[0], *f[3]])]
+SCOPES = [(f[1], n, scope) for f in FIELDS for n, scope in enumerate(f[2])]
+TITLES = [(f[1], n, title) for f in FIELDS for n, title in enumerate(f[4])]
+CLASSES = [(field, n, word, class_label(word, synonyms, suffix)) for field, words, synonyms, suffix in CATEGORIES for n, word in enumerate(words)]
+DEFAULTS = [(f[1], f[6]) for f in FIELDS]
+
 SCHEMA = "name string, field string, scopes array<string>, aliases array<string>, titles array<string>, deps array<string>, default string"
 
 

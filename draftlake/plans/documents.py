@@ -136,16 +136,6 @@ def remove_used(spark, sf):
     return frame(spark, sf, "documents").join(frame(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("union_evidence", duck("SELECT doc_id, string_agg(t, '|' ORDER BY o, n) AS evidence FROM (SELECT doc_id, o, n, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {documents}) JOIN (VALUES (0, ' the '), (1, ' que ')) k(o, key) ON contains(t, key)) GROUP BY doc_id"))
-def union_evidence(spark, sf):
-    """The lines of a document that hold the first key, then those with the second, each kind in text order."""
-    lines = F.split("text", "\n")
-    holding = lambda key: F.filter(lines, lambda t: F.contains(t, F.lit(key)))
-    found = F.concat(holding(" the "), holding(" que "))
-    rows = frame(spark, sf, "documents").select("doc_id", found.alias("found")).filter(F.size("found") > 0)
-    return rows.select("doc_id", F.array_join("found", "|").alias("evidence"))
-
-
 @query("scan_titled_paragraphs", duck("SELECT doc_id, source AS title, text AS content FROM {documents} WHERE NOT contains(text, '**') UNION ALL SELECT doc_id, 'end', lang FROM {documents} WHERE NOT contains(text, '**')"))
 def scan_titled_paragraphs(spark, sf):
     d = frame(spark, sf, "documents").filter(~F.contains("text", F.lit("**")))
@@ -153,13 +143,6 @@ def scan_titled_paragraphs(spark, sf):
     return d.select("doc_id", F.inline(D.paragraphs(mark)))
 
 
-@query("paragraph_title_match", duck("SELECT doc_id, source AS title FROM {documents} WHERE contains(source, '1') OR contains(source, '7')"))
-def paragraph_title_match(spark, sf):
-    d = frame(spark, sf, "documents")
-    keys = F.array(F.lit("1"), F.lit("7"))
-    return d.filter(F.exists(keys, lambda k: F.contains("source", k))).select("doc_id", F.col("source").alias("title"))
-
-
 @query("table_to_text", duck("SELECT p_partkey, concat(p_brand, '|', p_type, chr(10), p_size, '|') AS text FROM {part}"))
 def table_to_text(spark, sf):
     cells = F.array(F.array("p_brand", "p_type"), F.array(F.col("p_size").cast("string"), F.lit("")))
@@ -286,20 +269,6 @@ def path_alias(spark, sf):
     return c.join(aliases, "alias").select("c_custkey", "project")
 
 
-_PROMPT = 512
-
-
-@query("build_prompt", duck(f"SELECT source, substr(concat('请提取：', source, chr(10), string_agg(text, chr(10) ORDER BY doc_id)), 1, {_PROMPT}) AS prompt FROM {{documents}} WHERE text IS NOT NULL GROUP BY source"))
-def build_prompt(spark, sf):
-    """The prompt of each source, cut to its length.
-
-    Each text adds at least its line feed, so no more than that many texts, and that many characters of one, reach it.
-    """
-    texts = frame(spark, sf, "documents").filter("text IS NOT NULL").select("source", "doc_id", F.substring("text", 1, _PROMPT).alias("evidence"))
-    ev = R.joined_in_order(R.best_row(texts, ["source"], [F.col("doc_id")], _PROMPT), ["source"], "evidence", ["doc_id"], "\n")
-    return ev.select("source", F.substring(F.replace(F.replace(F.lit("请提取：{key}\n{evidence}"), F.lit("{key}"), F.col("source")), F.lit("{evidence}"), F.col("evidence")), 1, _PROMPT).alias("prompt"))
-
-
 @query("field_dependency_join", duck("SELECT o_custkey, max(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END) - max(CASE WHEN o_orderkey % 3 = 1 THEN o_totalprice END) AS landscape FROM {orders} GROUP BY o_custkey"))
 def field_dependency_join(spark, sf):
     v = frame(spark, sf, "orders").filter("o_orderkey % 3 < 2").withColumn("field", F.when(F.col("o_orderkey") % 3 == 0, "land").otherwise("base"))
@@ -314,14 +283,3 @@ def route_to_file(spark, sf):
     q = frame(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(" "), (F.col("c_custkey") % 30).cast("string")).alias("question"))
     hit = q.join(F.broadcast(keys), F.contains("question", "key"))
     return hit.groupBy("c_custkey").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("n")).filter("n = 1").select("c_custkey", "file")
-
-
-@query("field_evidence", duck("SELECT f.field, d.doc_id, CAST(count(*) AS BIGINT) AS n_windows FROM {documents} d JOIN (VALUES ('area', ' the '), ('area', ' and '), ('height', ' que ')) f(field, key) ON contains(d.text, f.key) GROUP BY ALL"))
-def field_evidence(spark, sf):
-    """Fields by their aliases over all blocks in one pass."""
-    specs = [("area", [" the ", " and "]), ("height", [" que "])]
-    rows = F.flatten(F.array(*(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(k).alias("key"), X.keyword_windows(F.col("text"), k, 10, 50).alias("windows")) for k in keys)) for f, keys in specs)))
-    found = frame(spark, sf, "documents").select("doc_id", F.inline(rows)).filter(F.size("windows") > 0)
-    return found.groupBy("field", "doc_id").agg(F.count(F.lit(1)).alias("n_windows"))
-
-

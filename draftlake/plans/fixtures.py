@@ -9,6 +9,18 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import specs as S
+from ..functions.text import STRUCTURE_TYPES
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    """A table of fixed rows as SQL; the first column numbers them."""
+    text = lambda x: "CAST(NULL AS STRING)" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, (k, *r))) + ')' for k, r in enumerate(rows))}) AS t(no, {columns})"
+
+
+_TYPES = [("structure_type", n, word, word) for n, word in enumerate(STRUCTURE_TYPES)]
+_FILE = "CAST(floor(doc_id / 4) AS BIGINT)"
 _NAME = re.compile(r"\{(\w+)\}")
 
 TEXTS: dict[str, str] = {
@@ -41,6 +53,43 @@ TEXTS: dict[str, str] = {
     "task_log": """SELECT user_id AS task_id, ts, value,
         CASE event_type WHEN 'signup' THEN 'START' WHEN 'purchase' THEN 'FINISH' WHEN 'error' THEN 'FAIL' ELSE 'PROGRESS' END AS kind
         FROM {events}""",
+    # The fixed tables of the field specs.
+    "spec_key": values(S.KEYS, "field, key_no, key"),
+    "spec_scope": values(S.SCOPES, "field, scope_no, scope"),
+    "spec_title": values(S.TITLES, "field, title_no, title_key"),
+    "spec_class": values(S.CLASSES + _TYPES, "field, class_no, class, label"),
+    "spec_default": values(S.DEFAULTS, "field, fallback"),
+    # Files of four documents each in scopes of projects.
+    "file_doc": f"""SELECT doc_id, text, source, lang, {_FILE} AS file_id, concat('p', CAST({_FILE} % 61 AS STRING)) AS project,
+        CASE {_FILE} % 7 WHEN 0 THEN 'TENDER' WHEN 1 THEN 'BUILDING_DESIGN' WHEN 2 THEN 'BASEMENT' WHEN 3 THEN 'DEFENSE' WHEN 4 THEN 'CCD'
+            WHEN 5 THEN 'BUILDING' ELSE 'STRUCTURE' END AS scope FROM {{documents}}""",
+    # Tables and texts of these files: whole documents in whose texts frequent words are keys and classes of the specs.
+    "block": f"""SELECT doc_id AS block_id, file_id, project, scope, CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'text' END AS kind,
+        replace(replace(replace(replace(text, ' of ', concat(' ', a.key, '：')), ' de ', concat('，', b.key)), ' und ', b.key), ' in ',
+            CASE WHEN doc_id % 4 = 1 THEN concat(' ', c.class, ' ') ELSE ' in ' END) AS text
+        FROM {{file_doc}} JOIN {{spec_key}} a ON a.no = doc_id % {len(S.KEYS)} JOIN {{spec_key}} b ON b.no = (doc_id * 7 + 3) % {len(S.KEYS)}
+        JOIN {{spec_class}} c ON c.no = doc_id % {len(S.CLASSES + _TYPES)}""",
+    # Titled paragraphs of every eighth document, the second one under a title without key.
+    "paragraph": f"""SELECT doc_id AS block_id, file_id, project, scope, 0 AS seq, concat('第', CAST(doc_id % 9 AS STRING), '章 ', title_key, '说明') AS title,
+            concat(text, ' ', class) AS content FROM {{file_doc}} JOIN {{spec_title}} t ON t.no = doc_id % {len(S.TITLES)} JOIN {{spec_class}} c ON c.no = (doc_id * 5) % {len(S.CLASSES + _TYPES)}
+            WHERE doc_id % 8 = 3 AND text IS NOT NULL AND NOT contains(text, '**')
+        UNION ALL SELECT doc_id, file_id, project, scope, 1, concat('附录 ', source), lang FROM {{file_doc}} WHERE doc_id % 8 = 3 AND text IS NOT NULL AND NOT contains(text, '**')""",
+    # The texts of blocks in drawing boxes.
+    "drawn": """SELECT drawing_id, ent_id, minx, miny, maxx, maxy, block_id, file_id, project, scope,
+        substr(text, CAST(floor(length(text) * (part - 1) / parts) AS INT) + 1,
+            CAST(floor(length(text) * part / parts) AS INT) - CAST(floor(length(text) * (part - 1) / parts) AS INT)) AS text
+        FROM {share} JOIN {block} ON block_id = doc_id""",
+    # Provinces, cities and counties; names lie within and across each other.
+    "place": """SELECT r_name AS place, 0 AS level, CAST(NULL AS STRING) AS city, r_name AS province FROM {region}
+        UNION ALL SELECT n_name, 1, n_name, r_name FROM {nation} JOIN {region} ON r_regionkey = n_regionkey
+        UNION ALL SELECT concat(n_name, '_', CAST(s_suppkey % 3 AS STRING)), 2, n_name, r_name FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey JOIN {region} ON r_regionkey = n_regionkey
+            GROUP BY n_name, s_suppkey % 3, r_name
+        UNION ALL SELECT concat(r_name, ' ', n_name), 2, n_name, r_name FROM {nation} JOIN {region} ON r_regionkey = n_regionkey WHERE n_nationkey % 5 = 0
+        UNION ALL SELECT 'OLD TOWN', 2, n_name, r_name FROM {nation} JOIN {region} ON r_regionkey = n_regionkey WHERE n_nationkey % 6 = 1""",
+    "address": """SELECT c_custkey, concat('at ', c_name, ' in ', CASE c_custkey % 5 WHEN 0 THEN 'OLD TOWN near ' WHEN 1 THEN concat(r_name, ' ') ELSE '' END,
+        n_name, CASE c_custkey % 4 WHEN 0 THEN '_1' WHEN 1 THEN '_7' WHEN 2 THEN concat(', ', r_name) ELSE '0' END, ' no. ', CAST(c_custkey % 90 AS STRING)) AS address
+        FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey JOIN {region} ON r_regionkey = n_regionkey WHERE c_custkey % 11 <> 0
+        UNION ALL SELECT c_custkey, concat('post box ', c_name) FROM {customer} WHERE c_custkey % 11 = 0""",
     "tree": """SELECT concat('r', r_regionkey) AS id, CAST(NULL AS STRING) AS parent, r_name AS name, 'D' AS kind, CAST(0 AS BIGINT) AS size FROM {region}
         UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name, 'D', CAST(0 AS BIGINT) FROM {nation}
         UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey), c_name, 'F', CAST(c_custkey % 97 AS BIGINT) FROM {customer}""",
