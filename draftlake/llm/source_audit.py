@@ -23,6 +23,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,69 +36,73 @@ PARTS, PRIOR = 1_000_000_000, 5
 LEAST_DOCS, TOP = 30, 50
 RUN_ENTRIES = 1 << 19  # postings and terms that a block holds
 CHUNK = 2048  # terms of a run that are merged at a time
-PAIRS = 1 << 20  # corrections that a task holds before it adds up those of one pair
+SQUARE = 1024  # sources of a language whose pairs a task holds as a square of numbers
+PAIRS = 1 << 20  # corrections of more sources that a task holds before it adds up those of one pair
 SALT = 32  # parts of a language that meet its groups apart
 PIECE = 1 << 20  # bytes of a text looked at together
-#: A term is a run of characters other than ASCII ones that are not letters; A-Z count as a-z.
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
-_APART = re.compile(rb"[^a-z\x80-\xff]")
+#: A term is a run of characters other than ASCII ones that are not letters; A-Z count as a-z.  All other bytes become blanks.
+_PLAIN = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
+_APART = re.compile(rb"[^A-Za-z\x80-\xff]")
 
 _RUN = "shard int, lang string, first binary, terms binary, docs binary, n binary, source binary, count binary, sources array<string>"
 _KEPT = "lang string, term string, sources array<string>, counts array<long>"
 
 
-def text_terms(text: str | None) -> Counter:
-    """A text's terms, as UTF-8, with their occurrences."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()  # of bytes: A-Z only
-    if len(data) <= PIECE:
-        return Counter(_TERM.findall(data))
-    found, at = Counter(), 0
+def text_terms(text: str | None) -> Iterator[list[bytes]]:
+    """A text's terms, as UTF-8, in lists of a piece each."""
+    data, at = (text or "").encode("utf-8", "surrogatepass"), 0
     while at < len(data):
         cut = _APART.search(data, at + PIECE)
         to = cut.end() if cut else len(data)
-        found.update(_TERM.findall(data[at:to]))
+        yield data[at:to].translate(_PLAIN).split()
         at = to
-    return found
 
 
 class Block:
-    """Postings held in memory."""
+    """Postings held in memory: occurrences by language and source, documents by language."""
 
     def __init__(self):
-        self.postings: dict[str, dict[bytes, dict[str, int]]] = defaultdict(dict)
+        self.counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         self.docs: dict[str, Counter] = defaultdict(Counter)
         self.entries = 0
 
-    def add(self, lang: str, source: str, terms: Counter) -> None:
-        postings, docs = self.postings[lang], self.docs[lang]
-        for term, n in terms.items():
-            of = postings.get(term)
-            if of is None:
-                postings[term] = {source: n}
-                self.entries += 2
-            elif source in of:
-                of[source] += n
-            else:
-                of[source] = n
-                self.entries += 1
-        docs.update(terms.keys())
+    def add(self, lang: str, source: str, text: str | None) -> None:
+        counts, docs, seen = self.counts[lang][source], self.docs[lang], set()
+        before = len(counts) + len(docs)
+        for terms in text_terms(text):
+            counts.update(terms)
+            seen.update(terms)
+        docs.update(seen)
+        self.entries += len(counts) + len(docs) - before
 
     def runs(self, shards: int) -> Iterator[dict]:
         """The block's chunks, each shard's terms in order."""
-        for lang, postings in self.postings.items():
-            by_shard = defaultdict(list)
-            for term in postings:
-                by_shard[zlib.crc32(term) % shards].append(term)
-            for shard, terms in by_shard.items():
-                terms.sort()
-                for at in range(0, len(terms), CHUNK):
-                    part = terms[at : at + CHUNK]
-                    sources = sorted({s for t in part for s in postings[t]})
-                    place = {s: k for k, s in enumerate(sources)}
+        for lang, counts in self.counts.items():
+            terms, sources = sorted(self.docs[lang]), sorted(counts)
+            if not terms:
+                continue
+            rank = dict(zip(terms, range(len(terms)), strict=True))
+            of = np.fromiter(chain.from_iterable(map(rank.__getitem__, counts[s]) for s in sources), np.int64)
+            count = np.fromiter(chain.from_iterable(counts[s].values() for s in sources), np.int64)
+            source = np.repeat(np.arange(len(sources)), [len(counts[s]) for s in sources])
+            shard = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % shards
+            dealt = np.argsort(shard, kind="stable")  # terms by shard, in order within
+            place = np.empty(len(terms), np.int64)
+            place[dealt] = np.arange(len(terms))
+            order = np.argsort(place[of], kind="stable")
+            count, source = count[order], source[order]
+            n = np.bincount(of, minlength=len(terms))[dealt]
+            docs = np.fromiter(map(self.docs[lang].__getitem__, terms), np.int64, len(terms))[dealt]
+            ends, shard = np.concatenate([[0], np.cumsum(n)]), shard[dealt]
+            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            for first, end in zip(cuts, [*cuts[1:], len(terms)], strict=True):
+                for a in range(first, end, CHUNK):
+                    b = min(a + CHUNK, end)
+                    part = [terms[k] for k in dealt[a:b]]
+                    there, at = np.unique(source[ends[a] : ends[b]], return_inverse=True)
                     yield {
-                        "shard": shard, "lang": lang, "first": part[0], "terms": b"\n".join(part), "docs": np.array([self.docs[lang][t] for t in part], np.int64).tobytes(),
-                        "n": np.array([len(postings[t]) for t in part], np.int32).tobytes(), "source": np.array([place[s] for t in part for s in postings[t]], np.int32).tobytes(),
-                        "count": np.array([n for t in part for n in postings[t].values()], np.int64).tobytes(), "sources": sources,
+                        "shard": int(shard[a]), "lang": lang, "first": part[0], "terms": b"\n".join(part), "docs": docs[a:b].tobytes(), "n": n[a:b].astype(np.int32).tobytes(),
+                        "source": at.astype(np.int32).tobytes(), "count": count[ends[a] : ends[b]].tobytes(), "sources": [sources[k] for k in there],
                     }
 
 
@@ -124,7 +129,7 @@ def _indexed(shards: int, most: int):
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                 seen[lang].add(source)
-                block.add(lang, source, text_terms(text))
+                block.add(lang, source, text)
                 if block.entries >= most:
                     yield from spilled(block)
                     block = Block()
@@ -135,39 +140,48 @@ def _indexed(shards: int, most: int):
     return run
 
 
-def _opened(row: dict) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-    """The terms of a chunk in order, with their documents and occurrences by source."""
-    sources, at = row["sources"], 0
-    place, count = np.frombuffer(row["source"], np.int32).tolist(), np.frombuffer(row["count"], np.int64).tolist()
-    for term, docs, n in zip(row["terms"].split(b"\n"), np.frombuffer(row["docs"], np.int64).tolist(), np.frombuffer(row["n"], np.int32).tolist(), strict=True):
-        yield term, docs, {sources[k]: c for k, c in zip(place[at : at + n], count[at : at + n], strict=True)}
-        at += n
+def _opened(row: dict) -> Iterator[tuple[bytes, int, tuple]]:
+    """The terms of a chunk in order, with their documents and where their postings are."""
+    sources, place, count = row["sources"], np.frombuffer(row["source"], np.int32), np.frombuffer(row["count"], np.int64)
+    ends = np.cumsum(np.frombuffer(row["n"], np.int32)).tolist()
+    at = 0
+    for term, docs, end in zip(row["terms"].split(b"\n"), np.frombuffer(row["docs"], np.int64).tolist(), ends, strict=True):
+        yield term, docs, (sources, place, count, at, end)
+        at = end
+
+
+def _by_source(found: list[tuple]) -> dict[str, int]:
+    of: dict[str, int] = {}
+    for sources, place, count, at, end in found:
+        for k, n in zip(place[at:end].tolist(), count[at:end].tolist(), strict=True):
+            of[sources[k]] = of.get(sources[k], 0) + n
+    return of
 
 
-def merged(chunks: Iterator[dict]) -> Iterator[tuple[str, bytes, int, dict[str, int]]]:
-    """(lang, term, documents, occurrences by source) of chunks in order of shard, language and first term."""
+def merged(chunks: Iterator[dict], least: int) -> Iterator[tuple[str, bytes, dict[str, int]]]:
+    """(lang, term, occurrences by source) of the terms of least documents or more, from chunks in order of shard, language and first term."""
     heap, tie = [], 0
     ahead = next(chunks, None)
     while ahead is not None or heap:
         # A chunk enters when no term before its first is left.
         while ahead is not None and (not heap or (ahead["shard"], ahead["lang"], ahead["first"]) <= heap[0][:3]):
             terms = _opened(ahead)
-            term, docs, counts = next(terms)
-            heapq.heappush(heap, (ahead["shard"], ahead["lang"], term, tie, docs, counts, terms))
+            term, docs, postings = next(terms)
+            heapq.heappush(heap, (ahead["shard"], ahead["lang"], term, tie, docs, postings, terms))
             tie, ahead = tie + 1, next(chunks, None)
         shard, lang, term = heap[0][:3]
-        total, of = 0, {}
-        while heap and heap[0][:3] == (shard, lang, term):
-            *_, order, docs, counts, terms = heap[0]
+        total, found = 0, []
+        while heap and heap[0][2] == term and heap[0][1] == lang and heap[0][0] == shard:
+            *_, order, docs, postings, terms = heap[0]
             total += docs
-            for s, n in counts.items():
-                of[s] = of.get(s, 0) + n
+            found.append(postings)
             after = next(terms, None)
             if after is None:
                 heapq.heappop(heap)
             else:
                 heapq.heapreplace(heap, (shard, lang, after[0], order, after[1], after[2], terms))
-        yield lang, term, total, of
+        if total >= least:
+            yield lang, term, _by_source(found)
 
 
 def _frequencies(least: int):
@@ -177,9 +191,8 @@ def _frequencies(least: int):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], names=["lang", "term", "sources", "counts"])
 
         part = []
-        for lang, term, docs, of in merged(row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
-            if docs >= least:
-                part.append((lang, term, of))
+        for found in merged((row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()), least):
+            part.append(found)
             if len(part) == 2048:
                 yield rows(part)
                 part = []
@@ -204,37 +217,65 @@ def share(count: Column, n: Column, v: Column) -> Column:
     return F.call_function("div", F.lit(PARTS).cast("decimal(10,0)") * whole[0].cast("decimal(27,0)"), whole[1]) + 1
 
 
-def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, other, value): what terms that both sources have add, summed for each pair."""
-    number, names, held, n = {}, [], [], 0
+class PairSums:
+    """Sums by pairs of one language's sources: a square of numbers while they are few, else keys and values that are added up when they are many."""
 
-    def summed() -> tuple[np.ndarray, np.ndarray]:
-        keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    def __init__(self, lang: str):
+        self.lang, self.number, self.square, self.held, self.n = lang, {}, np.zeros((0, 0), np.int64), [], 0
+
+    def add(self, sources: list[str], p: np.ndarray, p0: np.ndarray) -> None:
+        """What a term that all these sources have adds for each pair of them."""
+        at = np.array([self.number.setdefault(s, len(self.number)) for s in sources], np.int64)
+        if len(self.number) > len(self.square) and len(self.number) <= SQUARE:
+            size = min(SQUARE, 2 * len(self.number))
+            self.square = np.pad(self.square, (0, size - len(self.square)))
+        for k in range(0, len(at), SQUARE):
+            row = slice(k, k + SQUARE)
+            value = np.abs(p[row, None] - p) - np.abs(p[row, None] - p0) - np.abs(p0[row, None] - p) + np.abs(p0[row, None] - p0)
+            if len(self.number) <= SQUARE:
+                self.square[np.ix_(at[row], at)] += value
+            else:
+                self.held.append((((at[row, None] << 32) | at).ravel(), value.ravel()))
+                self.n += value.size
+                if self.n >= PAIRS:
+                    self.held = [self._summed()]
+                    self.n = len(self.held[0][0])
+
+    def _summed(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, place = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
         total = np.zeros(len(keys), np.int64)
-        np.add.at(total, place, np.concatenate([v for _, v in held]))
+        np.add.at(total, place, np.concatenate([v for _, v in self.held]))
         return keys, total
 
-    def rows(keys: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-        g, h = ([names[k] for k in x.tolist()] for x in (keys >> 32, keys & 0xFFFFFFFF))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in g], pa.string()), pa.array([x[1] for x in g], pa.string()), pa.array([x[1] for x in h], pa.string()), pa.array(total)], names=["lang", "source", "other", "value"])
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """All sums so far; the next ones start anew."""
+        g, h = np.nonzero(self.square)
+        parts = [(g, h, self.square[g, h])] if len(g) else []
+        if self.held:
+            keys, total = self._summed()
+            parts.append((keys >> 32, keys & 0xFFFFFFFF, total))
+        names = pa.array(list(self.number), pa.string())
+        for g, h, total in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(g), pa.string()), names.take(pa.array(g)), names.take(pa.array(h)), pa.array(total)], names=["lang", "source", "other", "value"])
+        self.number, self.square, self.held, self.n = {}, np.zeros((0, 0), np.int64), [], 0
+
 
+def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, other, value): what terms that both sources have add, summed for each pair."""
+    sums: dict[str, PairSums] = {}
     for batch in batches:
-        for lang, posted in zip(batch.column("lang").to_pylist(), batch.column("posted").to_pylist(), strict=True):
-            at = np.array([number.setdefault((lang, p["source"]), len(number)) for p in posted], np.int64)
-            names += list(number)[len(names) :] if len(number) > len(names) else []
-            p, p0 = (np.array([x[c] for x in posted], np.int64) for c in ("p", "p0"))
-            for k in range(len(at)):  # with every other source that has the term
-                value = np.abs(p[k] - p) - np.abs(p[k] - p0) - np.abs(p0[k] - p) + np.abs(p0[k] - p0)
-                held.append(((at[k] << 32) | at, value))
-                n += len(at)
-                if n >= PAIRS:
-                    held = [summed()]
-                    n = len(held[0][0])
-                    if 2 * n >= PAIRS:
-                        yield rows(*held[0])
-                        held, n = [], 0
-    if held:
-        yield rows(*summed())
+        posted = batch.column("posted")
+        flat, ends = posted.flatten(), posted.value_lengths().to_numpy().cumsum()
+        source, (p, p0) = flat.field("source").to_pylist(), (flat.field(c).to_numpy() for c in ("p", "p0"))
+        at = 0
+        for lang, end in zip(batch.column("lang").to_pylist(), ends.tolist(), strict=True):
+            of = sums.setdefault(lang, PairSums(lang))
+            of.add(source[at:end], p[at:end], p0[at:end])
+            at = end
+            if of.n >= PAIRS // 2:
+                yield from of.rows()
+    for of in sums.values():
+        yield from of.rows()
 
 
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, run_entries: int = RUN_ENTRIES) -> DataFrame:
