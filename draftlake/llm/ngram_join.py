@@ -50,6 +50,7 @@ BROADCAST_ROWS = 500_000  # of node ids; above it the join shuffles
 BAND = 1.25
 EMPTY = 1e9  # cost of an empty subset: it comes last
 SLICE = 2000  # rows that a task holds at once
+HELD = 1 << 22  # bytes of whole sets that a task works on at once
 #: Roles that each role meets, as bits: whole and reduced subsets of the index (0, 1), probes (2 to 4).
 MEETS = np.array([0b11100, 0b01000, 0b00001, 0b00011, 0b00001], np.uint8)
 TRIES = (1, 4, 8)  # nodes that each node is checked against, in turn, before signatures are expanded
@@ -306,9 +307,17 @@ def _groups(table: pa.Table) -> pa.Table:
     return pa.table({"sig": pa.array(np.repeat(name, count)[keep].view(np.int64)), "node": pa.array(node[keep]), "size": pa.array(size[keep]), "role": pa.array(role[keep].astype(np.int32)), "weight": pa.array(weight)})
 
 
+def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about HELD bytes."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * HELD // max(HELD, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _light(batches):
             keep = []
             for x, y in zip(batch.column("left_set").to_pylist(), batch.column("right_set").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, U), np.frombuffer(y, U)
@@ -423,7 +432,7 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often the elements of each group occur in a run of rows."""
-    for batch in batches:
+    for batch in _light(batches):
         g, sets = batch.column("g").to_numpy(), batch.column("shingles").to_pylist()
         for at in np.unique(g):
             element, n = np.unique(np.concatenate([np.frombuffer(sets[k], np.int64) for k in np.flatnonzero(g == at)]), return_counts=True)
@@ -432,13 +441,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The elements in which each set differs from its group's base."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 512):
-            part = batch.slice(k, 512)
-            apart = [np.setxor1d(np.frombuffer(x, np.int64), np.array(base or [], np.int64)) for x, base in zip(part.column("shingles").to_pylist(), part.column("base").to_pylist(), strict=True)]
-            n = [len(x) for x in apart]
-            columns = [pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("g", "node")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(apart))], names=["g", "node", "element"])
+    for part in _light(batches):
+        base, ends = part.column("base").flatten().to_numpy(), np.concatenate([[0], part.column("base").value_lengths().fill_null(0).to_numpy().cumsum()])
+        apart = [np.setxor1d(np.frombuffer(x, np.int64), base[ends[k] : ends[k + 1]]) for k, x in enumerate(part.column("shingles").to_pylist())]
+        n = [len(x) for x in apart]
+        columns = [pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("g", "node")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(apart))], names=["g", "node", "element"])
 
 
 def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int = 75, near: Callable[[DataFrame, DataFrame], DataFrame] = near_marks) -> DataFrame:
