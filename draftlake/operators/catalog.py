@@ -30,6 +30,24 @@ def full_paths(tree: DataFrame) -> DataFrame:
         found = found.union(level)
 
 
+def descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, depth) of every node (id, parent) below the nodes of roots (id), each once with its least depth; roots themselves only if they are below one.
+
+    A walk from the roots: each round joins the children of the last level that no round has found, so nodes above and beside are never joined and
+    a way that leads back ends.
+    """
+    edges = tree.select("id", "parent").filter("parent IS NOT NULL")
+    level, found, depth = written(roots.select("id").distinct(), "level"), None, 0
+    while True:
+        depth += 1
+        below = edges.join(level.select(F.col("id").alias("parent")), "parent").select("id").distinct()
+        fresh = below if found is None else below.join(found.select("id"), "id", "left_anti")
+        level = written(fresh.select("id", F.lit(depth).alias("depth")), "level")
+        if level.isEmpty():
+            return level if found is None else found
+        found = level if found is None else found.union(level)
+
+
 def tree_from_paths(paths: DataFrame) -> DataFrame:
     """Rows id, parent, name, kind (D or F) of all prefixes of the paths; ids are digests of the prefixes."""
     parts = F.split("path", "/")

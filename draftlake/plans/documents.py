@@ -175,13 +175,6 @@ def file_identity(spark, sf):
     return frame(spark, sf, "customer").select("c_custkey", C.file_identity(F.col("c_name"), F.lit("file"), F.col("c_custkey") % 97).alias("identity"))
 
 
-@query("incremental_parse", duck("SELECT c_custkey FROM {customer} WHERE c_custkey % 3 <> 0"))
-def incremental_parse(spark, sf):
-    identity = C.file_identity(F.col("c_name"), F.lit("file"), F.col("c_custkey") % 97).alias("identity")
-    files = frame(spark, sf, "customer").select("c_custkey", identity)
-    return files.join(files.filter("c_custkey % 3 = 0").select("identity"), "identity", "left_anti").select("c_custkey")
-
-
 @query("route_by_suffix", duck("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'drawing' WHEN 1 THEN 'document' WHEN 2 THEN 'cost' END AS parser FROM {customer}"))
 def route_by_suffix(spark, sf):
     suffix = F.get(F.array(F.lit(".dwg"), F.lit(".docx"), F.lit(".xml"), F.lit(".bin")), (F.col("c_custkey") % 4).cast("int"))
@@ -215,14 +208,6 @@ def full_path(spark, sf):
     return C.full_paths(frame(spark, sf, "tree"))
 
 
-@query("descendants", duck("WITH RECURSIVE p AS (SELECT id, kind FROM {tree} WHERE parent = 'r2' UNION ALL SELECT t.id, t.kind FROM {tree} t JOIN p ON t.parent = p.id) SELECT * FROM p"))
-def descendants(spark, sf):
-    t = frame(spark, sf, "tree")
-    root = t.filter("id = 'r2'").select(F.col("name").alias("top"))
-    paths = C.full_paths(t).join(F.broadcast(root))  # one row
-    return paths.filter(F.startswith("path", F.concat("top", F.lit("/")))).join(t.select("id", "kind"), "id").select("id", "kind")
-
-
 @query("name_conflicts", duck("SELECT c_nationkey AS folder, substr(c_name, -2) AS name, count(*) AS n FROM {customer} GROUP BY ALL HAVING count(*) > 1"))
 def name_conflicts(spark, sf):
     return frame(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("folder"), F.substring("c_name", -2, 2).alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.documents import replace_by_source
 from ..operators.rows import task_states
+from ..sources.stores import ChunkIndex
 
 _RANK = {"START": 0, "PROGRESS": 1, "FINISH": 2, "FAIL": 2}
 
@@ -21,32 +20,45 @@ def task_state_stream(messages: DataFrame) -> DataFrame:
     return task_states(messages)
 
 
-def legal_transitions(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Each message with its task's status after it; messages behind FINISH or FAIL, or behind the watermark, change nothing.
+class _Transitions(StatefulProcessor):
+    """Keeps a task's status and the time of its last message; a timer drops them a day of event time after it."""
 
-    A task's state is its status and the time of its last message; a task without messages for a day is dropped.
-    """
-    out = "task_id long, ts timestamp, kind string, status string, legal boolean"
-    state = "status string, last timestamp"
-
-    def fold(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        status, last = held.get if held.exists else ("PENDING", None)
-        for part in parts:
-            rows = []
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "status string, last timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        status, last = self.held.get() if self.held.exists() else ("PENDING", None)
+        for part in rows:
+            out = []
             for r in part.sort_values(["ts", "kind"], key=lambda c: c.map(_RANK) if c.name == "kind" else c).itertuples():
                 legal = status not in ("SUCCESS", "FAILURE") and (last is None or r.ts >= last)
                 if legal:
                     status, last = {"FINISH": "SUCCESS", "FAIL": "FAILURE"}.get(r.kind, "RUNNING"), r.ts
-                rows.append((key[0], r.ts, r.kind, status, legal))
-            yield pd.DataFrame(rows, columns=["task_id", "ts", "kind", "status", "legal"])
-        held.update((status, last))
-        held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), 0) + 86_400_000)
+                out.append((key[0], r.ts, r.kind, status, legal))
+            yield pd.DataFrame(out, columns=["task_id", "ts", "kind", "status", "legal"])
+        self.held.update((status, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), int(last.timestamp() * 1000)) + 86_400_000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
 
-    seen = messages.withWatermark("ts", late)
-    return seen.groupBy("task_id").applyInPandasWithState(fold, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+def legal_transitions(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Each message (task_id, kind, ts) with its task's status after it; messages behind FINISH or FAIL, or behind the watermark, change nothing.
+
+    A task without messages for a day is forgotten.  State is kept in RocksDB, which this sets for the session's streams.
+    """
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = "task_id long, ts timestamp, kind string, status string, legal boolean"
+    seen = messages.select("task_id", "kind", "ts").withWatermark("ts", late)
+    return seen.groupBy("task_id").transformWithStateInPandas(statefulProcessor=_Transitions(), outputStructType=out, outputMode="append", timeMode="eventTime")
 
 
 def new_files(files: DataFrame, late: str = "1 day") -> DataFrame:
@@ -54,23 +66,9 @@ def new_files(files: DataFrame, late: str = "1 day") -> DataFrame:
     return files.withWatermark("ts", late).dropDuplicatesWithinWatermark(["identity"])
 
 
-def keep_index(chunks: DataFrame, folder: str, spark: SparkSession):
-    """A writer that replaces, in the index under folder, the chunks of the sources that a batch brings.
-
-    Versions of the index are folders named by batch; a batch that runs again writes its own version again.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        before = f"{folder}/version={number - 1}"
-        try:
-            index = spark.read.parquet(before)
-        except Exception as e:  # the first batch finds none
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            index = batch.limit(0)
-        replace_by_source(index, batch).write.mode("overwrite").parquet(f"{folder}/version={number}")
-
-    return chunks.writeStream.foreachBatch(apply)
+def keep_index(chunks: DataFrame, index: ChunkIndex):
+    """A writer that replaces, in the index, the chunks of the sources that a batch brings; a batch that runs again changes nothing."""
+    return chunks.writeStream.foreachBatch(lambda batch, number: index.replace(number, batch) and None)
 
 
 def with_event_time(df: DataFrame, column: str) -> DataFrame:
