@@ -62,11 +62,15 @@ def numbered(frames: DataFrame) -> DataFrame:
 
 def innermost(boxes: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes that contain a text with a key and no other such box, without repeats."""
-    hit = texts.filter(text_contains_any(F.col("text"), keys))
-    own = contained_pairs(boxes, hit).select(F.col("o_ent_id").alias("ent_id")).distinct()
+    return innermost_around(boxes, texts.filter(text_contains_any(F.col("text"), keys))).select("drawing_id", *BOX).dropDuplicates()
+
+
+def innermost_around(boxes: DataFrame, inner: DataFrame) -> DataFrame:
+    """The boxes that contain one of inner and no other box that does."""
+    own = contained_pairs(boxes, inner).select(F.col("o_ent_id").alias("ent_id")).distinct()
     with_key = boxes.join(own, "ent_id", "left_semi")
     around = contained_pairs(with_key, with_key).select(F.col("o_ent_id").alias("ent_id")).distinct()
-    return with_key.join(around, "ent_id", "left_anti").select("drawing_id", *BOX).dropDuplicates()
+    return with_key.join(around, "ent_id", "left_anti")
 
 
 def text_contains_any(text: Column, keys: list[str]) -> Column:

@@ -43,11 +43,17 @@ TEXTS: dict[str, str] = {
             CAST(floor(length(text) * part / parts) AS INT) - CAST(floor(length(text) * (part - 1) / parts) AS INT)) AS text
         FROM {share} JOIN {documents} USING (doc_id)""",
     # Elevation marks: two strokes, a pole (every fifth is missing) and a number above it.
-    "stroke": """SELECT drawing_id, ent_id * 3 AS id, 'left' AS side, minx, miny, CAST(minx + maxx AS DOUBLE) / 2 AS maxx, maxy FROM {ent}
-        UNION ALL SELECT drawing_id, ent_id * 3 + 1, 'right', CAST(minx + maxx AS DOUBLE) / 2, miny, maxx, maxy FROM {ent}""",
+    "stroke": """SELECT drawing_id, ent_id * 3 AS id, 'left' AS side, CAST(minx AS DOUBLE) AS minx, miny, CAST(minx + maxx AS DOUBLE) / 2 AS maxx, maxy FROM {ent}
+        UNION ALL SELECT drawing_id, ent_id * 3 + 1, 'right', CAST(minx + maxx AS DOUBLE) / 2, miny, CAST(maxx AS DOUBLE), maxy FROM {ent}""",
     "pole": """SELECT drawing_id, ent_id * 3 + 2 AS id, minx, maxx + 50 AS maxx, maxy AS y FROM {ent} WHERE ent_id % 5 <> 0""",
     "number": """SELECT drawing_id, ent_id, minx + 1 AS minx, maxx AS maxx, maxy + 5 AS miny, maxy + 9 AS maxy,
         concat(CAST(floor((ent_id % 400) / 10) AS INT), '.', CAST(ent_id % 10 AS INT)) AS text FROM {ent}""",
+    # Strokes and poles as the two-point lines that a drawing holds, and texts of which some are scales.
+    "mark_line": """SELECT drawing_id, id, minx AS x1, maxy AS y1, maxx AS x2, miny AS y2 FROM {stroke} WHERE side = 'left'
+        UNION ALL SELECT drawing_id, id, minx, miny, maxx, maxy FROM {stroke} WHERE side = 'right'
+        UNION ALL SELECT drawing_id, id, CAST(minx AS DOUBLE), y, CAST(maxx AS DOUBLE), y FROM {pole}""",
+    "scale": """SELECT drawing_id, ent_id, minx, miny, minx + 5 AS maxx, miny + 5 AS maxy,
+        CASE ent_id % 3 WHEN 0 THEN '1:5' WHEN 1 THEN concat('1:', CAST(ent_id % 10 + 1 AS STRING), '00') ELSE '1:50' END AS text FROM {ent} WHERE floor(ent_id / 100) % 2 = 1""",
     "floor_area": """SELECT p_partkey % 50 AS building, CAST(p_size AS BIGINT) AS floor, CAST(max(floor(p_retailprice)) AS DOUBLE) AS area
         FROM {part} WHERE p_size % 4 <> 0 GROUP BY p_partkey % 50, p_size""",
     "task_log": """SELECT user_id AS task_id, ts, value,
