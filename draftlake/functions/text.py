@@ -18,35 +18,27 @@ UNDERGROUND_AREA = r"地.*?[:：]\s*([0-9]+(?:\.[0-9]+)?)\s*平方米"
 SPECIAL_FLOOR = r"地([上下])([0-9零一二三四五六七八九十]+)层[^平]*平方米"
 
 
-def offsets(text: Column, key: str) -> Column:
-    """Where each occurrence of a literal starts (from 0); occurrences do not overlap."""
-    pieces = F.split(text, re.escape(key), -1)
-    ends = F.aggregate(pieces, F.array(F.lit(-len(key))), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + len(key) + F.length(p))))
-    return F.when(F.size(pieces) > 1, F.slice(ends, 2, F.size(pieces) - 1)).when(text.isNotNull(), F.array().cast("array<int>"))
-
-
-def keyword_windows(text: Column, key: str, pre: int, post: int) -> Column:
-    """For each occurrence of key, the text from pre characters before to post behind it."""
-    return F.transform(offsets(text, key), lambda o: F.substring(text, F.greatest(o - pre, F.lit(0)) + 1, o + len(key) + post - F.greatest(o - pre, F.lit(0))))
-
-
 def count_of(text: Column, key: Column) -> Column:
     """Occurrences of key that do not overlap."""
     return F.floor((F.length(text) - F.length(F.replace(text, key, F.lit("")))) / F.length(key)).cast("long")
 
 
 def chinese_to_int(text: Column) -> Column:
-    """Numerals up to thousands, 首 as 1, digits as they are; 负 and 地下 (or a minus) make it negative; else null."""
+    """Numerals below a hundred million, 首 as 1, digits as they are; 负 and 地下 (or a minus) make it negative; else null."""
     minus = text.rlike("^(负|地下|-)")
     body = F.regexp_replace(F.regexp_replace(text, "^(负|地下|[-+])", ""), "首", "一")
     plain = F.translate(body, "零一二三四五六七八九", "0123456789")
+    part = r"(?:(\d)?千)?0?(?:(\d)?百)?0?(?:(\d)?十)?0?(\d)?"
 
-    def place(unit: str, value: int) -> Column:
-        found = F.regexp_extract(plain, rf"(\d?){unit}", 1)
-        return F.when(plain.contains(unit), F.coalesce(F.nullif(found, F.lit("")).cast("int"), F.lit(1)) * value).otherwise(0)
+    def below(four: Column) -> Column:
+        """The value of a numeral below ten thousand."""
+        places = [F.when(four.contains(unit), F.coalesce(F.nullif(F.regexp_extract(four, rf"(\d?){unit}", 1), F.lit("")).cast("int"), F.lit(1)) * value).otherwise(0) for unit, value in (("千", 1000), ("百", 100), ("十", 10))]
+        ones = F.coalesce(F.nullif(F.regexp_extract(four, r"(?:^|[十百千]|0)(\d)$", 1), F.lit("")).cast("int"), F.lit(0))
+        return places[0] + places[1] + places[2] + ones
 
-    ones = F.coalesce(F.nullif(F.regexp_extract(plain, r"[十百千](?:0)?(\d)$", 1), F.lit("")).cast("int"), F.lit(0))
-    value = F.when(plain.rlike(r"^\d+$"), plain.try_cast("int")).when(plain.rlike(r"^(\d千)?0?(\d百)?0?(\d?十)?0?\d?$") & (plain != ""), place("千", 1000) + place("百", 100) + place("十", 10) + ones)
+    high, low = F.regexp_extract(plain, "^(.*)万", 1), F.regexp_extract(plain, "([^万]*)$", 1)
+    value = F.when(plain.rlike(r"^\d+$"), plain.try_cast("int")).when(plain.rlike(f"^{part}$") & (plain != ""), below(plain))
+    value = value.when(plain.rlike(f"^{part}万{part}$") & (high != ""), below(high) * 10000 + below(low))
     return F.when(minus, -value).otherwise(value)
 
 

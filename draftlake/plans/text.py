@@ -5,9 +5,11 @@ Where a query parses a text that it first builds from numbers, its SQL gives tho
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.evidence import occurrences
 from .fixtures import duck, frame
 from .registry import query
 
@@ -27,14 +29,35 @@ _KEY, _PRE, _POST = " the ", 10, 50
     o AS (SELECT doc_id, text, n, i, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) + {len(_KEY)} * (i - 1) AS o FROM u)
     SELECT doc_id, CAST(i - 1 AS INT) AS seq, substr(text, greatest(o - {_PRE}, 0) + 1, o + {len(_KEY) + _POST} - greatest(o - {_PRE}, 0)) AS snippet FROM o WHERE i < n"""))
 def keyword_window(spark, sf):
-    d = frame(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(X.keyword_windows(F.col("text"), _KEY, _PRE, _POST)).alias("seq", "snippet"))
+    """Every occurrence of a key with its surroundings, numbered within its text."""
+    hits = occurrences(frame(spark, sf, "documents").select("doc_id", "text"), [_KEY], _PRE, _POST)
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    return hits.select("doc_id", seq.alias("seq"), F.col("window").alias("snippet"))
 
 
-@query("chinese_to_int", duck("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN -p_size ELSE p_size END AS value FROM {part}"))
+_NUMERALS = "一二三四五六七八九"
+
+
+def _big_numeral(n: str) -> str:
+    """SQL of the Chinese numeral of a number below a hundred million; both engines run it."""
+
+    def four(n: str) -> str:
+        digit = lambda d: f"substr('{_NUMERALS}', CAST({d} AS INT), 1)"
+        place = lambda v: f"CAST(floor({n} / {v}) AS BIGINT) % 10"
+        one = lambda v, unit: f"CASE WHEN {place(v)} > 0 THEN concat({digit(place(v))}, '{unit}') WHEN {n} > {v * 10} AND {n} % {v} > 0 AND {place(v * 10)} > 0 THEN '零' ELSE '' END"
+        return f"concat({one(1000, '千')}, {one(100, '百')}, {one(10, '十')}, CASE WHEN {n} % 10 > 0 THEN {digit(n + ' % 10')} ELSE '' END)"
+
+    high, low = f"CAST(floor({n} / 10000) AS BIGINT)", f"({n} % 10000)"
+    return f"CASE WHEN {n} >= 10000 THEN concat({four(high)}, '万', CASE WHEN {low} > 0 AND {low} < 1000 THEN '零' ELSE '' END, {four(low)}) ELSE {four(n)} END"
+
+
+_BIG = "(o_orderkey * 7919) % 99999999 + 1"
+
+
+@query("chinese_to_int", duck(f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -({_BIG}) ELSE {_BIG} END AS value FROM {{orders}}"))
 def chinese_to_int(spark, sf):
-    sign = F.when(F.col("p_partkey") % 3 == 0, F.when(F.col("p_partkey") % 2 == 0, "负").otherwise("地下")).otherwise("")
-    return frame(spark, sf, "part").select("p_partkey", X.chinese_to_int(F.concat(sign, numeral(F.col("p_size")))).alias("value"))
+    sign = "CASE o_orderkey % 6 WHEN 0 THEN '负' WHEN 3 THEN '地下' ELSE '' END"
+    return frame(spark, sf, "orders").selectExpr("o_orderkey", f"concat({sign}, {_big_numeral('(' + _BIG + ')')}) AS text").select("o_orderkey", X.chinese_to_int(F.col("text")).cast("long").alias("value"))
 
 
 @query("expand_floor_label", duck("""SELECT p_partkey, concat(f, CASE WHEN p_size % 11 = 0 AND p_size % 5 <> 0 THEN '层夹层平面图' ELSE '层平面图' END) AS floor_key
@@ -170,12 +193,12 @@ def special_floor_record(spark, sf):
     return frame(spark, sf, "part").select("p_partkey", F.explode(X.special_floors(text)).alias("r")).select("p_partkey", "r.floor", "r.record")
 
 
-@query("structure_windows", duck("SELECT p_partkey, '剪力墙结构' AS word FROM {part} WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, '钢结构' FROM {part} WHERE p_size % 3 = 1"))
+@query("structure_windows", duck("SELECT block_id, no - (SELECT min(no) FROM {spec_class} WHERE field = 'structure_type') AS place, CAST((length(text) - length(replace(text, class, ''))) // length(class) AS BIGINT) AS n FROM {block} JOIN {spec_class} ON field = 'structure_type' AND contains(text, class)"))
 def structure_windows(spark, sf):
-    text = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, "采用剪力墙结构体系").when(F.col("p_size") % 3 == 1, "采用钢结构").otherwise("砖木"))
-    words = F.array(*map(F.lit, X.STRUCTURE_TYPES))
-    rows = frame(spark, sf, "part").select("p_partkey", text.alias("t"), F.explode(words).alias("word")).filter(F.contains("t", "word"))
-    return rows.select("p_partkey", "word")
+    """How many windows each block has round each structure type."""
+    hits = occurrences(frame(spark, sf, "block").select("block_id", "text"), X.STRUCTURE_TYPES, 30, 30)
+    place = F.array_position(F.array(*map(F.lit, X.STRUCTURE_TYPES)), F.col("key")) - 1
+    return hits.groupBy("block_id", place.cast("int").alias("place")).agg(F.count("window").alias("n"))
 
 
 @query("count_distinct_codes", duck("SELECT p_size % 50 AS file, count(DISTINCT p_partkey % 13) AS n FROM {part} GROUP BY ALL"))
