@@ -66,12 +66,13 @@ def block_text(ordered: DataFrame, key: str) -> DataFrame:
 
 
 def merge_tilde_runs(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Texts of a row joined over "~" between them, in order of minx; other texts stay as they are."""
+    """Texts of a row joined over "~" between them, in order of minx; other texts stay as they are.  A run has the box of all its texts and the least id."""
     row = Window.partitionBy(*keys).orderBy("minx", "ent_id")
     joined = (F.col("text") == "~") | F.coalesce(F.lag("text").over(row) == "~", F.lit(False))
     runs = texts.withColumn("new", (~joined).cast("int")).withColumn("run", F.sum("new").over(row))
     parts = F.array_sort(F.collect_list(F.struct("minx", "ent_id", "text")))
-    return runs.groupBy(*keys, "run").agg(F.array_join(F.transform(parts, lambda r: r["text"]), "").alias("text"), F.min("minx").alias("minx")).drop("run")
+    box = [f(c).alias(c) for c, f in (("minx", F.min), ("miny", F.min), ("maxx", F.max), ("maxy", F.max), ("ent_id", F.min)) if c in texts.columns]
+    return runs.groupBy(*keys, "run").agg(F.array_join(F.transform(parts, lambda r: r["text"]), "").alias("text"), *box).drop("run")
 
 
 def joined_in_order(df: DataFrame, keys: list[str], value: str, order: list[str], mark: str) -> DataFrame:

@@ -20,6 +20,15 @@ def values(rows: list[tuple], columns: str) -> str:
 
 
 _TYPES = [("structure_type", n, word, word) for n, word in enumerate(STRUCTURE_TYPES)]
+_ONES = "substr('一二三四五六七八九', CAST({n} % 10 AS INT), 1)"
+
+
+def numeral(n: str) -> str:
+    """SQL of the Chinese numeral of 1 to 99."""
+    tens = f"CAST(floor({n} / 10) AS INT)"
+    return f"concat(CASE WHEN {n} >= 20 THEN substr('一二三四五六七八九', {tens}, 1) ELSE '' END, CASE WHEN {n} >= 10 THEN '十' ELSE '' END, CASE WHEN {n} % 10 > 0 THEN {_ONES.format(n=n)} ELSE '' END)"
+
+
 _FILE = "CAST(floor(doc_id / 4) AS BIGINT)"
 _NAME = re.compile(r"\{(\w+)\}")
 
@@ -56,6 +65,18 @@ TEXTS: dict[str, str] = {
         CASE ent_id % 3 WHEN 0 THEN '1:5' WHEN 1 THEN concat('1:', CAST(ent_id % 10 + 1 AS STRING), '00') ELSE '1:50' END AS text FROM {ent} WHERE floor(ent_id / 100) % 2 = 1""",
     "floor_area": """SELECT p_partkey % 50 AS building, CAST(p_size AS BIGINT) AS floor, CAST(max(floor(p_retailprice)) AS DOUBLE) AS area
         FROM {part} WHERE p_size % 4 <> 0 GROUP BY p_partkey % 50, p_size""",
+    # Floor plans: a strip of a drawing for each part, its title in one piece or in three, its area in, beside or far below an area text.
+    "strip": """SELECT *, CAST(floor(p_partkey / 50) AS BIGINT) * 2000 AS x, 5000 + CAST(floor(p_partkey / 50) AS BIGINT) * 30 AS y, concat(CAST(CAST(floor(p_retailprice) AS BIGINT) AS STRING), '.5') AS area
+        FROM {part} WHERE p_size % 4 <> 0""",
+    "plan": f"""SELECT p_partkey % 50 AS drawing_id, p_partkey * 10 AS ent_id, {numeral("p_size")} AS text, x AS minx, y AS miny, x + 30 AS maxx, y + 10 AS maxy FROM {{strip}} WHERE p_size % 5 = 0
+        UNION ALL SELECT p_partkey % 50, p_partkey * 10 + 1, '~', x + 30, y, x + 40, y + 10 FROM {{strip}} WHERE p_size % 5 = 0
+        UNION ALL SELECT p_partkey % 50, p_partkey * 10 + 2, concat({numeral("(p_size + 2)")}, '层平面图'), x + 40, y, x + 100, y + 10 FROM {{strip}} WHERE p_size % 5 = 0
+        UNION ALL SELECT p_partkey % 50, p_partkey * 10, concat({numeral("p_size")}, '层平面图'), x, y, x + 100, y + 10 FROM {{strip}} WHERE p_size % 5 <> 0
+        UNION ALL SELECT p_partkey % 50, p_partkey * 10 + 3, CASE p_partkey % 3 WHEN 0 THEN concat('本层建筑面积：', area, ' M') WHEN 1 THEN '本层建筑面积' ELSE '层建筑面积' END, x + 20, y - 100, x + 120, y - 90 FROM {{strip}}
+        UNION ALL SELECT p_partkey % 50, p_partkey * 10 + 4, ':', x + 130, y - 99, x + 135, y - 91 FROM {{strip}} WHERE p_partkey % 3 = 1
+        UNION ALL SELECT p_partkey % 50, p_partkey * 10 + 5, CASE WHEN p_partkey % 3 = 1 THEN concat(area, ' M') ELSE area END, CASE WHEN p_partkey % 3 = 1 THEN x + 150 ELSE x + 40 END, CASE WHEN p_partkey % 3 = 1 THEN y - 98 ELSE y - 3500 END,
+            x + 200, CASE WHEN p_partkey % 3 = 1 THEN y - 92 ELSE y - 3490 END FROM {{strip}} WHERE p_partkey % 3 <> 0
+        UNION ALL SELECT p_partkey % 50, p_partkey * 10 + 6, 'other 7', x + 400, y - 98, x + 450, y - 92 FROM {{strip}} WHERE p_partkey % 3 = 1""",
     "task_log": """SELECT user_id AS task_id, ts, value,
         CASE event_type WHEN 'signup' THEN 'START' WHEN 'purchase' THEN 'FINISH' WHEN 'error' THEN 'FAIL' ELSE 'PROGRESS' END AS kind
         FROM {events}""",

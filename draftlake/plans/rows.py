@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import layout
 from ..operators import rows as R
 from .fixtures import duck, frame
 from .registry import query
@@ -114,7 +115,7 @@ def merge_tilde_runs(spark, sf):
     e = frame(spark, sf, "ent")
     parts = F.array(F.struct(F.lit(0).cast("long").alias("minx"), F.concat(F.lit("a"), "ent_id").alias("text")), F.struct(F.lit(10).cast("long").alias("minx"), F.lit("~").alias("text")), F.struct(F.lit(20).cast("long").alias("minx"), F.concat(F.lit("b"), "ent_id").alias("text")), F.struct(F.lit(40).cast("long").alias("minx"), F.lit("c").alias("text")))
     t = e.select(F.col("ent_id").alias("row_id"), "ent_id", F.inline(parts))
-    return R.merge_tilde_runs(t, ["row_id"])
+    return R.merge_tilde_runs(t, ["row_id"]).select("row_id", "minx", "text")
 
 
 @query("row_mates", duck("SELECT k.ent_id AS key_id, string_agg(m.text, ' ' ORDER BY m.minx, m.ent_id) AS text FROM {txt} k JOIN {txt} m ON k.drawing_id = m.drawing_id AND (m.miny + m.maxy) / 2 BETWEEN k.miny AND k.maxy GROUP BY k.ent_id"))
@@ -139,10 +140,8 @@ def table_below_title(spark, sf):
 
 @query("value_right_of", duck("SELECT k.ent_id AS key_id, min_by(v.ent_id, (v.minx, v.ent_id)) AS value_id FROM {txt} k JOIN {txt} v ON k.drawing_id = v.drawing_id AND v.minx > k.maxx AND v.miny >= k.miny AND v.maxy <= k.maxy WHERE trim(v.text) NOT IN (':', '：') GROUP BY k.ent_id"))
 def value_right_of(spark, sf):
-    k = frame(spark, sf, "txt").select("drawing_id", F.col("ent_id").alias("key_id"), F.col("maxx").alias("right"), F.col("miny").alias("low"), F.col("maxy").alias("high"), F.explode(F.sequence(F.floor(F.col("miny") / 256), F.floor(F.col("maxy") / 256))).alias("cell"))
-    v = frame(spark, sf, "txt").filter("trim(text) NOT IN (':', '：')").withColumn("cell", F.floor(F.col("miny") / 256))
-    hit = k.join(v, ["drawing_id", "cell"]).filter("minx > right AND miny >= low AND maxy <= high")
-    return hit.groupBy("key_id").agg(F.min_by("ent_id", F.struct("minx", "ent_id")).alias("value_id"))
+    t = frame(spark, sf, "txt")
+    return layout.right_of(t, t)
 
 
 @query("top_k", duck("SELECT o_custkey, o_orderkey, CAST(r AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM {orders}) WHERE r <= 3"))
