@@ -34,7 +34,7 @@ from .shared import partitions, save
 
 PARTS, PRIOR = 1_000_000_000, 5
 LEAST_DOCS, TOP = 30, 50
-RUN_ENTRIES = 1 << 19  # postings and terms that a block holds
+RUN_ENTRIES = 1 << 18  # postings and terms that a block holds
 CHUNK = 2048  # terms of a run that are merged at a time
 SQUARE = 1024  # sources of a language whose pairs a task holds as a square of numbers
 PAIRS = 1 << 20  # corrections of more sources that a task holds before it adds up those of one pair
@@ -204,7 +204,7 @@ def _frequencies(least: int):
 
 def indexed(docs: DataFrame, least_docs: int = LEAST_DOCS, run_entries: int = RUN_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """Kept terms (lang, term, sources, counts) and groups (lang, source) of documents (text, lang, source)."""
-    shards = 4 * partitions(docs.sparkSession)
+    shards = max(16, 2 * partitions(docs.sparkSession))
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     runs = save(docs.mapInArrow(_indexed(shards, run_entries), _RUN), "runs", "lz4")
     groups = runs.filter("shard IS NULL").select("lang", F.explode("sources").alias("source")).distinct()
