@@ -72,6 +72,8 @@ SCOPES = [(f[1], n, scope) for f in FIELDS for n, scope in enumerate(f[2])]
 TITLES = [(f[1], n, title) for f in FIELDS for n, title in enumerate(f[4])]
 CLASSES = [(field, n, word, class_label(word, synonyms, suffix)) for field, words, synonyms, suffix in CATEGORIES for n, word in enumerate(words)]
 DEFAULTS = [(f[1], f[6]) for f in FIELDS]
+#: Fields that have a value for each building type.
+BUSINESS = ("building_area", "building_height", "standard_floor_height", "number_of_floors", "structure_type", "service_life", "business_earthquake_level", "building_fortification_intensity")
 
 SCHEMA = "name string, field string, scopes array<string>, aliases array<string>, titles array<string>, deps array<string>, default string"
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import PLAIN, chunks
+from .nearest import nearest  # noqa: F401
 
 #: Fixed values
 SENTENCE_END = "([。！？.!?…][”’\"」』]{0,2})"
@@ -52,34 +53,6 @@ def replace_by_source(index: DataFrame, fresh: DataFrame, source: str = "source"
     return index.join(fresh.select(source).distinct(), source, "left_anti").unionByName(fresh)
 
 
-def unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / norm)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """The k rows of corpus (id, vector) with the greatest cosine for each query (query_id, query_vector).
-
-    The query set is given and small; it is sent to all tasks if it has at most 10,000 rows, else the corpus
-    meets it in blocks by a bucket of the query.
-    """
-    q = queries.select("query_id", unit(F.col("query_vector").cast("array<double>")).alias("q"))
-    c = corpus.select("id", unit(F.col("vector").cast("array<double>")).alias("v"))
-    small = q.limit(10_001).count() <= 10_000
-    blocks = F.lit(0) if small else F.pmod(F.xxhash64("query_id"), F.lit(64)).cast("int")
-    q = q.withColumn("block", blocks)
-    c = c.withColumn("block", F.lit(0)) if small else c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    pairs = c.join(F.broadcast(q) if small else q, "block").select("query_id", "id", dot(F.col("q"), F.col("v")).alias("score"))
-    if least is not None:
-        pairs = pairs.filter(F.col("score") >= least)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def rank_fusion(lists: DataFrame, keys: tuple[str, ...] = ("query_id", "text")) -> DataFrame:
     """Sum of weight / (60 + rank) over ranked lists (list, weight, rank); ties to the first list and rank."""
     return lists.groupBy(*keys).agg(F.sum(F.col("weight") / (RANK_OFFSET + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
@@ -101,3 +74,15 @@ def paragraphs(text: Column) -> Column:
 def table_text(cells: Column) -> Column:
     """Rows of cells as lines a|b|c."""
     return F.array_join(F.transform(cells, lambda r: F.array_join(r, "|", "")), "\n")
+
+
+def retrieve(lists: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """query_id, id, place: the k best of ranked lists (query_id, list, id, rank) of several variants and retrievers of a question.
+
+    Questions with several lists are fused by reciprocal ranks, ties to the first list and rank; those with one keep its order, each id once.
+    """
+    several = lists.groupBy("query_id").agg(F.countDistinct("list").alias("lists"))
+    fused = rank_fusion(lists.withColumn("weight", F.lit(1.0)), ("query_id", "id")).join(several, "query_id")
+    score = F.when(F.col("lists") > 1, F.round("score", digits))  # one list: its own order
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first", "id")
+    return fused.withColumn("score", score).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("query_id", "id", "place")

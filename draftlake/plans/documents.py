@@ -66,18 +66,22 @@ def replace_by_source(spark, sf):
 
 _COS = "list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(c.embedding[i] AS DOUBLE))) / sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(c.embedding, lambda x: CAST(x AS DOUBLE) * x)))"
 _NEAR = f"SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS score FROM {{embeddings}} q JOIN {{embeddings}} c ON q.vec_id % 20 = 0"
-_RANKED = f"SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM ({_NEAR})"
+_RANKED = f"SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INT) AS rank, round(score, 9) AS score FROM ({_NEAR})"
 
 
-def _nearest(spark, sf, k):
+def _nearest(spark, sf, k, least=None):
     e = frame(spark, sf, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return D.nearest(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), k)
+    return D.nearest(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), k, least)
 
 
-@query("vector_topk", duck(f"SELECT * FROM ({_RANKED}) WHERE rank <= 10"))
+_LEAST = 0.123456
+
+
+@query("vector_topk", duck(f"SELECT query_id, id, rank FROM ({_RANKED}) WHERE rank <= 10 AND score >= {_LEAST}"))
 def vector_topk(spark, sf):
-    return _nearest(spark, sf, 10).select("query_id", "id", "rank")
+    """The nearest vectors of each query, none below a score."""
+    return _nearest(spark, sf, 10, _LEAST).select("query_id", "id", "rank")
 
 
 @query("keyword_filter", duck(f"SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS place FROM ({_RANKED}) JOIN {{documents}} d ON d.doc_id = id WHERE rank <= 20 AND (contains(text, ' of ') OR contains(text, ' la ')) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5"))
@@ -96,15 +100,30 @@ def rank_fusion(spark, sf):
     return D.rank_fusion(lists).select("query_id", "text", F.round("score", 9).alias("score"))
 
 
-@query("retrieve", duck(f"WITH r AS ({_RANKED}), k AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r JOIN {{documents}} d ON d.doc_id = id WHERE rank <= 20 AND contains(text, ' of ')), l AS (SELECT query_id, id, 0 AS list, rank FROM r WHERE rank <= 10 UNION ALL SELECT query_id, id, 1, rank FROM k WHERE rank <= 10), f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score, min((list, rank)) AS first FROM l GROUP BY ALL) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first) AS INT) AS place FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first) <= 8"))
+#: Each question has its own vector and those of two variants; every third question has no variant and every sixth no word list either.
+_VARIANTS = "SELECT vec_id AS query_id, 0 AS variant, vec_id FROM {embeddings} WHERE vec_id % 20 = 0 UNION ALL SELECT q.vec_id, CAST(v.vec_id - q.vec_id AS INT), v.vec_id FROM {embeddings} q JOIN {embeddings} v ON v.vec_id - q.vec_id IN (1, 2) WHERE q.vec_id % 20 = 0 AND q.vec_id % 3 <> 0"
+_LISTED = f"""v AS ({_VARIANTS}), n AS (SELECT v.query_id, variant, c.vec_id AS id, round({_COS}, 9) AS score FROM v JOIN {{embeddings}} q ON q.vec_id = v.vec_id JOIN {{embeddings}} c ON true),
+    r AS (SELECT query_id, variant, id, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, id) AS rank FROM n),
+    w AS (SELECT query_id, variant, id, row_number() OVER (PARTITION BY query_id, variant ORDER BY rank) AS rank FROM r JOIN {{documents}} d ON d.doc_id = id WHERE rank <= 20 AND contains(text, ' of ') AND query_id % 6 <> 0),
+    l AS (SELECT query_id, variant * 2 AS list, id, rank FROM r WHERE rank <= 10 UNION ALL SELECT query_id, variant * 2 + 1, id, rank FROM w WHERE rank <= 10)"""
+
+
+@query("retrieve", duck(f"""WITH {_LISTED}, f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score, min((list, rank)) AS first FROM l GROUP BY ALL),
+    s AS (SELECT query_id, count(DISTINCT list) AS lists FROM l GROUP BY query_id)
+    SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lists > 1 THEN score END DESC, first, id) AS INT) AS place FROM f JOIN s USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lists > 1 THEN score END DESC, first, id) <= 8"""))
 def retrieve(spark, sf):
-    near = _nearest(spark, sf, 20)
-    words = near.join(frame(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id").filter(F.contains("text", F.lit(" of ")))
-    words = R.best_row(words, ["query_id"], [F.col("rank")], 10)
-    one = F.lit(1.0).alias("weight")
-    lists = near.filter("rank <= 10").select("query_id", "id", F.lit(0).alias("list"), one, "rank").union(words.select("query_id", "id", F.lit(1).alias("list"), one, F.col("place").alias("rank")))
-    fused = D.rank_fusion(lists, ("query_id", "id"))
-    return R.best_row(fused, ["query_id"], [F.desc(F.round("score", 9)), F.col("first")], 8).select("query_id", "id", "place")
+    """Several variants of each question, by vectors and by words, fused."""
+    e = frame(spark, sf, "embeddings")
+    variants = spark.sql(_VARIANTS, embeddings=e)
+    own = F.struct("query_id", "variant")
+    q = variants.join(e, "vec_id").select(own.alias("query_id"), F.col("embedding").alias("query_vector"))
+    near = written(D.nearest(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 20).select("query_id.*", "id", "rank"), "near")
+    texts = frame(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    words = near.filter("query_id % 6 <> 0").join(texts, "id").filter(F.contains("text", F.lit(" of ")))
+    words = R.best_row(words, ["query_id", "variant"], [F.col("rank")], 10)
+    lists = near.filter("rank <= 10").select("query_id", (F.col("variant") * 2).alias("list"), "id", "rank")
+    lists = lists.union(words.select("query_id", (F.col("variant") * 2 + 1).alias("list"), "id", F.col("place").alias("rank")))
+    return D.retrieve(lists, 8)
 
 
 @query("rerank_merge", duck("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY s DESC, o_orderkey) AS INT) AS place FROM (SELECT o_custkey, o_orderkey, coalesce(p_retailprice, -1) AS s FROM {orders} LEFT JOIN {part} ON p_partkey = o_orderkey) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY s DESC, o_orderkey) <= 4"))
