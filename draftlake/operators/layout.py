@@ -68,3 +68,14 @@ def floor_areas(labelled: DataFrame) -> DataFrame:
     """(drawing_id, floor, area, filled): each floor's area by its first label, gaps filled from the floor below."""
     first = labelled.groupBy("drawing_id", "floor").agg(F.min_by("area", "label_id").alias("area"))
     return R.fill_missing_floors(first, "drawing_id")
+
+
+def with_layouts(drawings: DataFrame, layouts: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (drawing_id, ...) of drawings, with layout 0; a drawing without any takes those of its first layout (drawing_id, layout, child_id) whose child has some."""
+    own = rows.join(drawings.select("drawing_id").distinct(), "drawing_id", "left_semi").withColumn("layout", F.lit(0))
+    lacking = drawings.select("drawing_id").distinct().join(rows.select("drawing_id").distinct(), "drawing_id", "left_anti")
+    children = layouts.join(lacking, "drawing_id", "left_semi")
+    filled = children.join(rows.select(F.col("drawing_id").alias("child_id")).distinct(), "child_id", "left_semi")
+    first = R.best_row(filled, ["drawing_id"], [F.col("layout"), F.col("child_id")])
+    taken = first.select(F.col("drawing_id").alias("_parent"), "layout", F.col("child_id").alias("drawing_id")).join(rows, "drawing_id").drop("drawing_id").withColumnRenamed("_parent", "drawing_id")
+    return own.unionByName(taken.select(own.columns))
