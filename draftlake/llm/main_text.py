@@ -87,6 +87,33 @@ def marks_of(name: str, text: str) -> tuple[int, bool, bool]:
     return 2 if words & _APART else int(bool(words & _BAD_WORDS)), bool(words & _GOOD_WORDS), hidden
 
 
+def title_and_links(page: str) -> tuple[str, list[str]]:
+    """The text of the page's first title, and the targets of its a elements in order; what stands in comments and in elements without text of the page is no markup."""
+    title, links = None, []
+    at, last = 0, page.rfind(">")
+    unclosed: set[str] = set()
+    while at <= last:
+        m = _TOKEN.match(page, at)
+        at, name = m.end(), (m[2] or "").lower()
+        if not name or m[1]:
+            continue
+        if name == "a":
+            target = attributes_of(m[3]).get("href")
+            if target is not None:
+                links.append(target.strip())
+        elif name in _SKIPPED and name != "head" and name not in unclosed:
+            close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            if name == "title" and title is None:
+                title = page[at : close.start() if close else len(page)]
+            if close:
+                at = close.end()
+            elif name in ("script", "style", "title", "textarea"):
+                break
+            else:
+                unclosed.add(name)
+    return " ".join(html.unescape(title or "").split()), links
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []

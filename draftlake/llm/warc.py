@@ -6,7 +6,8 @@ From each come two records that name it in WARC-Refers-To and repeat its target,
 record (the text without markup).  Record ids are version 5 UUIDs of what they name, so
 a run gives the same ids again; a response's names its page, target and payload, so that pages with one id
 and url but different html are told apart.  A null url is an empty target, a null page has no payload;
-rows that are alike in all three give repeated records.
+rows that are alike in all three give repeated records.  Title and links come from the markup of the page only: attributes by their names,
+nothing in comments and scripts, in time that grows with the page.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import html
 import json
 import re
 import uuid
@@ -26,12 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .main_text import blocks_of
+from .main_text import blocks_of, title_and_links
 
 DATE = "2024-01-01T00:00:00Z"
 _NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "urn:draftlake:warc")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]*)", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -75,8 +73,8 @@ def derive(source: bytes) -> list[bytes]:
     http, _, payload = block.partition(b"\r\n\r\n")
     status, *fields = http.decode().split("\r\n")
     page = payload.decode("utf-8", "replace")
-    title = _TITLE.search(page)
-    about = {"source": {k: v for k, v in head.items() if k.startswith("WARC-") or k == "Content-Type"}, "status": status, "http": dict(f.split(": ", 1) for f in fields), "title": " ".join(html.unescape(title[1]).split()) if title else "", "links": [html.unescape(x) for x in _LINK.findall(page)]}
+    title, links = title_and_links(page)
+    about = {"source": {k: v for k, v in head.items() if k.startswith("WARC-") or k == "Content-Type"}, "status": status, "http": dict(f.split(": ", 1) for f in fields), "title": title, "links": links}
     blocks = {"metadata": ("application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode()), "conversion": ("text/plain; charset=utf-8", plain_text(page).encode())}
     kept = {k: head[k] for k in ("WARC-Target-URI", "WARC-Date")}
     return [record({"WARC-Type": kind, "WARC-Record-ID": record_id(kind, head["WARC-Record-ID"]), "WARC-Refers-To": head["WARC-Record-ID"], **kept, "WARC-Source-Block-Digest": head["WARC-Block-Digest"], "WARC-Source-Payload-Digest": head["WARC-Payload-Digest"], "WARC-Block-Digest": digest(b), "Content-Type": of}, b) for kind, (of, b) in blocks.items()]
