@@ -1,19 +1,20 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed batches.
 
-A batch of changes is summed to signed totals and committed once under its name: a folder of
-the store, which counts once its marker says that it was written whole.  Committing a name again changes nothing, so a job
+A batch of changes is summed to signed totals and committed once under its name.  Committing a name again changes nothing, so a job
 that is run again after a failure is harmless.  The totals are the sum of all commits; they may be
 folded into one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Folder
 from .shared import new_folder, save
 from .tokens import encoder
 
@@ -34,31 +35,31 @@ def signed(changes: DataFrame) -> DataFrame:
 
 
 class TokenTotals:
-    """The store of committed batches in a folder."""
+    """The store of committed batches in a folder: sums in folders of their own, and a small file for each commit that names one.
+
+    A commit comes under its name in one step after its sums are written, so a writer that was stopped leaves nothing that counts, and of two
+    writers of one batch one counts.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.commits = Folder(spark, f"{self.folder}/commits")
 
-    def _there(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _committed(self) -> list[str]:
+        return [n for n in self.commits.names() if not n.startswith(".")]
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch; False if its name is committed already."""
-        path = f"{self.folder}/batch={batch}"
-        if self._there(f"{path}/_SUCCESS"):
+        if batch in self._committed():
             return False
         sums = signed(changes).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(path)  # a row for each key
-        return True
+        at = f"sums-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.folder}/{at}")  # a row for each key
+        return self.commits.put(batch, at)
 
     def totals(self) -> DataFrame:
         """Keys with n_docs and n_tokens; keys whose documents are all gone are left out."""
-        if not self._there(self.folder):
-            return self.spark.createDataFrame([], _SCHEMA)
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch=*/_SUCCESS")) or []
-        done = [f.getPath().getParent().toString() for f in found]  # a batch without marker is not committed
+        done = [f"{self.folder}/{self.commits.text(n)}" for n in self._committed()]
         if not done:
             return self.spark.createDataFrame([], _SCHEMA)
         rows = self.spark.read.schema(_SCHEMA).parquet(*done)

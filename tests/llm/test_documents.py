@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from draftlake.llm import decontaminate, language_id, line_dedup, ngram_join, packing, sequence_files, token_counts
 from draftlake.llm.shared import new_folder
@@ -371,6 +372,22 @@ def test_commits_count_once(spark):
         store.commit("c", spark.createDataFrame([("odd", "s", None, "t", 7, None)], schema))
 
 
+def test_commits_without_the_markers_of_a_cluster(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        store = token_counts.TokenTotals(spark, new_folder(spark, "totals"))
+        batch = spark.createDataFrame([("insert", "s", "en", "t", 5, None)], "kind string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
+        assert store.commit("a", batch) and not store.commit("a", batch)
+        other = token_counts.TokenTotals(spark, store.folder)  # a second writer, and one that is stopped before its commit
+        with pytest.raises(Exception, match="stopped"):
+            other.commit("b", batch.withColumn("n_tokens", F.raise_error("stopped").cast("long")))
+        assert [tuple(r) for r in other.totals().collect()] == [("s", "en", "t", 1, 5)]
+        assert other.commit("b", batch) and [r["n_docs"] for r in store.totals().collect()] == [2]
+    finally:
+        conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+
+
 def test_language_id(spark):
     vocab = {"aa": "the of and with that from which house river", "bb": "der und das mit nicht straße über fluss haus", "cc": "le de et avec dans maison rivière été que"}
     r = random.Random(1)
