@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, line_dedup, ngram_join, packing
@@ -12,11 +12,21 @@ LEAST_SCORE = 0.3  # mean posterior below which a language is not known
 BROADCAST_IDS = 1_000_000  # of 8 bytes each; above it the join shuffles
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those with these ids; rows without id stay."""
-    ids = save(ids.select("doc_id").distinct(), "dropped")
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+def row_key() -> Column:
+    """A number of a row's id and text; rows that are alike in both are one document."""
+    return F.xxhash64(F.isnull("doc_id"), F.col("doc_id").cast("string"), F.isnull("text"), F.col("text").cast("string"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """key, doc_id and text of docs."""
+    return docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs but for those with these keys (key)."""
+    gone = save(keys.select("key").distinct(), "dropped").toDF("_dropped_key")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, row_key() == F.col("_dropped_key"), "left_anti")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,16 +57,27 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of linked ones; of rows with one id, one."""
-    groups = save(ngram_join.ngram_components(docs), "groups")
-    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    kept = without(docs, groups.filter("doc_id <> component_id"))
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL")) if repeated else kept
+    """The document with the least id of each group of linked ones; of rows alike in id and text, one.  Rows without id stay.
+
+    Rows are told apart by id and text, so different texts under one id are judged each by itself.
+    """
+    ids = save(keyed(docs).groupBy("key", "doc_id").count(), "keys")
+    groups = save(ngram_join.ngram_components(keyed(docs), "key").select(F.col("doc_id").alias("key"), F.col("component_id").alias("comp")).distinct(), "groups")
+    several = groups.filter("key <> comp").select("comp").distinct()
+    members = groups.join(several, "comp").join(ids, "key")
+    least = members.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("least")).select("comp", F.col("least.key").alias("kept"))
+    kept = without(docs, members.join(least, "comp").filter("key <> kept AND doc_id IS NOT NULL"))
+    if not ids.filter("count > 1 AND doc_id IS NOT NULL").limit(1).count():
+        return kept
+    whole = kept.select(row_key().alias("_row_key"), *kept.columns)
+    return whole.filter("doc_id IS NOT NULL").dropDuplicates(["_row_key"]).union(whole.filter("doc_id IS NULL")).drop("_row_key")
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    return without(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Documents that hold no item of the benchmark, judged row by row whatever their ids."""
+    rows = keyed(docs)
+    found = decontaminate.leaks(rows.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(docs, found.select(F.col("doc_id").alias("key")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,3 +186,36 @@ def test_one_of_each_group(spark):
     rows = [(5, text), (3, text + " end"), (9, "other words here"), (3, text + " end"), (None, text)]
     docs = spark.createDataFrame([(*x, None, None, 0) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r["doc_id"]) for r in stages.one_of_each_group(spark, docs, "").collect()) == ["3", "9", "None"]
+
+
+def test_different_texts_under_one_id(spark, tmp_path):
+    r = random.Random(4)
+    say = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    one, two, item = say(60), say(60), say(40)
+    rows = [(1, one), (1, two), (2, two + " end"), (3, None), (3, None), (4, ""), (None, one), (5, say(30) + " " + item), (5, say(50)), (None, item), (6, say(9)), (7, say(70)), (8, None)]
+    docs = spark.createDataFrame([(*x, None, "s", 0) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda df: sorted(((x["doc_id"], x["text"]) for x in df.collect()), key=str)
+    want = sorted([rows[k] for k in range(len(rows)) if k not in (2, 4)], key=str)
+    assert left(stages.one_of_each_group(spark, docs, "")) == want
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert left(stages.clean_of_benchmarks(spark, docs, str(tmp_path))) == sorted([x for x in rows if item not in (x[1] or "")], key=str)
+    empty = docs.limit(0)
+    assert stages.one_of_each_group(spark, empty, "").count() == 0 == stages.clean_of_benchmarks(spark, empty, str(tmp_path)).count()
+
+
+def test_title_and_links_of_odd_markup():
+    title, links = main_text.title_and_links(
+        """<html><head><title lang=x> A &amp;\n B </title><script>var s = '<a href="no1">';</script></head><body><!-- <a href="no2"> --><a data-href="x" href="y">1</a>
+        <a href="it's.html">2</a><a title="a>b" href=z>3</a><A HREF = '  /c?a=1&amp;b=2 '>4</A><a name=n>5</a><title>no</title><a href>6</a><area href="no3"><style><a href=no4></style></body>"""
+    )
+    assert title == "A & B" and links == ["y", "it's.html", "z", "/c?a=1&b=2", ""]
+    assert main_text.title_and_links("") == ("", []) == main_text.title_and_links("<title") and main_text.title_and_links("<title>open") == ("open", [])
+
+
+def test_odd_markup_takes_linear_time():
+    import time
+
+    for unit in ("<a ", "<title>", "<title ", "<!--", "<a href='", "</", "<script>"):
+        start = time.perf_counter()
+        main_text.title_and_links(unit * 20_000)
+        assert time.perf_counter() - start < 3, unit
