@@ -6,7 +6,8 @@ gives each block the cost of calling it content or boilerplate; these are the ca
 and sink.  Neighbours in the page, and blocks with one parent, are joined by edges that weigh
 more the closer they stand in the tree.  The minimum cut is the cheapest labelling.
 
-Null and empty pages give an empty text.  Character references are decoded, white space inside
+A page without main or article has, in its place, the element that holds most of its prose, so that words in the
+classes of wrappers hide no article.  Null and empty pages give an empty text, repeated rows one each; time grows with the page, however deep its elements are.  Character references are decoded, white space inside
 a block becomes one space, blocks are joined by line feeds; nothing is cut off.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,25 +40,49 @@ _VOID_BLOCK = frozenset(["hr"])
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _OUTSIDE = frozenset("nav aside form footer menu dialog search".split())
 _INSIDE = frozenset("article main".split())
+#: Elements that are pieces of what holds them.
+_PIECES = frozenset("p blockquote pre li h1 h2 h3 h4 h5 h6 dt dd figcaption".split())
 _BAD_WORDS = frozenset("nav navbar navigation menu menus header masthead topbar footer foot sidebar side aside rail ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice notification gdpr privacy comment comments commentlist reply replies discussion disqus respond share sharing social related recommended recommendations breadcrumb breadcrumbs widget newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar skip copyright legal alert form search tags trending popular outbrain taboola teaser".split())
 #: Bad words of parts whose articles are not the page's.
 _APART = frozenset("comment comments commentlist reply replies discussion disqus respond related recommended recommendations trending popular outbrain taboola teaser".split())
 _GOOD_WORDS = frozenset("article content post entry story main body text prose page".split())
 
 
+class Open:
+    """An open element with what it and those around it say of its text.
+
+    Marks around the page's article, the chief element, tell of the page: of them only those of _APART count.  chief is 1 for a
+    main or first article, 2 for an element that is taken for it as it holds most of the page's text, whose own marks tell of the page too.
+    """
+
+    __slots__ = ("apart", "bad", "good", "header", "hidden", "inside", "name", "number", "outside")
+
+    def __init__(self, name: str, number: int, marks: tuple[int, bool, bool], chief: int, above: Open | None):
+        bad, good, hidden = marks
+        self.name, self.number = name, number
+        self.inside = name in _INSIDE or above is not None and above.inside
+        self.good = good or above is not None and above.good
+        self.header = name == "header" or above is not None and above.header
+        self.outside = name in _OUTSIDE or above is not None and above.outside
+        self.apart = bad == 2 or above is not None and above.apart
+        self.bad = bad > (chief == 2) or above is not None and (above.apart if chief else above.bad)
+        self.hidden = hidden or above is not None and not chief and above.hidden
+
+
 class Block:
-    __slots__ = ("bad", "good", "heading", "hidden", "linked", "parent", "path", "tag", "text")
-
-    def __init__(self, text: str, linked: int, stack: list[tuple]):
-        self.text, self.linked = text, linked
-        self.path = [e[1] for e in stack]
-        self.tag = stack[-1][0] if stack else ""
-        self.parent = self.path[-2] if len(self.path) > 1 else -1
-        inside = any(e[0] in _INSIDE for e in stack)
-        self.good = inside or any(e[3] for e in stack)
-        chief = max((k for k, e in enumerate(stack) if e[5]), default=0)  # marks around the page's article tell of the page
-        self.bad = any(e[0] in _OUTSIDE or e[2] > (k < chief) for k, e in enumerate(stack)) or not inside and any(e[0] == "header" for e in stack)
-        self.hidden = any(e[4] for e in stack[chief:])
+    __slots__ = ("bad", "common", "depth", "good", "heading", "hidden", "holder", "inside", "linked", "parent", "tag", "text")
+
+    def __init__(self, text: str, linked: int, stack: list[Open], common: int):
+        """common: elements that this block and the one before both lie in."""
+        self.text, self.linked, self.depth, self.common = text, linked, len(stack), common
+        here = stack[-1] if stack else Open("", 0, (0, False, False), 0, None)
+        self.tag = here.name
+        self.parent = stack[-2].number if len(stack) > 1 else -1
+        self.holder = self.parent if here.name in _PIECES else here.number
+        self.inside = here.inside
+        self.good = here.inside or here.good
+        self.bad = here.outside or here.bad or here.header and not here.inside
+        self.hidden = here.hidden
         self.heading = len(self.tag) == 2 and self.tag[0] == "h"
 
     def score(self) -> float:
@@ -114,25 +139,55 @@ def title_and_links(page: str) -> tuple[str, list[str]]:
     return " ".join(html.unescape(title or "").split()), links
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order."""
+def chief_holder(blocks: list[Block]) -> int | None:
+    """The element that holds half of the page's unlinked prose or more, if the page has neither main nor article and marks would hide that text."""
+    if any(b.inside for b in blocks):
+        return None
+    held: Counter[int] = Counter()
+    for b in blocks:
+        if b.text.count(" ") >= 7 and b.holder > 0:
+            held[b.holder] += len(b.text) - b.linked
+    if not held:
+        return None
+    best, most = max(held.items(), key=lambda x: (x[1], -x[0]))
+    return best if 2 * most >= held.total() and any(b.holder == best and b.bad for b in blocks) else None
+
+
+def blocks_of(page: str, chief: int | None = None) -> list[Block]:
+    """The page's text blocks in order; chief is the number of an element to be taken for its article."""
     out: list[Block] = []
-    stack: list[tuple] = []  # name, number, bad words, good words, hidden, whether it is main or the first article
+    stack: list[Open] = []
+    opened: Counter[str] = Counter()  # names in the stack
+    common = 0  # the least height of the stack since the last block
     parts: list[str] = []
     linked = link = number = 0
     article = False
     unclosed: set[str] = set()  # elements without an end tag from here on
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, common
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, linked, stack))
+            out.append(Block(text, linked, stack, common))
+            common = len(stack)
         parts.clear()
         linked = 0
 
-    at, end = 0, len(page)
+    def close(k: int) -> None:
+        """End the element at height k of the stack and all in it."""
+        nonlocal common
+        opened.subtract(e.name for e in stack[k:])
+        del stack[k:]
+        common = min(common, k)
+
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
+        if at > last:  # no tag ends behind here
+            rest = page[at:]
+            cut = next((k for k in (rest.find("<!"), rest.find("<?")) if k >= 0), len(rest))
+            parts.append(rest[:cut])
+            linked += link and cut
+            break
         m = _TOKEN.match(page, at)
         at, name = m.end(), m[2]
         if name is None:
@@ -143,10 +198,10 @@ def blocks_of(page: str) -> list[Block]:
         name = name.lower()
         if name in _SKIPPED:
             if not m[1]:
-                close = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                if not close:
+                tail = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                if not tail:
                     unclosed.add(name)
-                at = close.end() if close else (end if name in ("script", "style", "title", "textarea") else at)
+                at = tail.end() if tail else (end if name in ("script", "style", "title", "textarea") else at)
         elif name == "a":
             link = 0 if m[1] else 1
         elif name == "br":
@@ -157,45 +212,31 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             link = 0
             if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened[name]:
+                    close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name))
                 continue
-            if stack and stack[-1][0] == "p":
-                stack.pop()
-            if name in _CLOSES:
+            if stack and stack[-1].name == "p":
+                close(len(stack) - 1)
+            if name in _CLOSES and any(opened[x] for x in _CLOSES[name][0]):
                 closed, within = _CLOSES[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in within:
-                        break
-                    if stack[k][0] in closed:
-                        del stack[k:]
-                        break
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name in within or stack[k].name in closed)
+                if stack[k].name not in within:
+                    close(k)
             number += 1
-            stack.append((name, number, *marks_of(name, m[3]), name == "main" or name == "article" and not article))
+            stack.append(Open(name, number, marks_of(name, m[3]), 2 if number == chief else int(name == "main" or name == "article" and not article), stack[-1] if stack else None))
+            opened[name] += 1
             article = article or name == "article"
     flush()
     return out
 
 
-def distance(x: list[int], y: list[int]) -> int:
-    """Steps between two places in the tree."""
-    same = 0
-    for a, b in zip(x, y, strict=False):
-        if a != b:
-            break
-        same += 1
-    return len(x) + len(y) - 2 * same
-
-
 def edges_of(blocks: list[Block]) -> dict[tuple[int, int], int]:
     """Smoothness between neighbours, and between blocks with one parent and others between them."""
     edges: dict[tuple[int, int], int] = {}
     last: dict[int, int] = {}
     for k, b in enumerate(blocks):
         if k:
-            edges[k - 1, k] = int(SCALE * SMOOTH / max(1, distance(blocks[k - 1].path, b.path) - 1))
+            edges[k - 1, k] = int(SCALE * SMOOTH / max(1, blocks[k - 1].depth + b.depth - 2 * b.common - 1))
         before = last.get(b.parent)
         if before is not None and before < k - 1:
             edges[before, k] = int(SCALE * SMOOTH / 3)
@@ -256,6 +297,8 @@ def minimum_cut(balance: list[int], edges: dict[tuple[int, int], int]) -> list[b
 def main_text(page: str | None) -> str:
     """The content blocks of a page, a line each."""
     blocks = blocks_of(page or "")
+    if (chief := chief_holder(blocks)) is not None:
+        blocks = blocks_of(page, chief)
     balance = []
     for b in blocks:
         s = b.score()

@@ -203,6 +203,25 @@ def test_different_texts_under_one_id(spark, tmp_path):
     assert stages.one_of_each_group(spark, empty, "").count() == 0 == stages.clean_of_benchmarks(spark, empty, str(tmp_path)).count()
 
 
+def test_wrappers_hide_no_article():
+    said = ["This paragraph tells a long story with many words in it, and it ends here.", "Another one follows it with quite as many words, and so the text goes on."]
+    body = "".join(f"<p>{x}</p>" for x in said)
+    rest = "<nav><a href=a>Home</a></nav><div class='cookie-notice'><p>We use cookies to improve this site, so accept all of them now.</p></div><div id='comments'><p>I think that this is a great text, thank you for it.</p></div><footer>Us</footer>"
+    for wrapper in ("post-tags-main", "page-header", "content share-enabled", "form-page", "notice", "main-menu-open wrapper", "story-banner-image content"):
+        for page in (f"<div class='{wrapper}'>{body}</div>{rest}", f"<div class='{wrapper}'><div><section>{body}</section></div></div>{rest}"):
+            assert main_text.main_text(f"<html><body>{page}</body></html>") == "\n".join(said), page
+    assert main_text.main_text(f"<div class='comments'>{body}</div>") == main_text.main_text(f"<aside>{body}</aside>") == ""
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for unit in ("<div>x", "<div>", "</b><td>", "<div></p>", "<li>a", "<a ", "<!x", "<table><td>y"):
+        start = time.perf_counter()
+        main_text.main_text(unit * 50_000)
+        assert time.perf_counter() - start < 10, unit
+
+
 def test_title_and_links_of_odd_markup():
     title, links = main_text.title_and_links(
         """<html><head><title lang=x> A &amp;\n B </title><script>var s = '<a href="no1">';</script></head><body><!-- <a href="no2"> --><a data-href="x" href="y">1</a>
