@@ -468,7 +468,8 @@ def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame, percen
     with_sets = members.join(sets.select("node", "size", "shingles"), "node")
     count = save(with_sets.select("g", "shingles").mapInArrow(_counted, "g long, element long, n long").groupBy("g", "element").agg(F.sum("n").alias("n")), "counts")
     total = members.groupBy("g").agg(F.count(F.lit(1)).alias("total"))
-    base = count.join(total, "g").filter("2 * n > total").groupBy("g").agg(F.collect_list("element").alias("base"))  # fewer than two sets hold
+    core = save(count.filter("n > 1").join(total, "g").filter("2 * n > total").select("g", "element", (F.col("total") - F.col("n")).alias("missing")), "core")
+    base = core.groupBy("g").agg(F.collect_list("element").alias("base"))  # fewer than two sets hold
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
     salted = with_sets.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(base.withColumn("salt", salts), ["g", "salt"], "left")
     apart = save(salted.select("g", "node", "shingles", "base").mapInArrow(_differences, "g long, node long, element long"), "differences")
@@ -485,7 +486,7 @@ def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame, percen
     known = known.join(far_low, "g").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = lambda low: F.col("e") - F.ceil((F.col("slack") + F.col(low)) / (2 * q)) + 1
     known = known.select("g", "node", "size", "comp", "e", "slack", "far", first("far_low").alias("short"), F.when(F.col("far"), first("low")).otherwise(first("far_low")).alias("long"))
-    rare = count.join(total, "g").select("g", "element", F.least(F.col("n"), F.col("total") - F.col("n")).alias("n"))
+    rare = count.join(core, ["g", "element"], "left").select("g", "element", F.coalesce("missing", "n").alias("n"))
     order = F.row_number().over(Window.partitionBy("g", "node").orderBy("n", "element"))
     posted = save(apart.join(rare, ["g", "element"]).withColumn("i", order).drop("n").join(known, ["g", "node"]).filter("i <= long"), "posted")
     need = F.ceil((F.col("x.slack") + F.col("y.slack")) / (2 * q))
