@@ -16,7 +16,7 @@ from .registry import query
 _FOLDER = "CASE p_size % 6 " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(P.FOLDERS)) + " END"
 _SCOPE = "CASE p_size % 6 " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(P.FOLDERS.values())) + " END"
 _KIND, _DISCIPLINE = "CASE WHEN p_partkey % 2 = 0 THEN '住宅' ELSE '地下室' END", "CASE p_partkey % 3 WHEN 0 THEN '建筑' WHEN 1 THEN '结构' ELSE '立面' END"
-_PROJECT = "concat('p', p_partkey % 11)"
+_PROJECT = "concat('p', p_partkey % 4)"
 
 
 def _folders(spark, sf):
