@@ -16,8 +16,8 @@
    which loses nothing.
 
 The benchmark is the query set: it comes to the driver BENCH_ITEMS items at a time, and each such block is
-searched by itself.  Null and empty texts have no passages.  Items without words match nothing; repeated items
-are reported one by one, as are repeated documents.  Very long texts are searched whole; a run of texts
+searched by itself.  Null and empty texts have no passages.  Items without words match nothing, nor do items of one word, for
+which any text with that word would be a match; repeated items are reported one by one, as are repeated documents.  Very long texts are searched whole; a run of texts
 holds RUN places or one text.  Other columns are ignored.
 """
 
