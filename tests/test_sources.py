@@ -170,3 +170,25 @@ def test_descendants(spark):
     below = lambda *roots: sorted(map(tuple, C.descendants(t, t.filter(F.col("id").isin(*roots)).select("id")).collect()))
     assert below("r2") == [("b", 1), ("c", 2), ("d", 2)] and below("r1") == [("a", 1)] and below("d") == []
     assert below("u") == [("u", 2), ("v", 1)] and below("r1", "b") == [("a", 1), ("c", 1), ("d", 1)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from draftlake.sources import scratch
+
+    class Session:
+        def __init__(self, **settings):
+            self.conf, self.settings = self, settings
+
+        def get(self, name, default=None):
+            return self.settings.get(name, default)
+
+        def set(self, name, value):
+            self.settings[name] = value
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.new_path(Session(**{"spark.master": "spark://host:7077"}), "x")
+    with pytest.raises(ValueError):
+        scratch.new_path(Session(**{"spark.master": "local-cluster[3,2,1000]"}), "x")
+    for master in ("local[8]", "local"):
+        assert scratch.new_path(Session(**{"spark.master": master}), "x").startswith("file:///")
+    assert scratch.new_path(Session(**{"spark.checkpoint.dir": "s3a://b/c/"}), "x").startswith("s3a://b/c/x-")
