@@ -486,9 +486,11 @@ def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame, percen
     known = known.join(far_low, "g").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = lambda low: F.col("e") - F.ceil((F.col("slack") + F.col(low)) / (2 * q)) + 1
     known = known.select("g", "node", "size", "comp", "e", "slack", "far", first("far_low").alias("short"), F.when(F.col("far"), first("low")).otherwise(first("far_low")).alias("long"))
-    rare = count.join(core, ["g", "element"], "left").select("g", "element", F.coalesce("missing", "n").alias("n"))
-    order = F.row_number().over(Window.partitionBy("g", "node").orderBy("n", "element"))
-    posted = save(apart.join(rare, ["g", "element"]).withColumn("i", order).drop("n").join(known, ["g", "node"]).filter("i <= long"), "posted")
+    # Elements of one E only are its rarest; they have their places in it but are in no other, so only their number counts.
+    rare = count.filter("n > 1").join(core, ["g", "element"], "left").select("g", "element", F.coalesce("missing", "n").alias("n")).filter("n > 1")
+    own = Window.partitionBy("g", "node")
+    met_rows = apart.join(rare, ["g", "element"]).withColumn("r", F.row_number().over(own.orderBy("n", "element"))).withColumn("k", F.count(F.lit(1)).over(own)).drop("n")
+    posted = save(met_rows.join(known, ["g", "node"]).withColumn("i", F.col("e") - F.col("k") + F.col("r")).drop("r", "k").filter("i <= long"), "posted")
     need = F.ceil((F.col("x.slack") + F.col("y.slack")) / (2 * q))
     reach = F.least(F.col("x.e") - F.col("x.i"), F.col("y.e") - F.col("y.i")) + 1 >= need
     either = (~F.col("y.far")) | ((F.col("x.i") <= F.col("x.short")) & (F.col("y.i") <= F.col("y.short")) & (F.col("x.node") < F.col("y.node")))
