@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..operators import catalog as C
 from ..operators import documents as D
 from ..operators import rows as R
