@@ -5,12 +5,13 @@ All texts have drawing_id, ent_id, text and a box.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import rows as R
-from .geometry import BOX
+from .firsts import first_matches
 
 FONTS, WIDTHS = 20, 5  # fixed values: an area text is within so many font heights and label widths
 BELOW = 5000  # fixed value: how far below a header its number may stand
@@ -25,25 +26,35 @@ def nearest_area(labels: DataFrame, areas: DataFrame, font: float = 10, width: f
     """(label_id, area_id): for each label the topmost area text within 20 font heights up and down and five label widths to both sides."""
     up, wide = FONTS * font, WIDTHS * (F.lit(width) if width is not None else F.col("maxx") - F.col("minx"))
     label = labels.select("drawing_id", F.col("ent_id").alias("label_id"), F.col("miny").alias("y"), (F.col("minx") - wide).alias("x1"), (F.col("maxx") + wide).alias("x2"), _cells(F.col("miny") - up, F.col("miny") + up, 256).alias("cell"))
-    area = areas.select("drawing_id", "ent_id", *BOX, F.floor(F.col("miny") / 256).alias("cell"))
-    hit = area.join(label, ["drawing_id", "cell"]).filter((F.abs(F.col("miny") - F.col("y")) <= up) & F.col("minx").between(F.col("x1"), F.col("x2")))
+    area = areas.select("drawing_id", "ent_id", "minx", "miny", "maxy", F.floor(F.col("miny") / 256).alias("cell"))
+    close = lambda q, p, i, j: (np.abs(p["miny"][j] - q["y"][i]) <= up) & (p["minx"][j] >= q["x1"][i]) & (p["minx"][j] <= q["x2"][i])
+    hit = first_matches(label, area, [("maxy", "descending"), ("ent_id", "ascending")], lambda q, p: np.zeros(len(q["y"])), close, ["label_id"], ["ent_id", "maxy"])
     return hit.groupBy("label_id").agg(F.max_by("ent_id", F.struct("maxy", -F.col("ent_id"))).alias("area_id"))
 
 
 def right_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
     """(key_id, value_id): the first text to the right of each key within its height, colons aside."""
-    k = keys.select("drawing_id", F.col("ent_id").alias("key_id"), F.col("maxx").alias("right"), F.col("miny").alias("low"), F.col("maxy").alias("high"), _cells(F.col("miny"), F.col("maxy"), 256).alias("cell"))
-    v = texts.filter(~F.trim("text").isin(*COLONS)).select("drawing_id", "ent_id", *BOX, F.floor(F.col("miny") / 256).alias("cell"))
-    hit = k.join(v, ["drawing_id", "cell"]).filter("minx > right AND miny >= low AND maxy <= high")
+    k = keys.select("drawing_id", F.col("ent_id").alias("key_id"), F.col("maxx").alias("right"), F.col("miny").alias("low"), F.col("maxy").alias("high"), _cells(F.col("miny"), F.col("maxy"), 512).alias("cell"))
+    v = texts.filter(~F.trim("text").isin(*COLONS)).select("drawing_id", "ent_id", "minx", "miny", "maxy", F.floor(F.col("miny") / 512).alias("cell"))
+    within = lambda q, p, i, j: (p["miny"][j] >= q["low"][i]) & (p["maxy"][j] <= q["high"][i])
+    hit = first_matches(k, v, [("minx", "ascending"), ("ent_id", "ascending")], lambda q, p: np.searchsorted(p["minx"], q["right"], "right"), within, ["key_id"], ["ent_id", "minx"])
     return hit.groupBy("key_id").agg(F.min_by("ent_id", F.struct("minx", "ent_id")).alias("value_id"))
 
 
+def topmost_below(above: DataFrame, rows: DataFrame, size: int = 1024) -> DataFrame:
+    """For each of above (drawing_id, id, x1, x2, y) the topmost of rows whose maxy lies below y and whose minx in x1 to x2: id, ent_id, maxy."""
+    a = above.select("drawing_id", "id", "x1", "x2", "y", _cells(F.col("x1"), F.col("x2"), size).alias("cell"))
+    v = rows.select("drawing_id", "ent_id", "minx", "maxy", F.floor(F.col("minx") / size).alias("cell"))
+    within = lambda q, p, i, j: (p["minx"][j] >= q["x1"][i]) & (p["minx"][j] <= q["x2"][i])
+    hit = first_matches(a, v, [("maxy", "descending"), ("ent_id", "ascending")], lambda q, p: np.searchsorted(-p["maxy"], -q["y"], "right"), within, ["id"], ["ent_id", "maxy"])
+    return hit.groupBy("id").agg(F.max_by("ent_id", F.struct("maxy", -F.col("ent_id"))).alias("ent_id"), F.max("maxy").alias("maxy"))
+
+
 def below_header(headers: DataFrame, numbers: DataFrame, reach: float = BELOW) -> DataFrame:
     """(header_id, value_id): the topmost number below each header, within its reach and its width."""
-    h = headers.select("drawing_id", F.col("ent_id").alias("header_id"), F.col("minx").alias("x1"), F.col("maxx").alias("x2"), F.col("miny").alias("y"), _cells(F.col("minx"), F.col("maxx"), 1024).alias("cell"))
-    v = numbers.select("drawing_id", "ent_id", *BOX, F.floor(F.col("minx") / 1024).alias("cell"))
-    hit = v.join(h, ["drawing_id", "cell"]).filter((F.col("maxy") < F.col("y")) & (F.col("maxy") >= F.col("y") - reach) & F.col("minx").between(F.col("x1"), F.col("x2")))
-    return hit.groupBy("header_id").agg(F.max_by("ent_id", F.struct("maxy", -F.col("ent_id"))).alias("value_id"))
+    h = headers.select("drawing_id", F.col("ent_id").alias("id"), F.col("minx").alias("x1"), F.col("maxx").alias("x2"), F.col("miny").alias("y"))
+    found = topmost_below(h, numbers).join(h.select("id", "y"), "id").filter(F.col("maxy") >= F.col("y") - reach)
+    return found.select(F.col("id").alias("header_id"), F.col("ent_id").alias("value_id"))
 
 
 def labelled_areas(texts: DataFrame, font: float = 10) -> DataFrame:
