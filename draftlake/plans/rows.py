@@ -131,11 +131,8 @@ def row_mates(spark, sf):
 
 @query("table_below_title", duck("SELECT t.ent_id AS title_id, max_by(b.ent_id, (b.maxy, -b.ent_id)) AS table_id FROM {txt} t JOIN {ent} b ON t.drawing_id = b.drawing_id AND b.minx BETWEEN t.minx - 1000 AND t.maxx AND b.maxy < t.miny GROUP BY t.ent_id"))
 def table_below_title(spark, sf):
-    t = frame(spark, sf, "txt").select("drawing_id", F.col("ent_id").alias("title_id"), F.col("minx").alias("t_minx"), F.col("maxx").alias("t_maxx"), F.col("miny").alias("t_miny"))
-    t = t.withColumn("cell", F.explode(F.sequence(F.floor((F.col("t_minx") - 1000) / 1000), F.floor(F.col("t_maxx") / 1000))))
-    b = frame(spark, sf, "ent").withColumn("cell", F.floor(F.col("minx") / 1000))
-    hit = b.join(t, ["drawing_id", "cell"]).filter("minx BETWEEN t_minx - 1000 AND t_maxx AND maxy < t_miny")
-    return hit.groupBy("title_id").agg(F.max_by("ent_id", F.struct("maxy", -F.col("ent_id"))).alias("table_id"))
+    t = frame(spark, sf, "txt").select("drawing_id", F.col("ent_id").alias("id"), (F.col("minx") - 1000).alias("x1"), F.col("maxx").alias("x2"), F.col("miny").alias("y"))
+    return layout.topmost_below(t, frame(spark, sf, "ent")).select(F.col("id").alias("title_id"), F.col("ent_id").alias("table_id"))
 
 
 @query("value_right_of", duck("SELECT k.ent_id AS key_id, min_by(v.ent_id, (v.minx, v.ent_id)) AS value_id FROM {txt} k JOIN {txt} v ON k.drawing_id = v.drawing_id AND v.minx > k.maxx AND v.miny >= k.miny AND v.maxy <= k.maxy WHERE trim(v.text) NOT IN (':', '：') GROUP BY k.ent_id"))
