@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, QUERY_BLOCK = 8192, 1024
+PAIRS = 8  # of blocks that one task meets
 DIGITS = 9  # to which scores are rounded before they are put in order, so that equal vectors tie
 
 
@@ -58,7 +59,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, least: float | None =
     (c, n), (q, m) = blocks(corpus, "id", "vector", BLOCK), blocks(queries, "query_id", "query_vector", QUERY_BLOCK)
     q = q.select("dims", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     kinds = [df.schema[x].dataType.simpleString() for df, x in ((queries, "query_id"), (corpus, "id"))]
-    pairs = c.join(q, ["dims", "block"]).repartition(max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * m))
+    # Each task sends its state to the driver, so there are fewer tasks than pairs of blocks.
+    pairs = c.join(q, ["dims", "block"]).repartition(max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * m // PAIRS)))
     found = pairs.mapInArrow(_scores(k, least), f"query_id {kinds[0]}, id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
