@@ -88,5 +88,9 @@ def with_layouts(drawings: DataFrame, layouts: DataFrame, rows: DataFrame) -> Da
     children = layouts.join(lacking, "drawing_id", "left_semi")
     filled = children.join(rows.select(F.col("drawing_id").alias("child_id")).distinct(), "child_id", "left_semi")
     first = R.best_row(filled, ["drawing_id"], [F.col("layout"), F.col("child_id")])
-    taken = first.select(F.col("drawing_id").alias("_parent"), "layout", F.col("child_id").alias("drawing_id")).join(rows, "drawing_id").drop("drawing_id").withColumnRenamed("_parent", "drawing_id")
+    # Many drawings may take the rows of one child, so these are dealt to all tasks.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(tasks)).cast("int")).repartition(tasks, "drawing_id", "_salt")
+    takers = first.select(F.col("drawing_id").alias("_parent"), "layout", F.col("child_id").alias("drawing_id"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_salt"))
+    taken = takers.join(dealt, ["drawing_id", "_salt"]).drop("drawing_id", "_salt").withColumnRenamed("_parent", "drawing_id")
     return own.unionByName(taken.select(own.columns))

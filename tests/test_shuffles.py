@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from draftlake.operators import chunks, nearest
 from draftlake.operators import evidence as E
+from draftlake.operators import layout as L
 from draftlake.operators import rows as R
 from pyspark.sql import functions as F
 
@@ -55,3 +56,13 @@ def test_tasks_are_fewer_than_pairs_of_blocks(spark, monkeypatch):
     counts = [int(line.split("RoundRobinPartitioning(")[1].split(")")[0]) for line in _plan(found).splitlines() if "RoundRobinPartitioning(" in line]
     assert counts and max(counts) <= 15 * 30 // nearest.PAIRS + 1
     assert sorted((r.query_id, r.id) for r in found.collect()) == [(k, k) for k in range(60)]
+
+
+def test_rows_that_many_drawings_take_are_dealt(spark):
+    drawings = spark.range(1, 41).select(F.col("id").alias("drawing_id"))
+    layouts = drawings.select("drawing_id", F.lit(1).alias("layout"), F.lit(0).cast("long").alias("child_id"))
+    rows = spark.range(400).select(F.lit(0).cast("long").alias("drawing_id"), F.col("id").alias("part"))
+    found = L.with_layouts(drawings, layouts, rows)
+    where = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in where) == 40 * 400 == found.distinct().count()
+    assert len(where) > 1 and max(r["count"] for r in where) < 0.7 * 40 * 400
