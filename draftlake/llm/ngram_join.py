@@ -57,6 +57,7 @@ TRIES = (1, 4, 8)  # nodes that each node is checked against, in turn, before si
 LEAST_MARKS, MOST_MARKS = 512, 16384
 FEW = 8  # pairs that a signature may give for each of its members
 SALT = 16  # parts of a group that meet its base apart
+VOTERS = 9  # members of a group whose sets give its base
 
 
 def digest(s: np.ndarray) -> int:
@@ -440,20 +441,54 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The elements in which each set differs from its group's base."""
+    """The elements in which each set differs from its group's base, in one row with their number."""
     for part in _light(batches):
         base, ends = part.column("base").flatten().to_numpy(), np.concatenate([[0], part.column("base").value_lengths().fill_null(0).to_numpy().cumsum()])
         apart = [np.setxor1d(np.frombuffer(x, np.int64), base[ends[k] : ends[k + 1]]) for k, x in enumerate(part.column("shingles").to_pylist())]
-        n = [len(x) for x in apart]
-        columns = [pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("g", "node")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(apart))], names=["g", "node", "element"])
+        columns = [part.column(c) for c in ("g", "node", "size")] + [pa.array([len(x) for x in apart], pa.int64()), pa.array([x.tobytes() for x in apart], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["g", "node", "size", "e", "apart"])
+
+
+def _apart(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (g, apart): the elements of all, the row of each, and the cell of each in the sketch of its group's elements."""
+    rows = [np.frombuffer(x, U) for x in part.column("apart").to_pylist()]
+    element, row = np.concatenate([np.zeros(0, U), *rows]), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    return element, row, _cell(W.mix(element ^ W.mix(part.column("g").to_numpy().view(U))[row]))
+
+
+def _apart_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many differences of one group hold an element of each cell."""
+    np.seterr(over="ignore")
+    count = np.zeros(SKETCH, np.int32)
+    for part in _light(batches):
+        np.add.at(count, _apart(part)[2], 1)
+    yield from sum_rows(count)
+
+
+def _posted(counts):
+    """Of each set's differences, from rare to common, the first (long) with their places (i), without those that no other set of the group holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        count = counts.value
+        for part in _light(batches):
+            element, row, cell = _apart(part)
+            n = count[cell]
+            order = np.lexsort((element, n, row))
+            place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            keep = (n[order] > 1) & (place <= part.column("long").to_numpy()[row])
+            rows = part.drop_columns(["apart", "long"]).take(pa.array(row[keep]))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(element[order][keep].view(np.int64)), pa.array(place[keep])], names=[*rows.schema.names, "element", "i"])
+
+    return run
 
 
 def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int = 75, near: Callable[[DataFrame, DataFrame], DataFrame] = near_marks) -> DataFrame:
     """(node, comp) of all nodes with a link: components of links and of all links between members (g, node) of one group.
 
     Sets link whose differences are at most the sum of their sizes times p / q = (100 - percent) / (100 + percent).
-    A group's base holds the elements of more than half of its sets.  Let E be the elements in which a set
+    A group's base holds the elements of more than half of VOTERS of its sets; any base would give the same links, a good one
+    leaves short differences.  All members are compared with it.  Let E be the elements in which a set
     differs from the base, and its slack q |E| less p times its size.  Sets x and y differ in |Ex| + |Ey| - 2 o elements, where o
     is how many of them Ex and Ey share, so:
 
@@ -462,20 +497,23 @@ def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame, percen
     - other links share o >= (slack of x + slack of y) / 2q > 0 elements of E.  Sorted by rarity, a shared element is
       among the first |E| - o + 1 of each.  Sets linked with that of least slack (near ones) need only meet
       the others (far ones), so the o of each side is known from the least slack on the other side.
+
+    Rarity is by counts in a sketch of fixed size; a rough count costs time and never a link.  A set's E travels in one row; only
+    the elements by which it may meet others become rows, and none in groups without far sets.
     """
     p, q = (x // math.gcd(100 - percent, 100 + percent) for x in (100 - percent, 100 + percent))
     members = save(members, "members")
     with_sets = members.join(sets.select("node", "size", "shingles"), "node")
-    count = save(with_sets.select("g", "shingles").mapInArrow(_counted, "g long, element long, n long").groupBy("g", "element").agg(F.sum("n").alias("n")), "counts")
-    total = members.groupBy("g").agg(F.count(F.lit(1)).alias("total"))
-    core = save(count.filter("n > 1").join(total, "g").filter("2 * n > total").select("g", "element", (F.col("total") - F.col("n")).alias("missing")), "core")
-    base = core.groupBy("g").agg(F.collect_list("element").alias("base"))  # fewer than two sets hold
+    voice = Window.partitionBy("g").orderBy(F.xxhash64("node"), "node")
+    voters = save(members.withColumn("place", F.row_number().over(voice)).filter(F.col("place") <= VOTERS).select("g", "node"), "voters")
+    total = voters.groupBy("g").agg(F.count(F.lit(1)).alias("total"))
+    count = voters.join(sets.select("node", "shingles"), "node").select("g", "shingles").mapInArrow(_counted, "g long, element long, n long").groupBy("g", "element").agg(F.sum("n").alias("n"))
+    core = save(count.filter("n > 1").join(total, "g").filter("2 * n > total").select("g", "element"), "core")
+    base = core.groupBy("g").agg(F.collect_list("element").alias("base"))  # fewer than twice a set's elements
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
     salted = with_sets.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(base.withColumn("salt", salts), ["g", "salt"], "left")
-    apart = save(salted.select("g", "node", "shingles", "base").mapInArrow(_differences, "g long, node long, element long"), "differences")
-    sized = apart.groupBy("g", "node").agg(F.count(F.lit(1)).alias("e"))
-    known = members.join(sized, ["g", "node"], "left").join(sets.select("node", "size"), "node").withColumn("e", F.coalesce("e", F.lit(0)))
-    known = save(known.withColumn("slack", q * F.col("e") - p * F.col("size")), "slacks")
+    apart = save(salted.select("g", "node", "size", "shingles", "base").mapInArrow(_differences, "g long, node long, size long, e long, apart binary"), "differences")
+    known = apart.select("g", "node", "size", "e", (q * F.col("e") - p * F.col("size")).alias("slack"))
     least = known.groupBy("g").agg(F.min(F.struct("slack", "node")).alias("least")).select("g", F.col("least.slack").alias("low"), F.col("least.node").alias("centre"))
     known = save(known.join(least, "g").withColumn("far", F.col("slack") + F.col("low") > 0), "slacks")
     star = known.filter("NOT far AND node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
@@ -485,12 +523,11 @@ def by_differences(members: DataFrame, sets: DataFrame, links: DataFrame, percen
     far_low = known.filter("far").groupBy("g").agg(F.min("slack").alias("far_low"))
     known = known.join(far_low, "g").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = lambda low: F.col("e") - F.ceil((F.col("slack") + F.col(low)) / (2 * q)) + 1
-    known = known.select("g", "node", "size", "comp", "e", "slack", "far", first("far_low").alias("short"), F.when(F.col("far"), first("low")).otherwise(first("far_low")).alias("long"))
+    known = known.select("g", "node", "size", "comp", "e", "slack", "far", first("far_low").cast("long").alias("short"), F.when(F.col("far"), first("low")).otherwise(first("far_low")).cast("long").alias("long"))
     # Elements of one E only are its rarest; they have their places in it but are in no other, so only their number counts.
-    rare = count.filter("n > 1").join(core, ["g", "element"], "left").select("g", "element", F.coalesce("missing", "n").alias("n")).filter("n > 1")
-    own = Window.partitionBy("g", "node")
-    met_rows = apart.join(rare, ["g", "element"]).withColumn("r", F.row_number().over(own.orderBy("n", "element"))).withColumn("k", F.count(F.lit(1)).over(own)).drop("n")
-    posted = save(met_rows.join(known, ["g", "node"]).withColumn("i", F.col("e") - F.col("k") + F.col("r")).drop("r", "k").filter("i <= long"), "posted")
+    counts = sets.sparkSession.sparkContext.broadcast(summed(apart.select("g", "apart").mapInArrow(_apart_counts, SUM_SCHEMA), (SKETCH,), np.int32))
+    columns = "g long, node long, size long, comp long, e long, slack long, far boolean, short long"
+    posted = save(known.join(apart.select("g", "node", "apart"), ["g", "node"]).mapInArrow(_posted(counts), f"{columns}, element long, i long"), "posted")
     need = F.ceil((F.col("x.slack") + F.col("y.slack")) / (2 * q))
     reach = F.least(F.col("x.e") - F.col("x.i"), F.col("y.e") - F.col("y.i")) + 1 >= need
     either = (~F.col("y.far")) | ((F.col("x.i") <= F.col("x.short")) & (F.col("y.i") <= F.col("y.short")) & (F.col("x.node") < F.col("y.node")))

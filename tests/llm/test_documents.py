@@ -131,6 +131,31 @@ def test_ngram_near_misses_of_one_text(spark, monkeypatch):
     assert got == brute_components(rows) and met[0] > 100
 
 
+def test_differences_are_no_rows(spark, monkeypatch):
+    """A member's differences travel in one row; only those by which it may meet others become rows, none in a group of copies that all link."""
+    r = random.Random(9)
+    base = words(150, 60).split()
+    near = [" ".join(base[:k] + [f"n{k}"] + base[k + 1 :]) for k in range(0, 60, 2)]
+    far = [" ".join(f"f{i}x{r.randrange(3)}" if i in r.sample(range(60), 1) or i % 12 == 5 else w for i, w in enumerate(base)) for _ in range(40)]
+    made, written = {}, ngram_join.save
+
+    def counted(df, name, *rest):
+        out = written(df, name, *rest)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "save", counted)
+    for texts, posts in ((near, False), (near + far, True)):
+        sets = [(k, s) for k, s in enumerate(ngram_join.W.shingle_sets(texts))]
+        frame = spark.createDataFrame([(k, len(s), s.tobytes(), ngram_join.marks(s)) for k, s in sets], "node long, size long, shingles binary, mark binary")
+        members = spark.createDataFrame([(1, k) for k, _ in sets], "g long, node long")
+        got = {x["node"]: x["comp"] for x in ngram_join.by_differences(members, frame, spark.createDataFrame([], "a long, b long")).collect()}
+        want = brute_components([(k, t) for k, t in enumerate(texts)])
+        assert {k: got.get(k, k) for k in range(len(texts))} == {k: v[2] for k, v in want.items()}
+        assert made["differences"] == len(texts) and (made["posted"] > 0) == posts
+        assert made["voters"] == ngram_join.VOTERS  # the base is counted of these alone
+
+
 def test_allowances_cover_every_budget():
     rng = np.random.default_rng(1)
     np.seterr(over="ignore")
