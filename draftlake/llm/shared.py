@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, shuffles_removed
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -15,7 +15,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it again, so that later jobs start from files."""
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -209,6 +209,27 @@ def test_line_dedup_clashing_names_and_blanks(spark):
     assert got[1].asDict()["gone"] == 4 and got[1].asDict()["sub"] == 6
 
 
+def test_line_dedup_of_any_length(spark):
+    r = random.Random(8)
+    pool = [words(r.randrange(2, 150), 600 + k) for k in range(40)]
+    rows = [(i, "\n".join(" ".join(w if r.random() > 0.5 else "new" + w for w in r.choice(pool).split() if r.random() > share or r.random() > 0.5) for _ in range(4))) for i, share in enumerate([0.0, 0.1, 0.2, 0.3] * 5)]
+    rows += [(50 + i, "\n".join(" ".join(w for w in r.choice(pool).split() if r.random() > share) for _ in range(6))) for i, share in enumerate([0.0, 0.05, 0.1, 0.13] * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["text"], x["n_lines"], x["n_removed"]) for x in line_dedup.dedup_lines(df).collect()}
+    assert got == brute_lines(rows)
+    assert 20 < sum(n for _, _, n in got.values()) < 360
+
+
+def test_line_dedup_meets_few_lines(spark, monkeypatch):
+    """Lines that share some rare tokens, though far from enough to match, do not all meet."""
+    r, pool = random.Random(9), [f"w{k}" for k in range(400)]
+    met, pairs = [], line_dedup._pairs
+    monkeypatch.setattr(line_dedup, "_pairs", lambda joined: met.append(joined.count()) or pairs(joined))
+    rows = [(i, " ".join(r.sample(pool, 100))) for i in range(300)]
+    assert line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").count() == 0
+    assert met and sum(met) < 3000
+
+
 def test_leaks_exact_and_paraphrased(spark):
     items = [(k, f"Question {words(30, 40 + k, 'q')}. Answer {words(6, 60 + k, 'a')}.") for k in range(20)] + [(90, None), (91, "")]
     rows = [(i, words(200, 300 + i)) for i in range(60)]
