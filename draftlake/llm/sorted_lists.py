@@ -6,8 +6,8 @@ value for each component that was not read yet, the upper bound the frontier, th
 RESOLVED k vectors have an upper bound that reaches the k-th highest lower bound, no outsider can qualify: reading stops
 and only these scores are resolved.
 
-Queries and vectors are dealt in blocks; each pair of blocks gives its k best, and the k best of
-those are the result.  Vectors that are null, or hold nulls or values that are not finite, take
+Queries and vectors are dealt in blocks, and these to the fields of a grid of a bounded number of tasks; each field gives its
+k best, and the k best of those are the result.  Vectors that are null, or hold nulls or values that are not finite, take
 no part; vectors of different length have no score, those of length 0 the score 0.  Components beyond the
 range of long count as its ends; scores are exact integers of any size, put in order before those beyond the range of long are set to its ends.
 Rows with a query's own id are not candidates for it; other repeated rows count one by one.  An empty table gives no rows.
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, save
-from .vectors import blocks_of, in_range, integer_vectors, order_key, pack_block
+from .shared import save
+from .vectors import Best, blocks_of, fields, in_range, integer_vectors, met, order_key, pack_block
 
 STEPS = 16  # parts in which a list is read
 RESOLVED = 4  # times k vectors whose scores are resolved at the end
@@ -92,13 +92,19 @@ def best_of_block(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarr
 
 def _best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_id, x_id = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q, x = (np.frombuffer(row[c], np.int64).reshape(len(i), row["length"]) for c, i in (("q_data", q_id), ("data", x_id)))
-                qi, xi, score = best_of_block(q, q_id, x, x_id, k)
-                keys, whole = pa.array([order_key(v) for v in score], pa.binary()), pa.array([in_range(v) for v in score], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(q_id[qi]), pa.array((row["q_block"] << 40) + qi), pa.array(x_id[xi]), keys, whole], names=["query_id", "q_row", "vec_id", "key", "score"])
+        for queries, blocks in fields(batches, ["length"]):
+            asked = [(np.frombuffer(row["a_ids"], np.int64), row) for row in queries]
+            q_id = np.concatenate([i for i, _ in asked])
+            q_row = np.concatenate([(row["a_block"] << 40) + np.arange(len(i)) for i, row in asked])
+            q = np.concatenate([np.frombuffer(row["a_data"], np.int64).reshape(len(i), row["length"]) for i, row in asked])
+            best = Best(k)
+            for row in blocks:
+                x_id = np.frombuffer(row["ids"], np.int64)
+                qi, xi, score = best_of_block(q, q_id, np.frombuffer(row["data"], np.int64).reshape(len(x_id), row["length"]), x_id, k)
+                best.add(qi, x_id[xi], score)
+            qi, ids, score = best.rows()
+            keys, whole = pa.array([order_key(v) for v in score], pa.binary()), pa.array([in_range(v) for v in score], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(q_id[qi]), pa.array(q_row[qi]), pa.array(ids), keys, whole], names=["query_id", "q_row", "vec_id", "key", "score"])
 
     return run
 
@@ -115,11 +121,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
 
     candidates = packed(whole, sizes["n"], BLOCK)
     asked = packed(whole.filter(F.col("id") % every == 0), sizes["q"], QUERY_BLOCK)
-    asked = asked.select("length", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    # Each block of candidates meets every block of the query set by a key of its own.
-    blocks = max(1, -(-sizes["n"] // BLOCK))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = candidates.join(asked, ["length", "block"]).repartition(max(partitions(spark), blocks * -(-sizes["q"] // QUERY_BLOCK)))
-    found = pairs.mapInArrow(_best(k), "query_id long, q_row long, vec_id long, key binary, score long")
+    asked = asked.select("length", F.col("block").alias("a_block"), F.col("ids").alias("a_ids"), F.col("data").alias("a_data"))
+    blocks, asked_blocks = (F.lit(max(1, -(-size // most))) for size, most in ((sizes["n"], BLOCK), (sizes["q"], QUERY_BLOCK)))
+    found = met(candidates, asked, ["length"], blocks, asked_blocks, _best(k), "query_id long, q_row long, vec_id long, key binary, score long")
     best = Window.partitionBy("query_id", "q_row").orderBy(F.desc("key"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import partitions
+
+HELD = 64  # blocks of queries that a task holds at once
 KEY_BYTES = 24  # of a score's key: room for every inner product of fewer than 2**60 longs
 
 
@@ -49,3 +55,71 @@ def from_key(key: bytes) -> int:
 def in_range(score: int) -> int:
     """The score, or the end of the range of long that it lies beyond."""
     return max(-(1 << 63), min((1 << 63) - 1, int(score)))
+
+
+def met(candidates: DataFrame, asked: DataFrame, keys: list[str], blocks: Column, asked_blocks: Column, run: Callable, schema: str) -> DataFrame:
+    """What run gives of all blocks of candidates (keys, block, ...) with all blocks of queries (keys, a_block, ...) of equal keys.
+
+    Both sides, which have keys in so many blocks and asked_blocks, are dealt to the rows and columns of a grid; a field of it is run by one task, the queries first.
+    There are as many rows and columns as there are tasks, more columns only where a task would hold more than HELD blocks of queries:
+    so the number of tasks is bounded, and no row of two blocks is ever made.
+    """
+    tasks = partitions(candidates.sparkSession)
+    rows = F.least(blocks.cast("int"), F.lit(tasks))
+    columns = F.least(asked_blocks.cast("int"), F.greatest(F.ceil(asked_blocks / HELD), F.ceil(F.lit(tasks) / rows)).cast("int"))
+    left = candidates.withColumn("g", F.pmod("block", rows)).withColumn("h", F.explode(F.sequence(F.lit(0), columns - 1))).withColumn("asks", F.lit(False))
+    right = asked.withColumn("h", F.pmod("a_block", columns)).withColumn("g", F.explode(F.sequence(F.lit(0), rows - 1))).withColumn("asks", F.lit(True))
+    field = [*keys, "g", "h"]
+    dealt = left.unionByName(right, allowMissingColumns=True).repartition(2 * tasks, *field)
+    return dealt.sortWithinPartitions(*field, F.desc("asks"), "block").mapInArrow(run, schema)
+
+
+def fields(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[list[dict], Iterator[dict]]]:
+    """For each field of the grid its blocks of queries and, one after the other, those of candidates."""
+
+    def rows() -> Iterator[dict]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield batch.slice(k, 1).to_pylist()[0]
+
+    for _, field in groupby(rows(), lambda row: tuple(row[c] for c in (*keys, "g", "h"))):
+        queries, first = [], None
+        for row in field:
+            if not row["asks"]:
+                first = row
+                break
+            queries.append(row)
+        if queries and first is not None:
+            yield queries, chain([first], field)
+
+
+def first_of(groups: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each group's k highest scores, ties to the smaller id."""
+    ranks = np.unique(scores, return_inverse=True)[1].reshape(len(scores))
+    order = np.lexsort((ids, -ranks, groups))
+    held = groups[order]
+    return order[np.arange(len(held)) - np.searchsorted(held, held) < k]
+
+
+class Best:
+    """The k best of each group of what is added, of some blocks at a time."""
+
+    def __init__(self, k: int, spare: int = 1 << 18):
+        self.k, self.spare, self.parts, self.n = k, spare, [], 0
+
+    def add(self, groups: np.ndarray, ids: np.ndarray, scores) -> None:
+        scores = scores if isinstance(scores, np.ndarray) else np.array(scores, object)
+        self.parts.append((groups, ids, scores))
+        self.n += len(groups)
+        if self.n > self.spare:
+            self.parts = [self.rows()]
+            self.n = len(self.parts[0][0])
+            self.spare = max(self.spare, 2 * self.n)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Groups, ids and scores; the scores may be integers of any size."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        groups, ids, scores = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        kept = first_of(groups, scores, ids, self.k)
+        return groups[kept], ids[kept], scores[kept]
