@@ -9,7 +9,7 @@ integer of any length.
 Two passes over blocks of candidates: the first scores each anchor with the candidates of its own label and keeps its
 best, the positives; the second scores it with the rows of all other labels and keeps, for each positive, the best whose
 score lies between ``low`` and ``high`` percent of the positive's.  Blocks hold a bounded number of rows, however many
-have one label, and give their few best, so no group is ever in one task.
+have one label, and are dealt to the fields of a grid of a bounded number of tasks, which give their few best; so no group is ever in one task.
 
 Rows with a null id, label or vector, or with null or non-finite components, take no part.  Rows with an anchor's own id are neither its
 positives nor its negatives; other repeated rows count one by one, so do repeated anchors.  Vectors of different length have no
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, save
-from .vectors import blocks_of, from_key, in_range, integer_vectors, order_key, pack_block
+from .shared import save
+from .vectors import Best, blocks_of, fields, from_key, in_range, integer_vectors, met, order_key, pack_block
 
 BLOCK, ANCHOR_BLOCK = 8192, 512
 SLICE = 64  # anchors scored at once
@@ -79,27 +79,31 @@ def _longs(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64)
 
 
-def _slices(row: dict) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Some anchors of a pair of blocks, their scores, and which candidates have another id."""
-    a_id, x_id = _longs(row["a_ids"]), _longs(row["ids"])
-    a, x = (_longs(row[c]).reshape(len(i), row["length"]) for c, i in (("a_data", a_id), ("data", x_id)))
-    for at in range(0, len(a), SLICE):
-        part = slice(at, at + SLICE)
-        yield part, packed_products(a[part], x), a_id[part, None] != x_id[None, :]
+def _slices(queries: list[dict], row: dict) -> Iterator[tuple[dict, slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some anchors of a block of queries, their scores with a block of candidates, which of these have another id, and their ids."""
+    x_id = _longs(row["ids"])
+    x = _longs(row["data"]).reshape(len(x_id), row["length"])
+    for asked in queries:
+        a_id = _longs(asked["a_ids"])
+        a = _longs(asked["a_data"]).reshape(len(a_id), row["length"])
+        for at in range(0, len(a), SLICE):
+            part = slice(at, at + SLICE)
+            yield asked, part, packed_products(a[part], x), a_id[part, None] != x_id[None, :], x_id
 
 
 def _positives(k: int):
-    """anchor (its row), id, key, score of the k best of each pair of blocks of one label."""
+    """anchor (its row), id, key, score of the k best of each field of blocks of one label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a_row, x_id = _longs(row["a_rows"]), _longs(row["ids"])
-                for part, scores, other in _slices(row):
+        for queries, blocks in fields(batches, ["label", "length"]):
+            held = Best(k)
+            for row in blocks:
+                for asked, part, scores, other, x_id in _slices(queries, row):
                     r, c = first_rows(scores, other, x_id, k)
-                    best = scores[r, c]
-                    columns = [pa.array(a_row[part][r]), pa.array(x_id[c]), pa.array([order_key(s) for s in best], pa.binary()), pa.array([in_range(s) for s in best], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "id", "key", "score"])
+                    held.add(_longs(asked["a_rows"])[part][r], x_id[c], scores[r, c])
+            anchor, ids, best = held.rows()
+            columns = [pa.array(anchor), pa.array(ids), pa.array([order_key(s) for s in best], pa.binary()), pa.array([in_range(s) for s in best], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "id", "key", "score"])
 
     return run
 
@@ -110,17 +114,18 @@ def _bounds(positive: int, low: int, high: int) -> tuple[int, int]:
 
 
 def _negatives(k: int, low: int, high: int):
-    """anchor, place (of the positive), id, key, score of the k best of each pair of blocks in each positive's window."""
+    """anchor, place (of the positive), id, key, score of the k best of each field of blocks in each positive's window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a_row, x_id = _longs(row["a_rows"]), _longs(row["ids"])
-                a_label, x_label = _longs(row["a_labels"]), _longs(row["labels"])
-                windows = [[_bounds(from_key(key), low, high) for key in keys] for keys in row["positives"]]
-                for part, scores, other in _slices(row):
-                    other = other & (a_label[part, None] != x_label[None, :])
-                    mine = windows[part]
+        for queries, blocks in fields(batches, ["length"]):
+            held: dict[int, Best] = {}
+            for asked in queries:
+                asked["windows"] = [[_bounds(from_key(key), low, high) for key in keys] for keys in asked.pop("positives")]
+            for row in blocks:
+                x_label = _longs(row["labels"])
+                for asked, part, scores, other, x_id in _slices(queries, row):
+                    other = other & (_longs(asked["a_labels"])[part, None] != x_label[None, :])
+                    mine = asked["windows"][part]
                     for place in range(max(map(len, mine), default=0)):
                         there = np.array([place < len(w) for w in mine])
                         ends = [w[place] if place < len(w) else (1, 0) for w in mine]
@@ -130,9 +135,11 @@ def _negatives(k: int, low: int, high: int):
                             least, most = (np.array([in_range(e[side]) for e in ends], np.int64) for side in (0, 1))
                         ok = other & there[:, None] & (scores >= least[:, None]) & (scores <= most[:, None])
                         r, c = first_rows(scores, ok.astype(bool), x_id, k)
-                        keys = [order_key(s) for s in scores[r, c]]
-                        columns = [pa.array(a_row[part][r]), pa.array(np.full(len(r), place, np.int32)), pa.array(x_id[c]), pa.array(keys, pa.binary()), pa.array([in_range(s) for s in scores[r, c]], pa.int64())]
-                        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "place", "id", "key", "score"])
+                        held.setdefault(place, Best(k)).add(_longs(asked["a_rows"])[part][r], x_id[c], scores[r, c])
+            for place, best in held.items():
+                anchor, ids, found = best.rows()
+                columns = [pa.array(anchor), pa.array(np.full(len(anchor), place, np.int32)), pa.array(ids), pa.array([order_key(s) for s in found], pa.binary()), pa.array([in_range(s) for s in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "place", "id", "key", "score"])
 
     return run
 
@@ -148,24 +155,24 @@ def hard_negatives(
     id_col: str = "vec_id", vec_col: str = "embedding", label: Column | str = "label",
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for the rows whose id is divisible by every."""
-    spark = vectors.sparkSession
-    of = (F.col(label) if isinstance(label, str) else label).cast("long").alias("label")
-    whole = save(integer_vectors(vectors, scale, id_col, vec_col, of).filter("label IS NOT NULL"), "vectors")
+    given = (F.col(label) if isinstance(label, str) else label).cast("long").alias("label")
+    whole = save(integer_vectors(vectors, scale, id_col, vec_col, given).filter("label IS NOT NULL"), "vectors")
     anchors = save(whole.filter(F.col("id") % every == 0).withColumn("row", F.monotonically_increasing_id()), "anchors")
     n, n_anchors = whole.count(), anchors.count()
-    spread = max(partitions(spark), -(-n // BLOCK) * -(-n_anchors // ANCHOR_BLOCK))
+    of = lambda count, size: F.greatest(F.lit(1), F.ceil(count / size))
 
     # Pass one: blocks of one label.
     one = ["label", "length"]
     count, asked = whole.groupBy(*one).agg(F.count(F.lit(1)).alias("n")), anchors.groupBy(*one).agg(F.count(F.lit(1)).alias("n_anchors"))
-    sized = save(count.join(asked, one).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "labels")
+    sized = save(count.join(asked, one).withColumns({"of_blocks": of(F.col("n"), BLOCK), "of_asked": of(F.col("n_anchors"), ANCHOR_BLOCK)}), "labels")
     mine = whole.join(sized, one).withColumn("block", blocks_of(F.col("n"), BLOCK, "id", "values"))
-    mine = mine.groupBy(*one, "block").applyInArrow(pack_block((*one, "block")), "label long, length int, block int, ids binary, data binary")
+    sizes = ["of_blocks", "of_asked"]
+    mine = mine.groupBy(*one, *sizes, "block").applyInArrow(pack_block((*one, *sizes, "block")), "label long, length int, of_blocks long, of_asked long, block int, ids binary, data binary")
     asks = anchors.join(sized, one).withColumn("a_block", blocks_of(F.col("n_anchors"), ANCHOR_BLOCK, "row"))
-    asks = asks.groupBy(*one, "blocks", "a_block").applyInArrow(pack_block((*one, "blocks", "a_block"), ("row",)), "label long, length int, blocks long, a_block int, ids binary, row binary, data binary")
-    asks = asks.select(*one, F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.col("ids").alias("a_ids"), F.col("row").alias("a_rows"), F.col("data").alias("a_data"))
+    asks = asks.groupBy(*one, *sizes, "a_block").applyInArrow(pack_block((*one, *sizes, "a_block"), ("row",)), "label long, length int, of_blocks long, of_asked long, a_block int, ids binary, row binary, data binary")
+    asks = asks.select(*one, *sizes, "a_block", F.col("ids").alias("a_ids"), F.col("row").alias("a_rows"), F.col("data").alias("a_data"))
     best = Window.partitionBy("anchor").orderBy(F.desc("key"), "id")
-    found = mine.join(asks, [*one, "block"]).repartition(spread).mapInArrow(_positives(positives), "anchor long, id long, key binary, score long")
+    found = met(mine, asks, one, F.col("of_blocks"), F.col("of_asked"), _positives(positives), "anchor long, id long, key binary, score long")
     found = save(found.withColumn("place", F.row_number().over(best) - 1).filter(F.col("place") < positives), "positives")
 
     # Pass two: blocks of all labels; at most positives keys travel with an anchor.
@@ -174,8 +181,8 @@ def hard_negatives(
     blocks = blocks.applyInArrow(pack_block(numbers=("label",)), "length int, block int, ids binary, label binary, data binary").withColumnRenamed("label", "labels")
     asks = anchors.join(keys, "row").withColumn("a_block", blocks_of(F.lit(n_anchors), ANCHOR_BLOCK, "row"))
     asks = asks.groupBy("length", "a_block").applyInArrow(_pack_anchors, "length int, a_block int, ids binary, row binary, label binary, data binary, positives array<array<binary>>")
-    asks = asks.select("length", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-n // BLOCK)) - 1))).alias("block"), F.col("ids").alias("a_ids"), F.col("row").alias("a_rows"), F.col("label").alias("a_labels"), F.col("data").alias("a_data"), "positives")
-    near = blocks.join(asks, ["length", "block"]).repartition(spread).mapInArrow(_negatives(negatives, low, high), "anchor long, place int, id long, key binary, score long")
+    asks = asks.select("length", "a_block", F.col("ids").alias("a_ids"), F.col("row").alias("a_rows"), F.col("label").alias("a_labels"), F.col("data").alias("a_data"), "positives")
+    near = met(blocks, asks, ["length"], of(F.lit(n), BLOCK), of(F.lit(n_anchors), ANCHOR_BLOCK), _negatives(negatives, low, high), "anchor long, place int, id long, key binary, score long")
     best = Window.partitionBy("anchor", "place").orderBy(F.desc("key"), "id")
     near = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= negatives).select("anchor", "place", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     named = found.select("anchor", "place", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")).join(anchors.select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id")), "anchor")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from draftlake.llm import hard_negatives, minhash, sorted_lists, source_audit
 
@@ -298,3 +299,19 @@ def test_labels_as_a_column(spark):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 3).otherwise(F.col("label"))
     changed = [(k, v, (c + 1) % 3 if k % 7 == 0 else c) for k, v, c in rows]
     assert sorted(tuple(r) for r in hard_negatives.hard_negatives(df, every=5, label=label).collect()) == brute_negatives(changed, 5)
+
+
+def test_tasks_of_block_pairs_are_bounded(spark, monkeypatch):
+    """Many blocks of candidates and queries meet in a bounded number of tasks, however many pairs they make, with the same results."""
+    r = random.Random(5)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    whole = sorted(sorted_lists.top_k(df, every=2).collect()), sorted(hard_negatives.hard_negatives(df, every=2).collect())
+    for module, blocks in ((sorted_lists, ("BLOCK", "QUERY_BLOCK")), (hard_negatives, ("BLOCK", "ANCHOR_BLOCK"))):
+        for name in blocks:
+            monkeypatch.setattr(module, name, 8)
+    tasks, dealt = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, *a, **k: tasks.append(df.rdd.getNumPartitions()) or dealt(df, *a, **k))
+    assert whole[0] == sorted(sorted_lists.top_k(df, every=2).collect())
+    assert whole[1] == sorted(hard_negatives.hard_negatives(df, every=2).collect())
+    assert len(tasks) == 3 and max(tasks) <= 16
