@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import written
 from . import rows as R
 from .firsts import first_matches
 
 FONTS, WIDTHS = 20, 5  # fixed values: an area text is within so many font heights and label widths
 BELOW = 5000  # fixed value: how far below a header its number may stand
 COLONS = (":", "：")
+FEW_TAKERS = 200_000  # drawings that take rows of others: up to so many are sent to all tasks
 
 
 def _cells(low: Column, high: Column, size: int) -> Column:
@@ -91,6 +93,12 @@ def with_layouts(drawings: DataFrame, layouts: DataFrame, rows: DataFrame) -> Da
     # Many drawings may take the rows of one child, so these are dealt to all tasks.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(tasks)).cast("int")).repartition(tasks, "drawing_id", "_salt")
-    takers = first.select(F.col("drawing_id").alias("_parent"), "layout", F.col("child_id").alias("drawing_id"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_salt"))
-    taken = takers.join(dealt, ["drawing_id", "_salt"]).drop("drawing_id", "_salt").withColumnRenamed("_parent", "drawing_id")
+    first = written(first.select(F.col("drawing_id").alias("_parent"), "layout", F.col("child_id").alias("drawing_id")), "takers")
+    if first.count() <= FEW_TAKERS:
+        taken = F.broadcast(first).join(dealt, "drawing_id")
+    else:
+        # The size of what is exploded is estimated as that of the rows before, so by it a side far too large would be sent to the driver.
+        takers = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+        taken = takers.hint("merge").join(dealt, ["drawing_id", "_salt"])
+    taken = taken.drop("drawing_id", "_salt").withColumnRenamed("_parent", "drawing_id")
     return own.unionByName(taken.select(own.columns))

@@ -66,3 +66,15 @@ def test_rows_that_many_drawings_take_are_dealt(spark):
     where = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in where) == 40 * 400 == found.distinct().count()
     assert len(where) > 1 and max(r["count"] for r in where) < 0.7 * 40 * 400
+
+
+def test_takers_of_rows_are_not_sent_to_the_driver(spark, monkeypatch):
+    """A taker is a row for each task, of which an estimate of its size knows nothing."""
+    monkeypatch.setattr(L, "FEW_TAKERS", 10, raising=False)
+    drawings = spark.createDataFrame([(i,) for i in range(50)], "drawing_id long")
+    layouts = spark.createDataFrame([(i, 1, 100 + i % 2) for i in range(50)], "drawing_id long, layout int, child_id long")
+    found = L.with_layouts(drawings, layouts, spark.createDataFrame([(100, 1), (100, 2), (101, 3), (7, 4)], "drawing_id long, value int"))
+    assert sorted((r["drawing_id"], r["value"]) for r in found.collect()) == sorted([(7, 4)] + [(i, v) for i in range(50) if i != 7 for v in ((3,) if i % 2 else (1, 2))])
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in plan.splitlines() if "_salt#" in line and "Join" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
